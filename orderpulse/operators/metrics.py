@@ -145,7 +145,7 @@ def product_analytics(tx: DataFrame, distinct_dates: bool = False) -> DataFrame:
         F.count_distinct("order_id").alias("orders"),
         F.coalesce(F.sum("qty"), F.lit(0.0)).cast("long").alias("qty"),
         money_sum(F.col("subtotal")).alias("revenue"),
-        F.min_by("product", F.struct("date", "ingest_seq")).alias("_first_product"),
+        F.min_by("product", F.struct("date", "ingest_seq", "product")).alias("_first_product"),
     )
     giro = turnover(tx, ["sku"], distinct_dates, name="turnover_median")
     growth = series_growth(product_monthly(tx), "sku").select("sku", "growth_zscore", "growth_yoy")

@@ -9,7 +9,7 @@ from orderpulse.plans.registry import (
     EVENTS_REF, TPCH_REF, query, rounded, tx_events, tx_orders, tx_tpch,
 )
 
-BASE_ROUND = {"monetary": 2, "avg_ticket": 6, "gm_cliente": 4}
+BASE_ROUND = {"monetary": 2, "gm_cliente": 4}
 
 
 @query("customer_base")

@@ -12,6 +12,11 @@ def fd(end: str, start: str) -> str:
     return f"CAST(floor((epoch_us({end}) - epoch_us({start})) / 86400000000.0) AS BIGINT)"
 
 
+def msum(x: str) -> str:
+    """Exact sum of 2-place money values (whole cents), as double."""
+    return f"coalesce(CAST(sum(CAST(round({x} * 100) AS BIGINT)) AS DOUBLE) / 100.0, 0.0)"
+
+
 def add_days(ts: str, days: str) -> str:
     return f"({ts} + to_microseconds(CAST(round(({days}) * 86400000000.0) AS BIGINT)))"
 
