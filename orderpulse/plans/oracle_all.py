@@ -1,4 +1,4 @@
 """All oracle SQL statements, gathered from the per-area modules."""
 
-from orderpulse.plans import oracle_alerts, oracle_summary  # noqa: F401
+from orderpulse.plans import oracle_alerts, oracle_extract, oracle_summary  # noqa: F401
 from orderpulse.plans.oracle import ORACLE  # noqa: F401

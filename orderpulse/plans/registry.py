@@ -48,4 +48,6 @@ TPCH_REF = A.TPCH_REFERENCE_DATE
 EVENTS_REF = A.EVENTS_REFERENCE_DATE
 
 # Query modules register themselves on import.
-from orderpulse.plans import q_alerts, q_metrics, q_products, q_stats, q_summary  # noqa: E402,F401
+from orderpulse.plans import (  # noqa: E402,F401
+    q_alerts, q_extract, q_metrics, q_products, q_stats, q_summary,
+)
