@@ -24,7 +24,7 @@ def pt_br(x: Column) -> Column:
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
     li = read_table(spark, d, "lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
-                                           "l_quantity", "l_extendedprice"])
+                                           "l_quantity", "l_extendedprice", "l_returnflag", "l_discount"])
     o = read_table(spark, d, "orders", ["o_orderkey", "o_custkey", "o_orderdate"])
     c = read_table(spark, d, "customer", ["c_custkey", "c_name", "c_nationkey"])
     n = read_table(spark, d, "nation", ["n_nationkey", "n_name", "n_regionkey"])
@@ -75,3 +75,52 @@ def flat_grid(spark: SparkSession, d: str) -> DataFrame:
     total = region.select(F.col("r_name").alias("file_id"), F.lit((1 << 62)).cast("long").alias("row_idx"),
                           F.array(F.lit("Total geral"), *[F.lit(None).cast("string")] * 7).alias("cells"))
     return title.unionByName(head).unionByName(data).unionByName(total)
+
+
+def freeform_orders(spark: SparkSession, d: str, split_code: bool = False) -> DataFrame:
+    """A free-form order sheet (accented headers, all text) from line items.
+
+    ``split_code``: no SKU column; the product cell reads ``<code> - <name>``."""
+    lines = _lines(spark, d)
+    region = read_table(spark, d, "region", ["r_regionkey", "r_name"])
+    lines = lines.join(region, lines.n_regionkey == region.r_regionkey)
+    cols = [F.date_format("o_orderdate", "dd/MM/yyyy").alias("Data Emissão"),
+            F.col("l_orderkey").cast("string").alias("Pedido"),
+            F.col("c_name").alias("Cliente"),
+            F.concat(F.lit("Vendedor "), F.col("l_suppkey").cast("string")).alias("Vendedor")]
+    if split_code:
+        cols.append(F.concat(F.col("l_partkey").cast("string"), F.lit(" - "), F.col("p_name")).alias("Produto"))
+    else:
+        cols += [F.col("l_partkey").cast("string").alias("Código"), F.col("p_name").alias("Descrição")]
+    cols += [F.col("p_retailprice").cast("decimal(18,2)").cast("string").alias("Preço Unitário"),
+             F.col("l_quantity").cast("long").cast("string").alias("Quantidade"),
+             F.col("l_extendedprice").cast("decimal(18,2)").cast("string").alias("Valor Total"),
+             F.col("n_name").alias("Cidade"), F.col("r_name").alias("UF"),
+             (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ingest_seq")]
+    return lines.select(*cols)
+
+
+def raw_transactions(spark: SparkSession, d: str) -> DataFrame:
+    """Extracted-transaction rows from line items, as an extractor hands them to
+    validation: returns (flag 'R') carry a negative quantity and undiscounted
+    lines a zero price, which the validator must reject."""
+    lines = _lines(spark, d)
+    qty = F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity"))
+    price = F.when(F.col("l_discount") == 0, F.lit(0.0)).otherwise(F.col("p_retailprice"))
+    return lines.select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ingest_seq"),
+        F.col("p_name").alias("product"), F.col("o_orderdate").alias("date"),
+        F.col("l_orderkey").cast("string").alias("order_id"), F.col("c_name").alias("client"),
+        F.concat(F.lit("Vendedor "), F.col("l_suppkey").cast("string")).alias("seller"),
+        price.alias("price"), qty.alias("qty"), F.col("l_extendedprice").alias("subtotal"))
+
+
+def customer_sheet(spark: SparkSession, d: str) -> DataFrame:
+    """Customer master rows (client, cnpj, ie, uf, city, segment) from customers."""
+    c = read_table(spark, d, "customer", ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"])
+    n = read_table(spark, d, "nation", ["n_nationkey", "n_name", "n_regionkey"])
+    r = read_table(spark, d, "region", ["r_regionkey", "r_name"])
+    x = c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
+    return x.select(F.col("c_name").alias("client"), F.lpad(F.col("c_custkey").cast("string"), 14, "0").alias("cnpj"),
+                    F.lit("").alias("ie"), F.lower("r_name").alias("uf"), F.col("n_name").alias("city"),
+                    F.col("c_mktsegment").alias("segment"), F.col("c_custkey").alias("ingest_seq"))
