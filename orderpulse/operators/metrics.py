@@ -39,19 +39,21 @@ def turnover(tx: DataFrame, keys: list[str], distinct_dates: bool = False,
 
 def customer_base(tx: DataFrame, reference_date, distinct_dates: bool = False) -> DataFrame:
     """Per client: recency, frequency, monetary, avg ticket, median turnover,
-    last order and the modal segment/city/uf (A01, A02, A03)."""
+    last order and the modal segment/city/uf (A01, A02, A03).
+
+    All of it is one aggregate over the gap-annotated rows, so the input is
+    shuffled once by (client, day) and once by client."""
     ref = ts_literal(reference_date)
     tx = _keyed(tx, "client")
-    base = tx.groupBy("client").agg(
-        F.max("date").alias("last_order"),
-        F.count_distinct("order_id").alias("frequency"),
-        money_sum(F.col("subtotal")).alias("monetary"),
-        F.mode("segment", True).alias("segment"),
-        F.mode("city", True).alias("city"),
-        F.mode("uf", True).alias("uf"),
-    )
-    giro = turnover(tx, ["client"], distinct_dates)
-    return base.join(giro, "client", "left").select(
+    aggs = [F.max("date").alias("last_order"), F.count_distinct("order_id").alias("frequency"),
+            money_sum(F.col("subtotal")).alias("monetary"), F.mode("segment", True).alias("segment"),
+            F.mode("city", True).alias("city"), F.mode("uf", True).alias("uf")]
+    if distinct_dates:
+        base = tx.groupBy("client").agg(*aggs).join(turnover(tx, ["client"], True), "client", "left")
+    else:
+        base = gaps(tx, ["client"]).groupBy("client").agg(
+            *aggs, F.coalesce(F.median("gap"), F.lit(0.0)).alias("gm_cliente"))
+    return base.select(
         "client",
         floor_days(ref, F.col("last_order")).alias("recency"),
         "frequency", "monetary",
@@ -141,16 +143,20 @@ def product_analytics(tx: DataFrame, distinct_dates: bool = False) -> DataFrame:
     """Per SKU: orders, qty, revenue, avg ticket, median turnover, first product
     name by date, hero flag, growth z-score and YoY (A06-A10, J08)."""
     tx = _keyed(tx, "sku")
-    base = tx.groupBy("sku").agg(
-        F.count_distinct("order_id").alias("orders"),
-        F.coalesce(F.sum("qty"), F.lit(0.0)).cast("long").alias("qty"),
-        money_sum(F.col("subtotal")).alias("revenue"),
-        F.min_by("product", F.struct("date", "ingest_seq", "product")).alias("_first_product"),
-    )
-    giro = turnover(tx, ["sku"], distinct_dates, name="turnover_median")
+    aggs = [F.count_distinct("order_id").alias("orders"),
+            F.coalesce(F.sum("qty"), F.lit(0.0)).cast("long").alias("qty"),
+            money_sum(F.col("subtotal")).alias("revenue"),
+            F.min_by("product", F.struct("date", "ingest_seq", "product")).alias("_first_product")]
+    if distinct_dates:
+        base = tx.groupBy("sku").agg(*aggs).join(
+            turnover(tx, ["sku"], True, name="turnover_median"), "sku", "left")
+    else:
+        base = gaps(tx, ["sku"]).groupBy("sku").agg(*aggs, F.median("gap").alias("turnover_median"))
     growth = series_growth(product_monthly(tx), "sku").select("sku", "growth_zscore", "growth_yoy")
-    hero = hero_threshold(tx)                                   # one row
-    df = (base.join(giro, "sku", "left").join(growth, "sku", "left").crossJoin(hero))
+    # hero threshold from the per-SKU revenue computed above (one row)
+    hero = exact_quantiles(base.select("revenue"), "revenue", [0.8], ["hero_threshold"]) \
+        .select(F.coalesce("hero_threshold", F.lit(0.0)).alias("hero_threshold"))
+    df = base.join(growth, "sku", "left").crossJoin(hero)
     return df.select(
         "sku",
         F.coalesce(F.nullif(F.col("_first_product"), F.lit("")), F.col("sku")).alias("product"),
@@ -168,9 +174,12 @@ def projected_stockout(tx: DataFrame, reference_date, delay: int = DEFAULT_DELAY
     """Per client: days from the reference date to last order + turnover + delay."""
     ref = ts_literal(reference_date)
     tx = _keyed(tx, "client")
-    last = tx.groupBy("client").agg(F.max("date").alias("last_order"))
-    giro = turnover(tx, ["client"], distinct_dates)
-    df = last.join(giro, "client", "left")
+    if distinct_dates:
+        df = tx.groupBy("client").agg(F.max("date").alias("last_order")).join(
+            turnover(tx, ["client"], True), "client", "left")
+    else:
+        df = gaps(tx, ["client"]).groupBy("client").agg(
+            F.max("date").alias("last_order"), F.coalesce(F.median("gap"), F.lit(0.0)).alias("gm_cliente"))
     projected = add_days(F.col("last_order"), F.col("gm_cliente") + F.lit(float(delay)))
     return df.select("client", "last_order", "gm_cliente",
                      floor_days(projected, ref).alias("projected_days"))

@@ -151,3 +151,26 @@ def extract_customers(rows: DataFrame) -> DataFrame:
         col("city").alias("city"), F.nullif(col("segment"), F.lit("")).alias("segment"),
         (F.col("ingest_seq") if "ingest_seq" in rows.columns else F.lit(None)).cast("long").alias("ingest_seq"))
     return out.where(F.col("original_name") != "")
+
+
+def reparse_date_columns(df: DataFrame, dayfirst: bool = True) -> DataFrame:
+    """Every column whose name contains ``date`` or ``data`` re-parsed as a
+    timestamp (text day-first; timestamps pass through; unparsable -> null)."""
+    out = []
+    for f in df.schema.fields:
+        name = f.name.lower()
+        if "date" in name or "data" in name:
+            if f.dataType.typeName().startswith("timestamp"):
+                out.append(F.col(f"`{f.name}`").cast("timestamp_ntz").alias(f.name))
+            else:
+                out.append(parse_date(F.col(f"`{f.name}`"), dayfirst).alias(f.name))
+        else:
+            out.append(F.col(f"`{f.name}`"))
+    return df.select(*out)
+
+
+def metrics_frame(tx: DataFrame) -> DataFrame:
+    """Canonical transactions at the metrics boundary — decimal money and
+    integer quantities as double."""
+    casts = {"price": "double", "subtotal": "double", "qty": "double"}
+    return tx.select(*[F.col(c).cast(casts[c]).alias(c) if c in casts else F.col(c) for c in tx.columns])

@@ -38,23 +38,25 @@ def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     ``order`` (W01/W10). The first row of each key gets nulls.
 
     ``bucket`` must be non-decreasing in ``order`` (default: day of ``order[0]``).
+    Plan: a map-side-combined aggregate gives each (key, bucket)'s last row; a
+    window over that small table gives every bucket its predecessor's last row;
+    the rows are joined to it on (key, bucket) and the ordered window runs on
+    the same (key, bucket) partitioning, so the fact rows are shuffled once.
     """
     keys, order, carry = list(keys), list(order), list(carry)
     bucket = day_bucket(F.col(order[0])) if bucket is None else bucket
     b = df.withColumn("_bkt", bucket)
-    w = Window.partitionBy(*keys, "_bkt").orderBy(*_cols(order))
-    lagged = b.select("*", *[F.lag(c).over(w).alias(f"_lag_{c}") for c in carry],
-                      (F.row_number().over(w) == 1).alias("_first"))
-    # last row of every (key, bucket), then the previous bucket's last row per key
     last = (b.groupBy(*keys, "_bkt")
             .agg(F.max_by(F.struct(*carry), F.struct(*order)).alias("_last")))
     wk = Window.partitionBy(*keys).orderBy("_bkt")
     carry_over = last.select(*keys, "_bkt", F.lag("_last").over(wk).alias("_prev_last"))
-    out = lagged.join(carry_over, on=[*keys, "_bkt"], how="left")
-    return out.select(
+    j = b.join(carry_over, on=[*keys, "_bkt"], how="left")
+    w = Window.partitionBy(*keys, "_bkt").orderBy(*_cols(order))
+    first = F.row_number().over(w) == 1
+    return j.select(
         *[F.col(c) for c in df.columns],
-        *[F.when(F.col("_first"), F.col("_prev_last")[c]).otherwise(F.col(f"_lag_{c}"))
-          .alias(f"{prefix}{c}") for c in carry],
+        *[F.when(first, F.col("_prev_last")[c]).otherwise(F.lag(c).over(w)).alias(f"{prefix}{c}")
+          for c in carry],
     )
 
 

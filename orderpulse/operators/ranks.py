@@ -60,19 +60,20 @@ def value_ranks(df: DataFrame, col: str, rows_per_bucket: int = ROWS_PER_BUCKET)
                     F.lit(n).cast("long").alias("n")))
 
 
-def avg_rank_pct(df: DataFrame, col: str, out: str) -> DataFrame:
+def avg_rank_pct(df: DataFrame, col: str, out: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Add ``out`` = average rank of ``col`` divided by the non-null count
     (pandas ``rank(pct=True, method="average")``, W03). Null values get null."""
-    r = value_ranks(df, col).select(
+    r = value_ranks(df, col, rows_per_bucket).select(
         F.col("v").alias(col),
         ((F.col("below") + (F.col("c") + 1) / 2.0) / F.col("n")).alias(out))
     return df.join(r, on=col, how="left")
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: list[float], names: list[str]) -> DataFrame:
+def exact_quantiles(df: DataFrame, col: str, probs: list[float], names: list[str],
+                    rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """One-row DataFrame of exact linear-interpolation quantiles of ``col``
     (numpy/pandas default, DuckDB ``quantile_cont``). Empty input -> nulls."""
-    r = value_ranks(df, col)
+    r = value_ranks(df, col, rows_per_bucket)
     n = F.col("n")
     outs = []
     for p, name in zip(probs, names):

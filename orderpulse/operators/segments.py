@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from orderpulse.functions.dates import floor_days
 from orderpulse.functions.numbers import money_sum
-from orderpulse.operators.metrics import turnover
+from orderpulse.operators.ordered import gaps
 from orderpulse.operators.ranks import exact_quantiles
 from orderpulse.schemas import (
     TRIGGER_MIX, TRIGGER_TURNOVER, TRIGGER_VOLUME, UNCLASSIFIED_SEGMENT,
@@ -19,14 +19,14 @@ def pdv_vectors(tx: DataFrame) -> DataFrame:
     (orders per 30 days of active span, span below 30 days counts as one) and
     ``giro_mediano`` (median gap between consecutive rows) (A28)."""
     tx = tx.where(F.col("client").isNotNull())
-    v = tx.groupBy("client").agg(
+    v = gaps(tx, ["client"]).groupBy("client").agg(
         F.count_distinct("order_id").alias("_orders"),
         F.count_distinct("sku").alias("mix"),
         F.coalesce(F.sum("qty"), F.lit(0.0)).alias("volume"),
-        F.max("date").alias("_last"), F.min("date").alias("_first"))
-    giro = turnover(tx, ["client"], name="giro_mediano")
+        F.max("date").alias("_last"), F.min("date").alias("_first"),
+        F.median("gap").alias("giro_mediano"))
     span = floor_days(F.col("_last"), F.col("_first")) / 30.0
-    return v.join(giro, "client", "left").select(
+    return v.select(
         "client", "mix", "volume",
         (F.col("_orders") / F.greatest(F.lit(1.0), span)).alias("freq"),
         F.coalesce("giro_mediano", F.lit(0.0)).alias("giro_mediano"))
