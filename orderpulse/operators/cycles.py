@@ -18,6 +18,7 @@ from orderpulse.functions.numbers import money_sum
 from orderpulse.operators.ordered import gaps
 from orderpulse.operators.ranks import avg_rank_pct
 from orderpulse.operators.stats import cv
+from orderpulse.session import materialize
 
 # Window-status bounds on days_since / cycle (fixed by the documents).
 STATUS_BOUNDS = [(0.50, "frio"), (0.80, "aquecimento")]
@@ -92,7 +93,8 @@ def priority_items(tx: DataFrame, reference_date, keys: Sequence[str] = ("client
     """Priority score = status score, value rank, frequency rank and
     confidence (1 / (1 + gap CV)) weighted; risk level; diagnosis, action and
     message texts. Ranks are global average-rank percentiles (distributed)."""
-    st = window_status(cycle_metrics(tx, keys, reference_date))
+    # ranked twice and returned: computed once, lineage cut
+    st = materialize(window_status(cycle_metrics(tx, keys, reference_date)))
     st = avg_rank_pct(st, "revenue", "value_rank")
     st = avg_rank_pct(st, "orders", "frequency_rank")
     conf = F.when(F.col("status") == "insufficient_history", F.lit(0.0)) \

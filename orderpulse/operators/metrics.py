@@ -6,7 +6,6 @@ time matters, an explicit ``reference_date``; all return lazy DataFrames.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +15,7 @@ from orderpulse.functions.numbers import money_sum
 from orderpulse.operators.ordered import gaps
 from orderpulse.operators.ranks import avg_rank_pct, exact_quantiles
 from orderpulse.schemas import DEFAULT_DELAY_DAYS
+from orderpulse.session import materialize
 
 
 def _keyed(tx: DataFrame, key: str) -> DataFrame:
@@ -86,8 +86,8 @@ def customer_rfm(tx: DataFrame, reference_date, distinct_dates: bool = False) ->
     """Customer base + segment weight, average-rank percentiles, RFM score and
     tier (A05, W03, P25)."""
     base = customer_base(tx, reference_date, distinct_dates)
-    # read four times (three ranks + the result): compute it once
-    df = base.join(segment_weights(tx), "client", "left").persist(StorageLevel.MEMORY_AND_DISK)
+    # read four times (three ranks + the result): computed once, lineage cut
+    df = materialize(base.join(segment_weights(tx), "client", "left"))
     df = avg_rank_pct(df, "recency", "_rp")
     df = avg_rank_pct(df, "frequency", "_fp")
     df = avg_rank_pct(df, "monetary", "_mp")

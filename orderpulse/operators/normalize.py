@@ -98,14 +98,15 @@ def base_order(df: DataFrame) -> DataFrame:
 
 
 def normalize_transactions(raw: DataFrame, dataset_id: str, customers: DataFrame | None = None,
-                           use_supplied_sku: bool = True) -> DataFrame:
+                           use_supplied_sku: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """P19 + J04: canonical transactions from validated raw rows.
 
     client = client key (P11); sku = supplied sku when present (Q7) else
     generated from the product (P12); price decimal(28,2) HALF_UP (P08);
     subtotal = price x qty recomputed; date naive local -> UTC (P09); uf,
     segment, city from the customer master by client key (miss -> null).
-    Rows whose price does not parse are dropped, as the reference skips them."""
+    Rows whose price does not parse are dropped, as the reference skips them.
+    ``keep`` names extra input columns carried through (e.g. the source file)."""
     price = locale_decimal(F.col("price"))
     sku = generated_sku(F.col("product"))
     if use_supplied_sku and "sku" in raw.columns:
@@ -119,6 +120,7 @@ def normalize_transactions(raw: DataFrame, dataset_id: str, customers: DataFrame
         (price * F.col("qty").cast("decimal(20,0)")).cast("decimal(28,2)").alias("subtotal"),
         (F.col("category") if "category" in raw.columns else F.lit(None)).cast("string").alias("category"),
         (F.col("ingest_seq") if "ingest_seq" in raw.columns else F.lit(None)).cast("long").alias("ingest_seq"),
+        *[F.col(k) for k in keep],
     ).where(F.col("price").isNotNull())
     if customers is None:
         return tx.select("*", *[F.lit(None).cast("string").alias(c) for c in ("segment", "city", "uf")])
@@ -149,7 +151,8 @@ def extract_customers(rows: DataFrame) -> DataFrame:
         client_key(col("client")).alias("name"), col("client").alias("original_name"),
         col("cnpj").alias("cnpj"), col("ie").alias("ie"), F.upper(col("uf")).alias("uf"),
         col("city").alias("city"), F.nullif(col("segment"), F.lit("")).alias("segment"),
-        (F.col("ingest_seq") if "ingest_seq" in rows.columns else F.lit(None)).cast("long").alias("ingest_seq"))
+        (F.col("ingest_seq") if "ingest_seq" in rows.columns else F.lit(None)).cast("long").alias("ingest_seq"),
+        *[F.col(c) for c in ("file_id",) if c in rows.columns])
     return out.where(F.col("original_name") != "")
 
 

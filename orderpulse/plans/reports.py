@@ -3,7 +3,6 @@ transaction frame, plus the P26, P32 and P33 projections."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +25,8 @@ def relationship_sheet(clients: DataFrame, delay: int = DEFAULT_DELAY_DAYS) -> D
 def build_report(tx: DataFrame, reference_date, delay: int = DEFAULT_DELAY_DAYS) -> dict[str, DataFrame]:
     """The five report tables. Raises ``ValueError`` on empty input.
 
-    ``tx`` is persisted once because all five tables read it."""
-    tx = tx.persist(StorageLevel.MEMORY_AND_DISK)
+    Each table re-reads ``tx`` (a pruned scan of the fact table): at scale the
+    facts are far larger than executor memory, so they are not cached."""
     if tx.isEmpty():
         raise ValueError("no normalised transactions to report on")
     clients = M.customer_rfm(tx, reference_date)
@@ -63,7 +62,6 @@ def prioritised_targets(alerts: DataFrame) -> DataFrame:
 
 def pro_report(tx: DataFrame, reference_date) -> dict[str, DataFrame]:
     """Base, client potential (T02), product potential (A22, T09), insights, alerts."""
-    tx = tx.persist(StorageLevel.MEMORY_AND_DISK)
     clients = M.customer_rfm(tx, reference_date)
     alerts = AL.rico_alerts(tx, reference_date)
     return {
@@ -78,7 +76,6 @@ def pro_report(tx: DataFrame, reference_date) -> dict[str, DataFrame]:
 def panel_report(tx: DataFrame, reference_date, base_rows: int | None = None) -> dict[str, DataFrame]:
     """Panel KPIs + RFM summary, client radar, product radar, prioritised
     targets and the base table (``base_rows`` caps it in arrival order, T07; off by default)."""
-    tx = tx.persist(StorageLevel.MEMORY_AND_DISK)
     clients = M.customer_rfm(tx, reference_date)
     base = tx.orderBy("ingest_seq")
     if base_rows is not None:

@@ -51,3 +51,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         conf_dir = tempfile.mkdtemp(prefix="orderpulse-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
+
+
+def materialize(df):
+    """Write ``df`` to the checkpoint directory and continue from the written copy.
+
+    For an intermediate read by several jobs (a per-client table ranked three
+    times): it is computed once, its lineage is cut, and losing an executor
+    afterwards costs a re-read, not a recomputation from the facts."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
