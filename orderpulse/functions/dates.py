@@ -10,16 +10,11 @@ from pyspark.sql import functions as F
 
 MICROS_PER_DAY = 86_400_000_000
 
-# Day-first text formats tried in order (P06). ISO text is read as ISO (Q1).
-DAYFIRST_FORMATS = [
-    "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd",
-    "d/M/yyyy HH:mm:ss", "d/M/yyyy HH:mm", "d/M/yyyy",
-    "d-M-yyyy HH:mm:ss", "d-M-yyyy", "d.M.yyyy", "d/M/yy",
-]
-MONTHFIRST_FORMATS = [
-    "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd",
-    "M/d/yyyy HH:mm:ss", "M/d/yyyy HH:mm", "M/d/yyyy", "M-d-yyyy", "M/d/yy",
-]
+# Date text shapes (P06/P17): day-month-year with '/', '-' or '.', or ISO
+# year-month-day; optional time (H:mm[:ss[.fff]]) after a space or 'T'.
+_TIME = r"(?:[ T](\d{1,2}):(\d{2})(?::(\d{2}(?:\.\d{1,6})?))?)?"
+_DMY = r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4}|\d{2})" + _TIME + r"$"
+_YMD = r"^(\d{4})-(\d{1,2})-(\d{1,2})" + _TIME + r"$"
 
 
 def ts_literal(value) -> Column:
@@ -54,16 +49,32 @@ def month_start(ts: Column) -> Column:
     return F.trunc(ts.cast("date"), "month")
 
 
-def _try_formats(text: Column, formats) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
+def _year(y: Column) -> Column:
+    """Two-digit years: 00-68 -> 2000s, 69-99 -> 1900s (strptime's rule)."""
+    return F.when(y < 100, F.when(y < 69, y + 2000).otherwise(y + 1900)).otherwise(y)
 
 
 def parse_date(value: Column, dayfirst: bool = True, fallback: Column | None = None) -> Column:
-    """Lenient text -> timestamp_ntz (P06/P17/P29/P30). Unparsable -> null or ``fallback``."""
+    """Lenient text -> timestamp_ntz (P06/P17/P29/P30); unparsable -> null or ``fallback``.
+
+    ISO text is read as ISO (Q1); other numeric dates are day-first unless
+    ``dayfirst`` is false. One regex checks the shape, one ``split`` cuts the
+    fields and ``try_make_timestamp_ntz`` assembles them (an impossible date such
+    as 31/02 is null), so no row pays for failed pattern attempts."""
     text = F.trim(value.cast("string"))
-    text = F.when(text == "", F.lit(None)).otherwise(text)
-    fmts = DAYFIRST_FORMATS if dayfirst else MONTHFIRST_FORMATS
-    parsed = _try_formats(text, fmts).cast("timestamp_ntz")
+    parts = F.split(text, r"[/.: T-]")
+
+    def part(i):
+        return F.try_element_at(parts, F.lit(i)).cast("int")
+
+    frac = F.coalesce(F.try_element_at(parts, F.lit(7)), F.lit("0"))
+    sec = F.concat(F.coalesce(F.try_element_at(parts, F.lit(6)), F.lit("0")), F.lit("."), frac) \
+        .cast("decimal(16,6)")
+    h, mi = F.coalesce(part(4), F.lit(0)), F.coalesce(part(5), F.lit(0))
+    first, second = (part(1), part(2)) if dayfirst else (part(2), part(1))
+    ymd = F.try_make_timestamp_ntz(part(1), part(2), part(3), h, mi, sec)
+    dmy = F.try_make_timestamp_ntz(_year(part(3)), second, first, h, mi, sec)
+    parsed = F.when(text.rlike(_YMD), ymd).when(text.rlike(_DMY), dmy)
     if fallback is not None:
         parsed = F.coalesce(parsed, fallback)
     return parsed

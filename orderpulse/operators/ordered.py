@@ -39,49 +39,47 @@ def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 
     ``bucket`` must be non-decreasing in ``order`` (default: day of ``order[0]``).
     Plan: a map-side-combined aggregate gives each (key, bucket)'s last row; a
-    window over that small table gives every bucket its predecessor's last row;
-    the rows are joined to it on (key, bucket) and the ordered window runs on
-    the same (key, bucket) partitioning, so the fact rows are shuffled once.
+    window over that small table hands every bucket its predecessor's last row
+    as one extra "carry" row, which is unioned in front of the bucket's rows. A
+    single ordered window per (key, bucket) then reads ``lag``: the fact rows
+    are shuffled and sorted once and never joined.
     """
     keys, order, carry = list(keys), list(order), list(carry)
     bucket = day_bucket(F.col(order[0])) if bucket is None else bucket
-    b = df.withColumn("_bkt", bucket)
+    b = df.withColumn("_bkt", bucket).withColumn("_src", F.lit(1))
     last = (b.groupBy(*keys, "_bkt")
             .agg(F.max_by(F.struct(*carry), F.struct(*order)).alias("_last")))
     wk = Window.partitionBy(*keys).orderBy("_bkt")
-    carry_over = last.select(*keys, "_bkt", F.lag("_last").over(wk).alias("_prev_last"))
-    j = b.join(carry_over, on=[*keys, "_bkt"], how="left")
-    w = Window.partitionBy(*keys, "_bkt").orderBy(*_cols(order))
-    first = F.row_number().over(w) == 1
-    return j.select(
-        *[F.col(c) for c in df.columns],
-        *[F.when(first, F.col("_prev_last")[c]).otherwise(F.lag(c).over(w)).alias(f"{prefix}{c}")
-          for c in carry],
-    )
+    carry_rows = last.select(*keys, "_bkt", F.lag("_last").over(wk).alias("_pl")).select(
+        *keys, "_bkt", *[F.col("_pl")[c].alias(c) for c in carry if c not in keys], F.lit(0).alias("_src"))
+    u = b.unionByName(carry_rows, allowMissingColumns=True)
+    w = Window.partitionBy(*keys, "_bkt").orderBy("_src", *_cols(order))
+    return u.select(*[F.col(c) for c in df.columns], "_src",
+                    *[F.lag(c).over(w).alias(f"{prefix}{c}") for c in carry]) \
+        .where(F.col("_src") == 1).drop("_src")
 
 
 def forward_fill(df: DataFrame, keys: Sequence[str], order: str, fill: Sequence[str],
                  bucket: Column) -> DataFrame:
     """Replace nulls in ``fill`` by the last non-null value earlier in ``order``
-    within ``keys`` (W02). ``bucket`` must be non-decreasing in ``order``."""
+    within ``keys`` (W02). ``bucket`` must be non-decreasing in ``order``.
+
+    Same shape as ``with_previous``: per-bucket last non-null values (small),
+    carried over buckets, unioned in as one leading row per bucket, one window."""
     keys, fill = list(keys), list(fill)
-    b = df.withColumn("_bkt", bucket)
-    w = (Window.partitionBy(*keys, "_bkt").orderBy(order)
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = b.select("*", *[F.last(c, ignorenulls=True).over(w).alias(f"_ff_{c}") for c in fill])
-    # last non-null value of each column per (key, bucket) ...
+    b = df.withColumn("_bkt", bucket).withColumn("_src", F.lit(1))
     summary = b.groupBy(*keys, "_bkt").agg(
         *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_lastv_{c}")
           for c in fill])
-    # ... carried over buckets: last non-null among all earlier buckets
     wk = (Window.partitionBy(*keys).orderBy("_bkt")
           .rowsBetween(Window.unboundedPreceding, -1))
-    summary = summary.select(*keys, "_bkt", *[
-        F.last(f"_lastv_{c}", ignorenulls=True).over(wk).alias(f"_carry_{c}") for c in fill])
-    out = local.join(summary, on=[*keys, "_bkt"], how="left")
-    return out.select(
-        *[F.coalesce(F.col(f"_ff_{c}"), F.col(f"_carry_{c}")).alias(c) if c in fill else F.col(c)
-          for c in df.columns])
+    carry_rows = summary.select(*keys, "_bkt", *[
+        F.last(f"_lastv_{c}", ignorenulls=True).over(wk).alias(c) for c in fill], F.lit(0).alias("_src"))
+    u = b.unionByName(carry_rows, allowMissingColumns=True)
+    w = (Window.partitionBy(*keys, "_bkt").orderBy("_src", order)
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return u.select(*[F.last(c, ignorenulls=True).over(w).alias(c) if c in fill else F.col(c)
+                      for c in df.columns], "_src").where(F.col("_src") == 1).drop("_src")
 
 
 def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,
