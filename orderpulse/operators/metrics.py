@@ -134,7 +134,8 @@ def series_growth(monthly: DataFrame, key: str, value: str = "revenue") -> DataF
 
 def hero_threshold(tx: DataFrame, key: str = "sku", q: float = 0.8) -> DataFrame:
     """One row: ``hero_threshold`` = linear ``q`` quantile of revenue per key."""
-    rev = _keyed(tx, key).groupBy(key).agg(money_sum(F.col("subtotal")).alias("revenue"))
+    # the quantile runs eager jobs on it: compute the per-key table once
+    rev = materialize(_keyed(tx, key).groupBy(key).agg(money_sum(F.col("subtotal")).alias("revenue")))
     return exact_quantiles(rev, "revenue", [q], ["hero_threshold"]) \
         .select(F.coalesce("hero_threshold", F.lit(0.0)).alias("hero_threshold"))
 
@@ -152,6 +153,8 @@ def product_analytics(tx: DataFrame, distinct_dates: bool = False) -> DataFrame:
             turnover(tx, ["sku"], True, name="turnover_median"), "sku", "left")
     else:
         base = gaps(tx, ["sku"]).groupBy("sku").agg(*aggs, F.median("gap").alias("turnover_median"))
+    # read by the eager quantile jobs and by the result: computed once
+    base = materialize(base)
     growth = series_growth(product_monthly(tx), "sku").select("sku", "growth_zscore", "growth_yoy")
     # hero threshold from the per-SKU revenue computed above (one row)
     hero = exact_quantiles(base.select("revenue"), "revenue", [0.8], ["hero_threshold"]) \

@@ -2,11 +2,18 @@
 
 A ``Window.partitionBy(key)`` puts every row of a key into one task; with one
 client holding a third of all rows that task would sort a third of the data.
-Here the ordered scan runs per ``(key, bucket)``, where the bucket is a monotone
-function of the leading order column (calendar day by default), so a hot key is
-spread over as many tasks as it has days. What crosses a bucket boundary (the
-previous row, the last non-null value, the first/last N rows) is patched from a
-per-bucket summary whose size is the number of (key, bucket) pairs, not rows.
+
+First a map-side-combined count finds the *hot* keys (more than
+``SPLIT_ROWS`` rows). Keys below it are ordered by a plain per-key window: no
+task holds more than ``SPLIT_ROWS`` rows of one key. Hot keys are split into
+``(key, bucket)`` pieces, the bucket being a monotone function of the leading
+order column (calendar day by default), so a hot key is spread over as many
+tasks as it has days. What crosses a bucket boundary (the previous row, the last
+non-null value) arrives as one "carry" row per bucket, computed from a
+per-bucket summary whose size is the number of (hot key, bucket) pairs.
+
+The hot-key list is broadcast only when it holds at most ``MAX_HOT_KEYS``
+rows (checked); beyond that every key is split by bucket.
 """
 
 from __future__ import annotations
@@ -20,6 +27,9 @@ from orderpulse.functions.dates import MICROS_PER_DAY
 
 _EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
+SPLIT_ROWS = 1_000_000
+MAX_HOT_KEYS = 100_000
+
 
 def day_bucket(ts: Column) -> Column:
     """Days since the epoch (floored): monotone in ``ts``."""
@@ -31,23 +41,44 @@ def _cols(xs) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
 
+def _mark_hot(df: DataFrame, keys: list[str], split_rows: int) -> tuple[DataFrame, bool]:
+    """``df`` with a boolean ``_hot`` column; ``False`` overall when no key is hot.
+
+    Runs one job: a grouped count (combined map-side) filtered to hot keys."""
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > split_rows) \
+        .select(*keys, F.lit(True).alias("_hot"))
+    n_hot = hot.limit(MAX_HOT_KEYS + 1).count()
+    if n_hot == 0:
+        return df.withColumn("_hot", F.lit(False)), False
+    if n_hot > MAX_HOT_KEYS:
+        return df.withColumn("_hot", F.lit(True)), True
+    # proven small (checked above): broadcast; null keys never match, as in a window
+    return df.join(F.broadcast(hot), on=keys, how="left") \
+        .withColumn("_hot", F.coalesce(F.col("_hot"), F.lit(False))), True
+
+
 def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                   carry: Sequence[str], bucket: Column | None = None,
-                  prefix: str = "prev_") -> DataFrame:
+                  prefix: str = "prev_", split_rows: int = SPLIT_ROWS) -> DataFrame:
     """Add ``prev_<c>`` = value of ``c`` on the row just before, within ``keys`` in
     ``order`` (W01/W10). The first row of each key gets nulls.
 
     ``bucket`` must be non-decreasing in ``order`` (default: day of ``order[0]``).
-    Plan: a map-side-combined aggregate gives each (key, bucket)'s last row; a
-    window over that small table hands every bucket its predecessor's last row
-    as one extra "carry" row, which is unioned in front of the bucket's rows. A
-    single ordered window per (key, bucket) then reads ``lag``: the fact rows
-    are shuffled and sorted once and never joined.
+    Hot keys: a map-side-combined aggregate gives each (key, bucket)'s last row;
+    a window over that small table hands every bucket its predecessor's last row
+    as one "carry" row, unioned in front of the bucket's rows. One ordered
+    window per (key, bucket) then reads ``lag``: the fact rows are shuffled and
+    sorted once and never joined.
     """
     keys, order, carry = list(keys), list(order), list(carry)
     bucket = day_bucket(F.col(order[0])) if bucket is None else bucket
-    b = df.withColumn("_bkt", bucket).withColumn("_src", F.lit(1))
-    last = (b.groupBy(*keys, "_bkt")
+    marked, any_hot = _mark_hot(df, keys, split_rows)
+    if not any_hot:
+        w = Window.partitionBy(*keys).orderBy(*_cols(order))
+        return df.select("*", *[F.lag(c).over(w).alias(f"{prefix}{c}") for c in carry])
+    b = marked.withColumn("_bkt", F.when(F.col("_hot"), bucket).otherwise(F.lit(0).cast("long"))) \
+        .withColumn("_src", F.lit(1))
+    last = (b.where(F.col("_hot")).groupBy(*keys, "_bkt")
             .agg(F.max_by(F.struct(*carry), F.struct(*order)).alias("_last")))
     wk = Window.partitionBy(*keys).orderBy("_bkt")
     carry_rows = last.select(*keys, "_bkt", F.lag("_last").over(wk).alias("_pl")).select(
@@ -60,15 +91,23 @@ def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 
 
 def forward_fill(df: DataFrame, keys: Sequence[str], order: str, fill: Sequence[str],
-                 bucket: Column) -> DataFrame:
+                 bucket: Column, split_rows: int = SPLIT_ROWS) -> DataFrame:
     """Replace nulls in ``fill`` by the last non-null value earlier in ``order``
     within ``keys`` (W02). ``bucket`` must be non-decreasing in ``order``.
 
-    Same shape as ``with_previous``: per-bucket last non-null values (small),
-    carried over buckets, unioned in as one leading row per bucket, one window."""
+    Same shape as ``with_previous``: for hot keys, per-bucket last non-null
+    values (small) are carried over buckets and unioned in as one leading row
+    per bucket; one window."""
     keys, fill = list(keys), list(fill)
-    b = df.withColumn("_bkt", bucket).withColumn("_src", F.lit(1))
-    summary = b.groupBy(*keys, "_bkt").agg(
+    marked, any_hot = _mark_hot(df, keys, split_rows)
+    if not any_hot:
+        w = (Window.partitionBy(*keys).orderBy(order)
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        return df.select(*[F.last(c, ignorenulls=True).over(w).alias(c) if c in fill else F.col(c)
+                           for c in df.columns])
+    b = marked.withColumn("_bkt", F.when(F.col("_hot"), bucket).otherwise(F.lit(0).cast("long"))) \
+        .withColumn("_src", F.lit(1))
+    summary = b.where(F.col("_hot")).groupBy(*keys, "_bkt").agg(
         *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_lastv_{c}")
           for c in fill])
     wk = (Window.partitionBy(*keys).orderBy("_bkt")
@@ -83,26 +122,29 @@ def forward_fill(df: DataFrame, keys: Sequence[str], order: str, fill: Sequence[
 
 
 def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,
-            bucket: Column) -> DataFrame:
+            bucket: Column, split_rows: int = SPLIT_ROWS) -> DataFrame:
     """Rows ranked ``<= n`` per key by ``order`` (W05), with ``_rank`` added.
 
     Two levels: the top ``n`` per (key, bucket) are the only candidates, so the
     per-key step sees at most ``n`` x buckets rows. ``bucket`` must be monotone
     in ``order`` in the same direction."""
     keys = list(keys)
-    b = df.withColumn("_bkt", bucket)
+    w2 = Window.partitionBy(*keys).orderBy(*order)
+    marked, any_hot = _mark_hot(df, keys, split_rows)
+    if not any_hot:
+        return df.withColumn("_rank", F.row_number().over(w2)).where(F.col("_rank") <= n)
+    b = marked.withColumn("_bkt", F.when(F.col("_hot"), bucket).otherwise(F.lit(0).cast("long")))
     w1 = Window.partitionBy(*keys, "_bkt").orderBy(*order)
     cand = b.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= n)
-    w2 = Window.partitionBy(*keys).orderBy(*order)
     top = cand.withColumn("_rank", F.row_number().over(w2)).where(F.col("_rank") <= n)
-    return top.drop("_bkt", "_r1")
+    return top.select(*df.columns, "_rank")
 
 
 def gaps(df: DataFrame, keys: Sequence[str], ts: str = "date",
-         tie: str = "ingest_seq") -> DataFrame:
+         tie: str = "ingest_seq", split_rows: int = SPLIT_ROWS) -> DataFrame:
     """Floor-day gaps between consecutive rows of each key ordered by (ts, tie).
 
     Returns the input rows plus ``gap`` (null on each key's first row)."""
     from orderpulse.functions.dates import floor_days
-    prev = with_previous(df, keys, [ts, tie], [ts], prefix="_p_")
+    prev = with_previous(df, keys, [ts, tie], [ts], prefix="_p_", split_rows=split_rows)
     return prev.withColumn("gap", floor_days(F.col(ts), F.col(f"_p_{ts}"))).drop(f"_p_{ts}")

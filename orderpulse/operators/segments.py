@@ -9,6 +9,7 @@ from orderpulse.functions.dates import floor_days
 from orderpulse.functions.numbers import money_sum
 from orderpulse.operators.ordered import gaps
 from orderpulse.operators.ranks import exact_quantiles
+from orderpulse.session import materialize
 from orderpulse.schemas import (
     TRIGGER_MIX, TRIGGER_TURNOVER, TRIGGER_VOLUME, UNCLASSIFIED_SEGMENT,
 )
@@ -45,7 +46,8 @@ def pdv_scores(tx: DataFrame, peso_mix: float = 0.35, peso_volume: float = 0.35,
                peso_frequencia: float = 0.30) -> DataFrame:
     """Per client: ``score``, trigger flags, ``gatilhos`` (texts) and
     ``justificativa`` (A30). Sort with ``orderBy(desc score, client)`` (T03)."""
-    v = pdv_vectors(tx)
+    # read by the baseline's eager quantile jobs and by the scores: computed once
+    v = materialize(pdv_vectors(tx))
     df = v.crossJoin(pdv_baseline(v))                      # baseline is one row
     score = (F.col("mix") / F.greatest(F.lit(1.0), F.col("mean_mix")) * peso_mix
              + F.col("volume") / F.greatest(F.lit(1.0), F.col("mean_volume")) * peso_volume

@@ -15,6 +15,7 @@ from orderpulse.functions.dates import floor_days
 from orderpulse.functions.numbers import money_sum
 from orderpulse.operators.metrics import customer_base, general_kpis, hero_threshold
 from orderpulse.operators.ranks import exact_quantiles, value_ranks
+from orderpulse.session import materialize
 
 
 def product_totals(tx: DataFrame, keys=("sku", "product")) -> DataFrame:
@@ -103,6 +104,7 @@ def rfm_summary(customers: DataFrame,
     """Mean, median, min, max of each metric over customers (one row per metric).
 
     Medians come from the distributed rank table, not a per-group value map."""
+    customers = materialize(customers)          # four metrics read it
     rows = None
     for m in metrics:
         a = customers.agg(F.avg(m).alias("mean"), F.min(F.col(m).cast("double")).alias("min"),
@@ -152,7 +154,7 @@ def product_ranking(tx: DataFrame, by: str = "receita") -> DataFrame:
     sorts all SKUs."""
     metric = {"receita": money_sum(F.col("subtotal")), "quantidade": F.sum("qty"),
               "pedidos": F.count_distinct("order_id")}[by]
-    p = tx.where(F.col("sku").isNotNull()).groupBy("sku").agg(metric.alias("value"))
+    p = materialize(tx.where(F.col("sku").isNotNull()).groupBy("sku").agg(metric.alias("value")))
     r = value_ranks(p, "value")
     r = r.select(F.col("v").alias("value"), (F.col("n") - F.col("below") - F.col("c") + 1).alias("rank"))
     return p.join(r, "value", "left").select("sku", "value", "rank")

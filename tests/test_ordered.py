@@ -18,9 +18,14 @@ def _events(spark, seed=1):
     return pdf, spark.createDataFrame(pdf).withColumn("date", F.col("date").cast("timestamp_ntz"))
 
 
-def test_with_previous_matches_shift(spark):
+import pytest
+
+
+@pytest.mark.parametrize("split_rows", [100, 10**9])
+def test_with_previous_matches_shift(spark, split_rows):
     pdf, df = _events(spark)
-    got = with_previous(df, ["k"], ["date", "ingest_seq"], ["v"]).toPandas().set_index("ingest_seq")["prev_v"]
+    got = with_previous(df, ["k"], ["date", "ingest_seq"], ["v"], split_rows=split_rows) \
+        .toPandas().set_index("ingest_seq")["prev_v"]
     exp = pdf.sort_values(["k", "date", "ingest_seq"]).groupby("k")["v"].shift(1)
     exp.index = pdf.sort_values(["k", "date", "ingest_seq"])["ingest_seq"]
     pd.testing.assert_series_equal(got.sort_index(), exp.sort_index(), check_names=False)
@@ -28,26 +33,32 @@ def test_with_previous_matches_shift(spark):
 
 def test_gaps_floor_days(spark):
     pdf, df = _events(spark, 2)
-    got = gaps(df, ["k"]).toPandas().set_index("ingest_seq")["gap"].sort_index()
+    got = gaps(df, ["k"], split_rows=100).toPandas().set_index("ingest_seq")["gap"].sort_index()
     s = pdf.sort_values(["k", "date", "ingest_seq"])
     exp = s.groupby("k")["date"].diff().dt.days
     exp.index = s["ingest_seq"]
     assert (got.fillna(-1).astype(int) == exp.sort_index().fillna(-1).astype(int)).all()
 
 
-def test_first_n_matches_head(spark):
+@pytest.mark.parametrize("split_rows", [100, 10**9])
+def test_first_n_matches_head(spark, split_rows):
     pdf, df = _events(spark, 3)
     day = F.floor(F.unix_micros(F.col("date").cast("timestamp")) / 86400e6)
-    got = first_n(df, ["k"], [F.col("date").desc(), F.col("ingest_seq").desc()], 6, -day).toPandas()
+    got = first_n(df, ["k"], [F.col("date").desc(), F.col("ingest_seq").desc()], 6, -day,
+                  split_rows=split_rows).toPandas()
     exp = pdf.sort_values(["date", "ingest_seq"], ascending=False).groupby("k").head(6)
     assert sorted(got["ingest_seq"]) == sorted(exp["ingest_seq"])
 
 
-def test_forward_fill_across_buckets(spark):
+@pytest.mark.parametrize("split_rows", [10, 10**9])
+def test_forward_fill_across_buckets(spark, split_rows):
     rows = [("f", i, f"P{i}" if i % 37 == 0 else None) for i in range(1, 400)]
+    rows += [("g", i, "Q" if i == 5 else None) for i in range(1, 9)]
     df = spark.createDataFrame(rows, "file string, row_idx long, hdr string")
-    got = forward_fill(df, ["file"], "row_idx", ["hdr"], F.shiftright("row_idx", 3)).toPandas()
-    pdf = pd.DataFrame(rows, columns=["file", "row_idx", "hdr"]).sort_values("row_idx")
+    got = forward_fill(df, ["file"], "row_idx", ["hdr"], F.shiftright("row_idx", 3),
+                       split_rows=split_rows).where("file = 'f'").toPandas()
+    pdf = pd.DataFrame(rows, columns=["file", "row_idx", "hdr"])
+    pdf = pdf[pdf["file"] == "f"].sort_values("row_idx")
     exp = pdf["hdr"].ffill()
     got = got.sort_values("row_idx")["hdr"].reset_index(drop=True)
     assert got.fillna("-").tolist() == exp.fillna("-").tolist()
