@@ -49,18 +49,21 @@ def normalize_structure(df: DataFrame, dayfirst: bool = True, locale_numbers: bo
             sel.append((s.cast("string") if s is not None else F.lit("")).alias(t))
     sel.append((F.col(f"`{combined}`") if combined else F.lit(None).cast("string")).alias("_comb"))
     out = df.select(*sel)
-    # "every row" facts for P13/P14: one aggregate row, cross-joined
+    # "every row" facts for P13/P14 in one aggregate row, cross-joined
+    code, desc = split_code_description(F.col("_comb"))
     flags = out.agg(F.coalesce(F.bool_and(F.col("sku") == ""), F.lit(True)).alias("_no_sku"),
-                    F.coalesce(F.bool_and(F.col("product") == ""), F.lit(True)).alias("_no_prod"))
+                    F.coalesce(F.bool_and(F.col("product") == ""), F.lit(True)).alias("_no_prod"),
+                    F.coalesce(F.bool_and(desc == ""), F.lit(True)).alias("_no_desc"),
+                    (F.count(F.lit(1)) > 0).alias("_any_row"))
     out = out.crossJoin(flags)
-    code, desc = split_code_description(F.col("_comb"))
     split_ok = F.col("_no_sku") & F.lit(combined is not None)
+    # product is still empty everywhere after P13 when it was and the split gave no description
+    prod_empty = F.col("_no_prod") & (~split_ok | F.col("_no_desc"))
     out = out.withColumn("sku", F.when(split_ok, code).otherwise(F.col("sku"))) \
         .withColumn("product", F.when(split_ok & F.col("_no_prod"), desc).otherwise(F.col("product")))
-    prod_empty = out.agg(F.coalesce(F.bool_and(F.col("product") == ""), F.lit(True)).alias("_pe"),
-                         F.coalesce(F.bool_or(F.col("sku").isNotNull()), F.lit(False)).alias("_sk"))
-    out = out.crossJoin(prod_empty).withColumn(
-        "product", F.when(F.col("_pe") & F.col("_sk"), F.col("sku").cast("string")).otherwise(F.col("product")))
+    # Sku text is never missing (empty string counts as present), so any row suffices
+    out = out.withColumn("product", F.when(prod_empty & F.col("_any_row"), F.col("sku").cast("string"))
+                         .otherwise(F.col("product")))
     missing = F.col("subtotal").isNull() | (F.col("subtotal") == 0)
     out = out.withColumn("subtotal", F.when(missing, F.coalesce("price", F.lit(0.0)) * F.coalesce("qty", F.lit(0.0)))
                          .otherwise(F.col("subtotal")))
