@@ -3,6 +3,9 @@ input is not a driver table (cell grids, text columns).
 
 These only lay rows out in the schema the operator expects; they do none of
 the operator's work. Row order within a grid is given by ``row_idx``.
+``stored`` writes a stand-in once (checkpoint directory), as the sheet or table
+it stands for would be stored, so an operator's several passes read it rather
+than rebuild it.
 """
 
 from __future__ import annotations
@@ -17,6 +20,12 @@ FLAT_HEADER_CELLS = ["data_emissao", "pedido", "cliente", "vendedor", "preco", "
                      "produto"]
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write the stand-in in ordinary splits (2 per core), as a stored table has them."""
+    from orderpulse.session import materialize
+    return materialize(df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism))
+
+
 def pt_br(x: Column) -> Column:
     """2-place number as pt-BR text: 1234.5 -> '1.234,50'."""
     return F.translate(F.format_number(x, 2), ",.", ".,")

@@ -36,3 +36,33 @@ def test_empty_input_raises(spark):
     tx = tx_frame(spark, [("a", "s", "p", "2024-01-01", "1", 1.0, 1.0)]).where("false")
     with pytest.raises(ValueError):
         build_report(tx, "2024-03-01 00:00:00")
+
+
+def test_pro_and_panel_reports(spark):
+    from orderpulse.plans.reports import panel_report, pro_report
+    from orderpulse.sources.adapters import TPCH_REFERENCE_DATE, tpch
+    tx = tpch(spark, "/root/testdata/sf0.001")
+    pro = pro_report(tx, TPCH_REFERENCE_DATE)
+    assert list(pro) == ["base", "clientes", "produtos", "insights", "alertas"]
+    assert pro["insights"].count() == pro["alertas"].count() > 0
+    panel = panel_report(tx, TPCH_REFERENCE_DATE, base_rows=100)
+    assert panel["base_completa"].count() == 100
+    assert {r["metric"] for r in panel["rfm_resumo"].collect()} == {"recency", "frequency", "monetary", "avg_ticket"}
+    labels = {r["confiabilidade"] for r in panel["alvos_priorizados"].collect()}
+    assert labels <= {"ALTA", "MÉDIA", "BAIXA"}
+    assert all(r["type"] == r["type"].upper() for r in panel["alvos_priorizados"].select("type").collect())
+
+
+def test_legacy_alert_fallback_and_export_casts(spark):
+    from decimal import Decimal
+    from orderpulse.plans.reports import insights_projection
+    from orderpulse.sources.store import export_table
+    legacy = spark.createDataFrame([("c", "ruptura", "diag", "act", "🔴")],
+                                   "client string, type string, diagnosis string, recommended_action string, reliability string")
+    r = insights_projection(legacy).first()
+    assert r["insight"] == "diag" and r["action"] == "act" and r["sku"] is None
+    t = spark.createDataFrame([(Decimal("1.50"),)], "subtotal decimal(28,2)")
+    assert export_table({"transactions": t}, "transactions").schema["subtotal"].dataType.typeName() == "double"
+    import pytest
+    with pytest.raises(ValueError):
+        export_table({"transactions": t}, "nope")
