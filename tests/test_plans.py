@@ -31,3 +31,31 @@ def test_date_filter_reaches_scan(spark):
         .where(F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp_ntz"))
     plan = o._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(o_orderdate), LessThan(o_orderdate" in plan
+
+
+def test_hot_keys_are_split_by_bucket_in_the_plan(spark):
+    import datetime as dt
+    from orderpulse.operators.ordered import with_previous
+    rows = [("hot", dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), i) for i in range(300)]
+    rows += [("cold", dt.datetime(2024, 1, 1), 1000)]
+    df = spark.createDataFrame(rows, "k string, date timestamp_ntz, ingest_seq long")
+    split = with_previous(df, ["k"], ["date", "ingest_seq"], ["date"], split_rows=100)
+    plan = split._jdf.queryExecution().executedPlan().toString()
+    assert "_bkt" in plan and "Union" in plan            # hot key: (key, bucket) windows + carry rows
+    plain = with_previous(df, ["k"], ["date", "ingest_seq"], ["date"], split_rows=10**6)
+    assert "_bkt" not in plain._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bounded_broadcast_respects_its_bound(spark):
+    from orderpulse.sources.tables import bounded_broadcast
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")     # only explicit hints broadcast
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        j_small = spark.range(5000).join(bounded_broadcast(spark.range(10), 100), "id")
+        j_big = spark.range(5000).join(bounded_broadcast(spark.range(1000), 100), "id")
+        assert "BroadcastHashJoin" in j_small._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in j_big._jdf.queryExecution().executedPlan().toString()
+        assert j_small.count() == 10 and j_big.count() == 1000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
