@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from orderpulse.functions.dates import add_days, floor_days, ts_literal
 from orderpulse.functions.numbers import money_sum
 from orderpulse.operators.ordered import gaps
-from orderpulse.operators.ranks import avg_rank_pct
+from orderpulse.operators.ranks import avg_rank_pcts
 from orderpulse.operators.stats import cv
 from orderpulse.session import materialize
 
@@ -95,8 +95,7 @@ def priority_items(tx: DataFrame, reference_date, keys: Sequence[str] = ("client
     message texts. Ranks are global average-rank percentiles (distributed)."""
     # ranked twice and returned: computed once, lineage cut
     st = materialize(window_status(cycle_metrics(tx, keys, reference_date)))
-    st = avg_rank_pct(st, "revenue", "value_rank")
-    st = avg_rank_pct(st, "orders", "frequency_rank")
+    st = avg_rank_pcts(st, {"revenue": "value_rank", "orders": "frequency_rank"})
     conf = F.when(F.col("status") == "insufficient_history", F.lit(0.0)) \
         .otherwise(1.0 / (1.0 + F.coalesce(F.col("gap_cv"), F.lit(0.0))))
     st = st.withColumn("confidence", conf)

@@ -13,7 +13,7 @@ from orderpulse.functions.dates import add_days, floor_days, month_start, ts_lit
 from orderpulse.functions.labels import tier
 from orderpulse.functions.numbers import money_sum
 from orderpulse.operators.ordered import gaps
-from orderpulse.operators.ranks import avg_rank_pct, exact_quantiles
+from orderpulse.operators.ranks import avg_rank_pcts, exact_quantiles
 from orderpulse.schemas import DEFAULT_DELAY_DAYS
 from orderpulse.session import materialize
 
@@ -88,9 +88,7 @@ def customer_rfm(tx: DataFrame, reference_date, distinct_dates: bool = False) ->
     base = customer_base(tx, reference_date, distinct_dates)
     # read four times (three ranks + the result): computed once, lineage cut
     df = materialize(base.join(segment_weights(tx), "client", "left"))
-    df = avg_rank_pct(df, "recency", "_rp")
-    df = avg_rank_pct(df, "frequency", "_fp")
-    df = avg_rank_pct(df, "monetary", "_mp")
+    df = avg_rank_pcts(df, {"recency": "_rp", "frequency": "_fp", "monetary": "_mp"})
     score = (F.lit(0.4) * (F.lit(1.0) - F.col("_rp")) + F.lit(0.3) * F.col("_fp")
              + F.lit(0.3) * F.col("_mp")) * F.col("segment_weight")
     return (df.withColumn("rfm_score", score).withColumn("tier", tier(F.col("rfm_score")))

@@ -84,3 +84,47 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float], names: list[str
         frac = F.max(pos - lo)
         outs.append((v_lo.cast("double") + frac * (v_hi.cast("double") - v_lo.cast("double"))).alias(name))
     return r.agg(*outs)
+
+
+def avg_rank_pcts(df: DataFrame, cols: dict[str, str], rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Several average-rank percentiles (W03) in one pass: the columns' distinct
+    values are stacked with a metric tag, counted, bucketed per metric and
+    ranked together (one eager job instead of one per column). ``cols`` maps
+    input column -> output column. Values are compared as double."""
+    names = list(cols)
+    stacked = None
+    for i, c in enumerate(names):
+        part = df.where(F.col(c).isNotNull()).select(F.lit(i).alias("_m"), F.col(c).cast("double").alias("v"))
+        stacked = part if stacked is None else stacked.unionByName(part)
+    vals = stacked.groupBy("_m", "v").agg(F.count(F.lit(1)).alias("c")).persist(StorageLevel.MEMORY_AND_DISK)
+    stats = {r["_m"]: (int(r["k"]), int(r["n"])) for r in
+             vals.groupBy("_m").agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("n")).collect()}
+    bucket, n_col = None, None
+    for i in range(len(names)):
+        k, n = stats.get(i, (0, 0))
+        nb = max(1, min(MAX_BUCKETS, math.ceil(k / rows_per_bucket)))
+        if nb > 1:
+            bounds = sorted(set(vals.where(F.col("_m") == i).select("v")
+                                .approxQuantile("v", [j / nb for j in range(1, nb)], 1.0 / (4 * nb))))
+            b = _bucket_expr(F.col("v"), bounds, 0, len(bounds))
+        else:
+            b = F.lit(0)
+        bucket = F.when(F.col("_m") == i, b) if bucket is None else bucket.when(F.col("_m") == i, b)
+        n_col = F.when(F.col("_m") == i, F.lit(n)) if n_col is None else n_col.when(F.col("_m") == i, F.lit(n))
+    vb = vals.withColumn("_bkt", bucket)
+    totals = vb.groupBy("_m", "_bkt").agg(F.sum("c").alias("_bc"))
+    # at most (#columns x MAX_BUCKETS) rows: broadcast is bounded
+    offs = totals.select("_m", "_bkt", F.coalesce(
+        F.sum("_bc").over(Window.partitionBy("_m").orderBy("_bkt")
+                          .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    w = Window.partitionBy("_m", "_bkt").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = (vb.withColumn("_in", F.coalesce(F.sum("c").over(w), F.lit(0)))
+              .join(F.broadcast(offs), ["_m", "_bkt"])
+              .select("_m", F.col("v").alias("_v"),
+                      ((F.col("_off") + F.col("_in") + (F.col("c") + 1) / 2.0) / n_col.cast("double"))
+                      .alias("_pct")))
+    out = df
+    for i, c in enumerate(names):
+        r = ranked.where(F.col("_m") == i).select(F.col("_v"), F.col("_pct").alias(cols[c]))
+        out = out.join(r, out[c].cast("double") == r["_v"], "left").drop("_v")
+    return out

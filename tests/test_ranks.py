@@ -32,3 +32,15 @@ def test_exact_quantiles_match_numpy(spark):
 def test_quantile_of_two_values(spark):
     df = _frame(spark, [130.0, 190.0])
     assert exact_quantiles(df, "v", [0.8], ["t"]).first()["t"] == 178.0
+
+
+def test_multi_column_ranks_match_pandas(spark):
+    rng = np.random.default_rng(11)
+    a = np.concatenate([rng.integers(0, 30, 300), np.full(200, 4)]).astype(float)
+    b = rng.normal(0, 1, 500).round(2)
+    pdf = pd.DataFrame({"id": np.arange(500), "a": a, "b": b})
+    df = spark.createDataFrame(pdf)
+    from orderpulse.operators.ranks import avg_rank_pcts
+    got = avg_rank_pcts(df, {"a": "pa", "b": "pb"}, rows_per_bucket=7).toPandas().sort_values("id")
+    assert np.allclose(got["pa"].to_numpy(), pdf["a"].rank(pct=True).to_numpy())
+    assert np.allclose(got["pb"].to_numpy(), pdf["b"].rank(pct=True).to_numpy())
