@@ -69,3 +69,19 @@ def test_reparse_and_metrics_frame(spark):
     assert r["subtotal"] == 1.5 and isinstance(r["qty"], float)
     lower = C.lower_trim_columns(spark.createDataFrame([(1,)], "` Cliente ` int"))
     assert lower.columns == ["cliente"]
+
+
+def test_read_grid_csv_keeps_line_order(spark):
+    from orderpulse.operators.extract import extract_blocks
+    from orderpulse.sources.grid import read_grid_csv
+    text = ("Produto: Café Torrado 500g\n"
+            "Data Emissão;Pedido;Cliente;Vendedor;Preço;Quantidade;Subtotal\n"
+            "05/03/2024;1001;Mercado São João;Ana;12,50;4;50,00\n"
+            ";;;;;4;50,00\n")
+    p = _write(text, "relatorio.csv")
+    grid = read_grid_csv(spark, p, sep=";")
+    rows = grid.orderBy("row_idx").collect()
+    assert [r["cells"][0] for r in rows] == ["Produto: Café Torrado 500g", "Data Emissão",
+                                             "05/03/2024", None]
+    out = extract_blocks(grid).collect()
+    assert len(out) == 1 and out[0]["price"] == 12.5 and out[0]["product"] == "Café Torrado 500g"
