@@ -4,21 +4,23 @@ A document's set holds its distinct shingles of ``k`` consecutive words. Equal
 sets are collapsed to one class first, so a group of copies costs one row. Then,
 for each of ``TREES`` independent trees, every class descends from the root
 into the nodes named by ``FANOUT`` selected minwise tokens (node key = tree,
-token position, token). Nodes with few classes are compared exhaustively; a
-larger node elects a leader, compares every member with it, and branches again
-on further minwise tokens until its children are small.
-
-Recall: two sets of similarity ``s`` share a child with probability ``s`` per
-selected token, so with ``s = 0.8`` and two tokens per node a tree loses a pair
-with probability at most 0.0625 at any depth (root of ``e = (0.2 + 0.8 e)^2``)
-and five trees lose it with probability at most 1e-6.
-
-Whole results: the outcome is connected components, so a large node only needs
-links that connect its members. Members linked to their leader share a label;
-a node whose members all share one label is settled. Unsettled nodes branch;
-those still large and unsettled at the last depth compare every member outside
-the commonest label with all members of other labels. No node is dropped or
-capped. Every link is confirmed on the full shingle sets.
+token position, token). Nodes with few classes are compared exhaustively;
+larger nodes branch again on further minwise tokens until they are small.
+
+Recall: two sets of similarity 0.8 miss both selected tokens of a tree's root
+with probability 0.04; where nodes are large they must also share one of two
+tokens a level below. Over five trees a pair at the threshold is lost with
+probability below 5e-7, and the sketch tests lose it with about 3e-5 each.
+
+Whole results: the outcome is connected components, so comparisons that cannot
+change them are left out. First every node elects a leader, each class is
+compared with the most similar leader of its nodes, and confirmed links merge
+classes under one label (``LEADER_TURNS`` rounds). A node whose members share a
+label is settled. In the others, small nodes compare all pairs of different
+labels; large ones branch on, again electing leaders. Those still large and
+unsettled at the last depth compare every member outside the commonest label
+with all members of other labels. No node is dropped or capped. Every link is
+confirmed on the full shingle sets.
 
 Defined results: null, empty or blank text gives an empty set linked with
 nothing; a text with fewer than ``k`` words is one shingle; repeated rows are
@@ -40,15 +42,20 @@ TOKENS = 64      # minwise tokens per class
 TREES = 5        # independent trees
 FANOUT = 2       # selected tokens per node
 SMALL = 24       # largest node that is compared exhaustively
-DEPTH = 5        # branchings below a root child
-SKETCH_SIGMAS = 5.0  # a pair is confirmed unless its sketch lies this far below the threshold
+DEPTH = 1        # branchings below a root child
+LEADER_TURNS = 2  # rounds in which every node compares its members with an elected leader
+FINE = 256       # minwise tokens of the sharper sketch that classes of unsettled nodes get
+SIGMAS = 4.0     # a pair is confirmed unless a sketch lies this far below the threshold
 
 _RNG = np.random.default_rng(20240229)
 _COEF = _RNG.integers(1, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PERM = _RNG.integers(1, 1 << 63, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FINE_PERM = _RNG.integers(1, 1 << 63, FINE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-_SKETCH = "doc_id long, n_shingles long, sid binary, sig array<int>"
+_SKETCH = "doc_id long, n_shingles long, sid binary, sig array<int>, sketch array<long>"
+_SKETCH_COLS = [f"k{i}" for i in range(TOKENS // 8)]
 _SETS = "sid binary, shingles binary"
+_FINE_ROW = "sid binary, fine array<long>"
 
 
 def shingle_sets(texts, k: int):
@@ -80,11 +87,11 @@ def _sid(s: np.ndarray) -> bytes:
     return int(a).to_bytes(8, "big") + int(b).to_bytes(8, "big")
 
 
-def _minwise(s: np.ndarray) -> np.ndarray:
-    """The smallest 32-bit value of the set under each of TOKENS multiplicative orders."""
-    best = np.full(TOKENS, 0xFFFFFFFF, np.uint64)
+def _minwise(s: np.ndarray, perm: np.ndarray = _PERM) -> np.ndarray:
+    """The smallest 32-bit value of the set under each of some multiplicative orders."""
+    best = np.full(len(perm), 0xFFFFFFFF, np.uint64)
     for i in range(0, len(s), 2048):
-        best = np.minimum(best, ((s[None, i:i + 2048] * _PERM[:, None]) >> np.uint64(32)).min(axis=1))
+        best = np.minimum(best, ((s[None, i:i + 2048] * perm[:, None]) >> np.uint64(32)).min(axis=1))
     return best.astype(np.uint32).view(np.int32)
 
 
@@ -101,8 +108,10 @@ def _sketcher(k: int):
                 off = np.concatenate(([0], np.cumsum([0 if x is None else TOKENS for x in sig])))
                 yield pa.RecordBatch.from_arrays(
                     [ids, pa.array(n, pa.int64()), pa.array(sid, pa.binary()),
-                     pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat, pa.int32()))],
-                    names=["doc_id", "n_shingles", "sid", "sig"])
+                     pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat, pa.int32())),
+                     pa.ListArray.from_arrays(pa.array(off // 8, pa.int32()),
+                                              pa.array(flat.astype(np.uint8).view(np.int64), pa.int64()))],
+                    names=["doc_id", "n_shingles", "sid", "sig", "sketch"])
     return run
 
 
@@ -117,6 +126,18 @@ def _set_writer(k: int):
     return run
 
 
+def _fine_writer(k: int):
+    def run(batches):
+        for batch in batches:
+            for part in chunks(batch):
+                sets = [s for s in shingle_sets(part.column("text"), k) if len(s)]
+                fine = [_minwise(s, _FINE_PERM).astype(np.uint8).view(np.int64) for s in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([_sid(s) for s in sets], pa.binary()), pa.array(fine, pa.list_(pa.int64()))],
+                    names=["sid", "fine"])
+    return run
+
+
 def _confirm(percent: int):
     def run(batches):
         last = (b"", None)
@@ -135,26 +156,37 @@ def _confirm(percent: int):
     return run
 
 
-def _ordered(a: str, b: str):
-    return F.least(a, b).alias("u"), F.greatest(a, b).alias("v")
+def _least(tokens: int, percent: int) -> int:
+    p = percent / 100
+    return max(1, int(p * tokens - SIGMAS * (tokens * p * (1 - p)) ** 0.5))
 
 
 def _alike(a: str, b: str, percent: int):
     """Sketch and size test of a pair: false only if it is safely below the threshold."""
-    p = percent / 100
-    least = int(p * TOKENS - SKETCH_SIGMAS * (TOKENS * p * (1 - p)) ** 0.5)
-    same = F.aggregate(F.zip_with(f"{a}.sig", f"{b}.sig", lambda x, y: F.when(x == y, 1).otherwise(0)),
-                       F.lit(0), lambda t, x: t + x)
     fits = (F.least(f"{a}.n", f"{b}.n") * 100 >= F.greatest(f"{a}.n", f"{b}.n") * percent)
-    return fits & (same >= max(1, least))
+    return fits & (_matches(a, b) >= _least(TOKENS, percent))
 
 
-def _children(nodes: DataFrame, level: int) -> DataFrame:
-    """Two branches per member: minwise tokens selected by the node's own key."""
-    picks = [F.pmod(F.xxhash64(F.lit(level), F.lit(i), F.col("node")), F.lit(TOKENS)) for i in range(FANOUT)]
-    picks[1:] = [F.pmod(picks[0] + 1 + F.pmod(p, F.lit(TOKENS - 1)), F.lit(TOKENS)) for p in picks[1:]]
-    kids = [F.xxhash64(F.lit(level), "node", p, F.get("sig", p.cast("int"))) for p in picks]
-    return nodes.select("sid", "n", "sig", "label", F.explode(F.array(*kids)).alias("node"))
+def _finely_alike(a: str, b: str, percent: int):
+    """The same with the sharper sketch, where the classes have one."""
+    differ = F.aggregate(F.zip_with(f"{a}.fine", f"{b}.fine", lambda x, y: _unequal_bytes(x.bitwiseXOR(y))),
+                         F.lit(0), lambda t, x: t + x)
+    return _alike(a, b, percent) & (differ <= FINE - _least(FINE, percent))
+
+
+def _unequal_bytes(x):
+    """Number of non-zero bytes of a long: each byte is folded onto its last bit."""
+    for shift, mask in ((4, 0x0F0F0F0F0F0F0F0F), (2, 0x0303030303030303), (1, 0x0101010101010101)):
+        x = x.bitwiseOR(F.shiftrightunsigned(x, shift)).bitwiseAND(F.lit(mask))
+    return F.bit_count(x)
+
+
+def _matches(a: str, b: str):
+    """Number of equal bytes in two sketches of 8 longs (64 minwise tokens, 8 bits each)."""
+    total = F.lit(TOKENS)
+    for k in _SKETCH_COLS:
+        total = total - _unequal_bytes(F.col(f"{a}.{k}").bitwiseXOR(F.col(f"{b}.{k}")))
+    return total
 
 
 def _sized(nodes: DataFrame) -> DataFrame:
@@ -163,23 +195,26 @@ def _sized(nodes: DataFrame) -> DataFrame:
     return nodes.join(size, "node")
 
 
-def _pairs(nodes: DataFrame, percent: int) -> DataFrame:
+def _small_pairs(nodes: DataFrame, percent: int) -> DataFrame:
     """All pairs of small nodes that differ in label and pass the sketch test."""
     small = nodes.where(F.col("size") <= SMALL)
     a, b = small.alias("a"), small.alias("b")
     return (a.join(b, (F.col("a.node") == F.col("b.node")) & (F.col("a.sid") < F.col("b.sid"))
-                   & (F.col("a.label") != F.col("b.label")) & _alike("a", "b", percent))
+                   & (F.col("a.label") != F.col("b.label")) & _finely_alike("a", "b", percent))
             .select(F.col("a.sid").alias("u"), F.col("b.sid").alias("v")))
 
 
-def _leader_pairs(nodes: DataFrame, percent: int) -> DataFrame:
-    """Every member of a large node with the node's leader (its smallest class)."""
-    big = nodes.where(F.col("size") > SMALL)
-    lead = big.groupBy("node").agg(F.min(F.struct("sid", "n", "sig", "label")).alias("l")).select("node", "l.*")
-    a, b = big.alias("a"), lead.alias("b")
-    return (a.join(b, (F.col("a.node") == F.col("b.node")) & (F.col("a.label") != F.col("b.label"))
-                   & _alike("a", "b", percent))
-            .select(*_ordered("a.sid", "b.sid")))
+def _leader_pairs(nodes: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Each class with the most similar of the leaders that its nodes elect in this turn."""
+    rank = F.xxhash64(F.lit(turn), "node", "sid").alias("rank")
+    lead = (nodes.groupBy("node").agg(F.min(F.struct(rank, "sid", "label", "n", *_SKETCH_COLS)).alias("l"))
+            .select("node", "l.*"))
+    a, b = nodes.alias("a"), lead.alias("b")
+    near = a.join(b, (F.col("a.node") == F.col("b.node")) & (F.col("a.label") != F.col("b.label"))
+                  & _alike("a", "b", percent))
+    best = near.groupBy(F.col("a.sid").alias("sid")).agg(
+        F.max(F.struct(_matches("a", "b").alias("m"), F.col("b.sid").alias("other"))).alias("x"))
+    return best.select(F.greatest("sid", "x.other").alias("v"), F.least("sid", "x.other").alias("u")).select("u", "v")
 
 
 def _loose_pairs(nodes: DataFrame, percent: int) -> DataFrame:
@@ -189,15 +224,25 @@ def _loose_pairs(nodes: DataFrame, percent: int) -> DataFrame:
     a = nodes.join(main, "node").where("label <> main").alias("a")
     b = nodes.alias("b")
     return (a.join(b, (F.col("a.node") == F.col("b.node")) & (F.col("a.label") != F.col("b.label"))
-                   & _alike("a", "b", percent))
-            .select(*_ordered("a.sid", "b.sid")))
+                   & _finely_alike("a", "b", percent))
+            .select(F.least("a.sid", "b.sid").alias("u"), F.greatest("a.sid", "b.sid").alias("v")))
 
 
 def _unsettled(nodes: DataFrame) -> DataFrame:
+    """Members of nodes that still hold more than one label."""
     open_ = nodes.groupBy("node").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
     return nodes.join(open_.select("node"), "node", "left_semi")
 
 
+def _children(nodes: DataFrame, classes: DataFrame, level: int) -> DataFrame:
+    """Two branches per member: minwise tokens selected by the node's own key."""
+    picks = [F.pmod(F.xxhash64(F.lit(level), F.lit(i), F.col("node")), F.lit(TOKENS)) for i in range(FANOUT)]
+    picks[1:] = [F.pmod(picks[0] + 1 + F.pmod(p, F.lit(TOKENS - 1)), F.lit(TOKENS)) for p in picks[1:]]
+    kids = [F.xxhash64(F.lit(level), "node", p, F.get("sig", p.cast("int"))) for p in picks]
+    full = nodes.drop("size").join(classes.select("sid", "sig"), "sid")
+    return full.withColumn("node", F.explode(F.array(*kids))).drop("sig")
+
+
 def _relabel(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     return (nodes.drop("label").join(labels.withColumnRenamed("id", "sid"), "sid", "left")
             .withColumn("label", F.coalesce("label", "sid")))
@@ -214,9 +259,7 @@ class _Confirmer:
         """Confirm ``pairs`` and report whether there were any links."""
         pairs = written(pairs.distinct(), "pairs")
         ids = pairs.select(F.explode(F.array("u", "v")).alias("sid")).distinct()
-        need = self.classes.join(ids, "sid", "left_semi").select("sid", "rep")
-        texts = self.docs.join(need.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-        sets = (texts.mapInArrow(_set_writer(self.k), _SETS).join(need.select("sid"), "sid", "left_semi")
+        sets = (self.texts(ids).mapInArrow(_set_writer(self.k), _SETS).join(ids, "sid", "left_semi")
                 .dropDuplicates(["sid"]))
         sets = written(sets, "sets")
         a = sets.select(F.col("sid").alias("u"), F.col("shingles").alias("sa"))
@@ -226,8 +269,13 @@ class _Confirmer:
         self.links = links if self.links is None else self.links.unionByName(links)
         return bool(links.take(1))
 
+    def texts(self, ids: DataFrame) -> DataFrame:
+        """Documents that represent the classes named by ``ids(sid)``."""
+        reps = self.classes.join(ids, "sid", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
+        return self.docs.join(reps, "doc_id", "left_semi")
+
     def labels(self) -> DataFrame:
-        return components(self.links)
+        return components(self.links).checkpoint()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -238,37 +286,46 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = written(docs.mapInArrow(_sketcher(shingle), _SKETCH), "sketches")
     full = rows.where("n_shingles > 0")
-    classes = written(full.groupBy("sid").agg(
-        F.min("doc_id").alias("rep"), F.min(F.struct(F.col("n_shingles").alias("n"), "sig")).alias("s"))
-        .select("sid", "rep", "s.n", "s.sig"), "classes")
-    # a class whose rows all have a null id is represented by null; its text is found through the null id
-    docs_by_id = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    reps = classes.withColumn("rep", F.coalesce("rep", F.lit(-(1 << 63))))
-    confirm = _Confirmer(docs_by_id, reps, shingle, percent)
+    first = F.min(F.struct(F.col("n_shingles").alias("n"), "sig", "sketch")).alias("s")
+    classes = written(full.groupBy("sid").agg(F.min("doc_id").alias("rep"), first)
+                      .select("sid", "rep", "s.n", "s.sig",
+                              *[F.get("s.sketch", F.lit(i)).alias(k) for i, k in enumerate(_SKETCH_COLS)]), "classes")
+    # a class whose rows all have a null id is represented by null; its text is found through a stand-in id
+    null_id = F.lit(-(1 << 63))
+    confirm = _Confirmer(docs.withColumn("doc_id", F.coalesce("doc_id", null_id)),
+                         classes.withColumn("rep", F.coalesce("rep", null_id)), shingle, percent)
 
     roots = [F.xxhash64(F.lit(t), F.lit(t * FANOUT + i), F.get("sig", F.lit(t * FANOUT + i)))
              for t in range(TREES) for i in range(FANOUT)]
-    light = classes.select("sid", F.explode(F.array(*roots)).alias("node"))
-    level = _sized(light).join(classes.select("sid", "n", "sig"), "sid").withColumn("label", F.col("sid"))
-    level = written(level, "nodes")
-    confirm.add(_pairs(level, percent).unionByName(_leader_pairs(level, percent)))
-    labels = confirm.labels().checkpoint()
-
-    big = written(_unsettled(_relabel(level.where(F.col("size") > SMALL), labels)), "unsettled")
-    if big.take(1):
-        found = []
-        for depth in range(1, DEPTH + 1):
-            big = written(_sized(_children(big, depth)), "nodes")
-            found += [_pairs(big, percent), _leader_pairs(big, percent)]
-            big = big.where(F.col("size") > SMALL).drop("size")
-        pairs = found[0]
-        for p in found[1:]:
-            pairs = pairs.unionByName(p)
-        if confirm.add(pairs):
-            labels = confirm.labels().checkpoint()
-        last = _unsettled(_relabel(big, labels))
-        if confirm.add(_loose_pairs(last, percent)):
-            labels = confirm.labels().checkpoint()
+    light = _sized(classes.select("sid", F.explode(F.array(*roots)).alias("node")))
+    nodes = written(light.join(classes.drop("sig", "rep"), "sid").withColumn("label", F.col("sid")), "nodes")
+    labels = None
+    for turn in range(LEADER_TURNS):
+        if not confirm.add(_leader_pairs(nodes, percent, turn)):
+            break
+        labels = confirm.labels()
+        nodes = written(_unsettled(_relabel(nodes, labels)), "nodes")
+
+    fine = confirm.texts(nodes.select("sid").distinct()).mapInArrow(_fine_writer(shingle), _FINE_ROW)
+    nodes = nodes.join(written(fine.dropDuplicates(["sid"]), "fine"), "sid")
+    found = []
+    for depth in range(DEPTH + 1):
+        found.append(_small_pairs(nodes, percent))
+        nodes = nodes.where(F.col("size") > SMALL)
+        if depth == DEPTH or not nodes.take(1):
+            break
+        nodes = written(_sized(_unsettled(_children(nodes, classes, depth + 1))), "nodes")
+        found.append(_leader_pairs(nodes.where(F.col("size") > SMALL), percent, LEADER_TURNS + depth))
+    pairs = found[0]
+    for p in found[1:]:
+        pairs = pairs.unionByName(p)
+    if confirm.add(pairs):
+        labels = confirm.labels()
+        nodes = _unsettled(_relabel(nodes, labels))
+    if nodes.take(1) and confirm.add(_loose_pairs(nodes, percent)):
+        labels = confirm.labels()
+    if labels is None:
+        labels = classes.select(F.col("sid").alias("id"), F.col("sid").alias("label")).limit(0)
 
     named = rows.select("doc_id", "n_shingles", "sid").join(
         labels.withColumnRenamed("id", "sid"), "sid", "left")
