@@ -51,3 +51,15 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: sets of 4-word shingles, similarity 0.8."""
     from orderpulse.llm.chosen_path import near_duplicates
     return near_duplicates(read_table(spark, sf_dir, "documents", ["doc_id", "text"]), shingle=4, percent=80)
+
+
+@query("op1_lexical_retrieval_packing")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 1024 tokens; ids digested as CRC-32."""
+    import public_tokenizers as P
+
+    from orderpulse.llm.packing import pack
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    pieces = pack(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+                         "sequence_id", "offset")
