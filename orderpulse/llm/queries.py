@@ -63,3 +63,21 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
                          "sequence_id", "offset")
+
+
+@query("op7_permutation_table_sharding")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard of every document among 64 shards, through a table of 65537 slots."""
+    from orderpulse.llm.maglev import place
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "source"])
+    # the text's size is what the shard's load is measured in
+    docs = docs.select("doc_id", "source", F.octet_length("text").cast("long").alias("text_bytes"))
+    return place(docs, "doc_id", [f"shard-{i:03d}" for i in range(64)])
+
+
+@query("op8_pivotal_source_mix")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to source weights 5, 2, 1 at 150 % of their words."""
+    from orderpulse.llm.pivotal_mix import mix
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "source"])
+    return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
