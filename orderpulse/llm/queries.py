@@ -81,3 +81,28 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orderpulse.llm.pivotal_mix import mix
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "source"])
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+s AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS d FROM p),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY d) AS top FROM s)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to
+FROM g
+"""
+
+
+@query("op2_warc_salvage", OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as a WARC archive and read back; digests are taken from what was read."""
+    from orderpulse.llm import warc
+    from orderpulse.llm.common import scratch_path, written
+    path = scratch_path(spark, "warc")
+    warc.write(read_table(spark, sf_dir, "pages", ["page_id", "url", "html"]), path)
+    read = warc.read(spark, path).select(
+        "kind", "page_id", "refers_to", F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.when(F.col("kind") == "response", F.sha1("payload")).otherwise(F.col("payload_digest"))
+        .alias("payload_digest"))
+    return warc.resolve(written(read, "records"))
