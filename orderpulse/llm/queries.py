@@ -106,3 +106,32 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("kind") == "response", F.sha1("payload")).otherwise(F.col("payload_digest"))
         .alias("payload_digest"))
     return warc.resolve(written(read, "records"))
+
+
+@query("op4_multi_index_hashing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of every 20th vector by inner product, through multi-index hashing."""
+    from orderpulse.llm.multi_index import nearest
+    return nearest(read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]), every=20, k=20)
+
+
+OP10_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+@query("op10_mtree_top_products", OP10_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 largest integer inner products of every 50th vector, through paged M-trees."""
+    from orderpulse.llm.mtree import top_products
+    return top_products(read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]), every=50, k=5)
