@@ -104,9 +104,12 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
-def hash_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def hash_words(data: np.ndarray, prefixes: tuple[int, ...] = ()):
     """Hashes and start offsets of the words in UTF-8 bytes, A-Z folded to a-z.
 
+    ``prefixes``: also hash the first so many bytes of every longer word; these
+    come as further ``(hashes, starts)`` after the words' own, in one flat pair.
+
     A word's hash is a polynomial of its bytes modulo 2**64, taken as a
     difference of prefix sums, then mixed with its length. Works in blocks of
     about 1 MB that end at a separator, so memory does not grow with the text."""
@@ -131,6 +134,11 @@ def hash_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             h = (total[e] - total[s]) * down[s]
             hashes.append(mix64(h ^ ((e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))))
             starts.append(s + at)
+            for n_bytes in prefixes:
+                long = e - s > n_bytes
+                h = (total[s[long] + n_bytes] - total[s[long]]) * down[s[long]]
+                hashes.append(mix64(h ^ np.uint64((n_bytes * 0x9FB21C651E98DF25) & _MASK)))
+                starts.append(s[long] + at)
         at = end
     if not hashes:
         return np.empty(0, np.uint64), np.empty(0, np.int64)

@@ -135,3 +135,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 largest integer inner products of every 50th vector, through paged M-trees."""
     from orderpulse.llm.mtree import top_products
     return top_products(read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]), every=50, k=5)
+
+
+@query("op6_factorization_machine_toxicity")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents, learned from the labelled rows that are not held out."""
+    from orderpulse.llm.toxicity import toxicity
+    return toxicity(read_table(spark, sf_dir, "documents", ["doc_id", "text"]),
+                    read_table(spark, sf_dir, "labels", ["doc_id", "toxic"]))
