@@ -143,3 +143,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orderpulse.llm.toxicity import toxicity
     return toxicity(read_table(spark, sf_dir, "documents", ["doc_id", "text"]),
                     read_table(spark, sf_dir, "labels", ["doc_id", "toxic"]))
+
+
+@query("op3_fuzzy_line_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without their repeated lines: line counts and the CRC-32 of the text that stays."""
+    from orderpulse.llm.fuzzy_lines import dedup_lines
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return dedup_lines(docs).select("doc_id", "lines", "lines_kept",
+                                    F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
