@@ -152,3 +152,15 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
     return dedup_lines(docs).select("doc_id", "lines", "lines_kept",
                                     F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+
+
+def _license_oracle() -> str:
+    from orderpulse.llm.license_rules import oracle
+    return oracle()
+
+
+@query("op5_license_sentence_rules", _license_oracle())
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences named by the sentences of every document."""
+    from orderpulse.llm.license_rules import scan
+    return scan(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
