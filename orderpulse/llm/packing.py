@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from orderpulse.llm.common import chunks, mix64, written
 
-CACHE = 250_000      # words kept per cache and Python worker
+CACHE = 600_000      # words kept per cache and Python worker
 QUERY_TERMS = 24     # a seed asks with its heaviest terms
 NEIGHBOURS = 64      # neighbours fetched per lookup; the lookup repeats while the window has room
 K1, B = 1.2, 0.75
@@ -63,33 +63,35 @@ class WordEncoder:
     def _plain(self, text: str) -> bytes:
         return np.array(self.core.encode_ordinary(text), "<u4").tobytes()
 
-    def _learn(self, words: set[str], cache: dict[str, bytes], lead: str) -> set[str]:
-        """Add unseen words; returns those that cannot stand alone."""
-        new = [w for w in words if w not in cache]
-        odd = {w for w in new if not w or w != "".join(w.split())}
-        new = [w for w in new if w not in odd]
-        if not new:
-            return odd
+    def _learn(self, words: set[str], cache: dict[str, bytes], lead: str) -> None:
+        """Add unseen words that can stand alone."""
+        new = words.difference(cache)
         if len(cache) + len(new) > CACHE:
             cache.clear()
-            new = [w for w in words if w not in odd]
-        ids = np.array(self.core.encode_ordinary("\n".join(lead + w for w in new) + "\n"), "<u4")
+            new = words
+        new = [w for w in new if w and w == "".join(w.split())]
+        if not new:
+            return
+        ids = np.array(self.core.encode_ordinary("\n".join([lead + w for w in new]) + "\n"), "<u4")
         cut = np.flatnonzero(ids == self.feed[0])
         begin = np.concatenate(([0], cut[:-1] + 1))
         raw = ids.tobytes()
         for w, a, b in zip(new, (begin * 4).tolist(), (cut * 4).tolist(), strict=True):
             cache[w] = raw[a:b]
-        return odd
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [[line.split(" ") for line in t.split("\n")] for t in texts]
-        odd = self._learn({line[0] for lines in parts for line in lines}, self.first, "")
-        odd |= self._learn({w for lines in parts for line in lines for w in line[1:]}, self.inner, " ")
+        words: set[str] = set()
+        for lines in parts:
+            for line in lines:
+                words.update(line[1:])
+        self._learn({line[0] for lines in parts for line in lines}, self.first, "")
+        self._learn(words, self.inner, " ")
         feed, out = np.array(self.feed, "<u4").tobytes(), []
-        first, inner = self.first, self.inner
+        first, inner = self.first.__getitem__, self.inner.__getitem__
         for text, lines in zip(texts, parts, strict=True):
             try:
-                out.append(feed.join([b"".join([first[line[0]], *[inner[w] for w in line[1:]]]) for line in lines]))
+                out.append(feed.join([first(line[0]) + b"".join(map(inner, line[1:])) for line in lines]))
             except KeyError:  # a word that cannot stand alone
                 out.append(self._plain(text))
         return out
@@ -103,6 +105,7 @@ def _tokenise(ranks_path: str, pattern: str, window: int, vocabulary: int):
         encoder = _workers[key]
         order = mix64(np.arange(2 * vocabulary, dtype=np.uint64)).reshape(2, vocabulary) >> np.uint64(1)
         df, end = np.zeros(vocabulary, np.int64), np.array([_END], "<u4").tobytes()
+        seen = np.zeros(vocabulary, bool)
         for batch in batches:
             for part in chunks(batch, 1 << 20):
                 ids = part.column("doc_id").to_pylist()
@@ -111,7 +114,10 @@ def _tokenise(ranks_path: str, pattern: str, window: int, vocabulary: int):
                                     strict=True):
                     raw += end
                     token = np.frombuffer(raw, "<u4")
-                    df[np.unique(token)] += 1
+                    seen[token] = True
+                    own = np.flatnonzero(seen)
+                    df[own] += 1
+                    seen[own] = False
                     n, whole = len(token), len(token) // window * window
                     for a in range(0, whole, window):
                         rows.append((0, doc, a, n, 0, 0, raw[4 * a:4 * (a + window)]))
