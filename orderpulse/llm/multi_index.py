@@ -77,14 +77,15 @@ def hamming(codes: np.ndarray, code: np.ndarray) -> np.ndarray:
     return np.bitwise_count(codes.view(np.uint64).ravel() ^ code.view(np.uint64)[0])
 
 
-def needed_radius(x: np.ndarray, plain: np.ndarray, codes: np.ndarray, k: int, target: float) -> int:
+def needed_radius(plain: np.ndarray, codes: np.ndarray, projection: np.ndarray, k: int, target: float) -> int:
     """Smallest radius that holds ``target`` of the k nearest, over up to 256 rows as queries."""
+    asked = encode(np.column_stack((plain[:256], np.zeros(len(plain[:256])))), projection)
     far = []
-    for i in range(min(256, len(x))):
+    for i in range(len(asked)):
         score = plain @ plain[i]
         score[i] = -np.inf
         near = np.argpartition(-score, min(k, len(score) - 1))[:k]
-        far.append(hamming(codes[near], codes[i]))
+        far.append(hamming(codes[near], asked[i]))
     far = np.sort(np.concatenate(far)) if far else np.array([BITS])
     return int(far[min(len(far) - 1, int(np.ceil(target * len(far))))])
 
@@ -158,7 +159,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, target: float = TA
         longest = float(own.mapInArrow(_norms, "norm double").agg(F.max("norm")).first()[0])
         full = augment(sample, longest)
         projection = learn_rotation(full)
-        radius = needed_radius(full, sample, encode(full, projection), k, target)
+        radius = needed_radius(sample, encode(full, projection), projection, k, target)
         shards, blocks = -(-n // SHARD), max(1, -(-n // every // BLOCK))
         index = own.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int"))
         queries = own.where(F.col("vec_id") % every == 0)
