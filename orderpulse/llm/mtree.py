@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from orderpulse.llm.common import written
 from orderpulse.llm.vectors import ROWS, best, matrix, merge, usable_vectors
 
-PAGE = 64
+PAGE = 256
 BRANCH = 12
 SHARD = 8192
 BLOCK = 512
