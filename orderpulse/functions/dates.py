@@ -81,5 +81,5 @@ def parse_date(value: Column, dayfirst: bool = True, fallback: Column | None = N
 
 
 def to_utc(ts: Column, zone: str = "America/Sao_Paulo") -> Column:
-    """Naive local wall-clock in ``zone`` -> UTC wall-clock."""
-    return F.to_utc_timestamp(ts.cast("timestamp"), zone).cast("timestamp_ntz")
+    """Naive local wall-clock in ``zone`` -> UTC wall-clock (P09), whatever the session zone."""
+    return F.convert_timezone(F.lit(zone), F.lit("UTC"), ts.cast("timestamp_ntz"))

@@ -52,10 +52,12 @@ def locale_decimal(value: Column) -> Column:
 
 
 def order_code(value: Column) -> Column:
-    """Order/EAN text (P07): 12-14 digits kept; ``1.23E+12`` -> integer text; else trimmed."""
+    """Order/EAN text (P07): 12-14 digits kept; ``1.23E+12`` -> integer text; else trimmed.
+
+    An exponent beyond 38 digits keeps its text."""
     s = F.trim(value.cast("string"))
     sci = F.when(s.rlike(r"^\d+\.\d+E\+\d+$"),
-                 s.try_cast("double").cast("decimal(38,0)").cast("string"))
+                 s.try_cast("double").try_cast("decimal(38,0)").cast("string"))
     return F.when(value.isNull(), F.lit("")).otherwise(F.coalesce(sci, s))
 
 

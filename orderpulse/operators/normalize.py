@@ -127,7 +127,9 @@ def normalize_transactions(raw: DataFrame, dataset_id: str, customers: DataFrame
     ).where(F.col("price").isNotNull())
     if customers is None:
         return tx.select("*", *[F.lit(None).cast("string").alias(c) for c in ("segment", "city", "uf")])
-    c = customers.select(F.col("name").alias("_name"), "segment", "city", "uf")
+    # one row per client key, so that repeated customers do not multiply facts
+    c = (customers.groupBy(F.col("name").alias("_name")).agg(F.max(F.struct("segment", "city", "uf")).alias("_c"))
+         .select("_name", "_c.*"))
     return tx.join(c, tx.client == c._name, "left").drop("_name")
 
 

@@ -16,6 +16,11 @@ from pyspark.sql import functions as F
 from orderpulse.operators.ordered import day_bucket, first_n
 
 
+def number(value: Column) -> Column:
+    """Value as a double; anything that is not a number, NaN included, is null."""
+    return F.nanvl(value.try_cast("double"), F.lit(None).cast("double"))
+
+
 def repurchase_probability(g: DataFrame, keys: Sequence[str], window_days: int = 90,
                            name: str = "prob_recompra") -> DataFrame:
     """Share of gaps <= ``window_days``, half-even to 4 places; no gap -> 0.0."""
@@ -36,6 +41,7 @@ def turnover_interval(g: DataFrame, keys: Sequence[str], confidence: float = 0.9
 
 def cv(value: Column) -> Column:
     """Coefficient of variation as an aggregate: sigma_pop / mean; empty or mean 0 -> 0."""
+    value = number(value)
     mean = F.avg(value)
     return F.coalesce(F.when(mean != 0, F.stddev_pop(value) / mean), F.lit(0.0))
 
@@ -50,9 +56,10 @@ def survival(flag: Column, alpha: float = 1.0, beta: float = 1.0) -> Column:
 
 
 def key_moments(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Per key: ``_n``, ``_mean``, population ``_sd`` of ``value`` (nulls dropped)."""
-    return df.groupBy(*keys).agg(F.count(value).alias("_n"), F.avg(value).alias("_mean"),
-                                 F.stddev_pop(value).alias("_sd"))
+    """Per key: ``_n``, ``_mean``, population ``_sd`` of ``value`` (nulls and NaN dropped)."""
+    v = number(F.col(value))
+    return df.groupBy(*keys).agg(F.count(v).alias("_n"), F.avg(v).alias("_mean"),
+                                 F.stddev_pop(v).alias("_sd"))
 
 
 def volume_outliers(df: DataFrame, keys: Sequence[str], value: str = "qty",
@@ -61,7 +68,7 @@ def volume_outliers(df: DataFrame, keys: Sequence[str], value: str = "qty",
     sigma 0 flags nothing. Adds ``zscore``, ``key_mean``, ``key_n``."""
     m = key_moments(df, keys, value)
     j = df.join(m, on=list(keys), how="inner")
-    z = (F.col(value) - F.col("_mean")) / F.col("_sd")
+    z = (number(F.col(value)) - F.col("_mean")) / F.when(F.col("_sd") != 0, F.col("_sd"))
     return (j.where((F.col("_sd") > 0) & (F.abs(z) > z_limit))
             .select(*df.columns, z.alias("zscore"), F.col("_mean").alias("key_mean"),
                     F.col("_n").alias("key_n")))
