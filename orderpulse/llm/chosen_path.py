@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderpulse.llm.common import chunks, components, hash_words, mix64, text_buffer, written
+from orderpulse.sources.tables import bounded_broadcast
 
 TOKENS = 64      # minwise tokens per class
 TREES = 5        # independent trees
@@ -46,6 +47,7 @@ DEPTH = 1        # branchings below a root child
 LEADER_TURNS = 2  # rounds in which every node compares its members with an elected leader
 FINE = 256       # minwise tokens of the sharper sketch that classes of unsettled nodes get
 SIGMAS = 4.0     # a pair is confirmed unless a sketch lies this far below the threshold
+BROADCAST_ROWS = 1_000_000  # longer lists of document ids are joined by shuffle
 
 _RNG = np.random.default_rng(20240229)
 _COEF = _RNG.integers(1, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -271,8 +273,8 @@ class _Confirmer:
 
     def texts(self, ids: DataFrame) -> DataFrame:
         """Documents that represent the classes named by ``ids(sid)``."""
-        reps = self.classes.join(ids, "sid", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
-        return self.docs.join(reps, "doc_id", "left_semi")
+        reps = written(self.classes.join(ids, "sid", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "reps")
+        return self.docs.join(bounded_broadcast(reps, BROADCAST_ROWS), "doc_id", "left_semi")
 
     def labels(self) -> DataFrame:
         return components(self.links).checkpoint()
