@@ -268,6 +268,7 @@ class _Confirmer:
         b = sets.select(F.col("sid").alias("v"), F.col("shingles").alias("sb"))
         links = written(pairs.join(b, "v").join(a, "u").select("u", "v", "sa", "sb")
                         .mapInArrow(_confirm(self.percent), "u binary, v binary"), "links")
+        # groups found before enter as stars, which settle in few rounds
         self.links = links if self.links is None else self.links.unionByName(links)
         return bool(links.take(1))
 
@@ -277,7 +278,9 @@ class _Confirmer:
         return self.docs.join(bounded_broadcast(reps, BROADCAST_ROWS), "doc_id", "left_semi")
 
     def labels(self) -> DataFrame:
-        return components(self.links).checkpoint()
+        labels = components(self.links).checkpoint()
+        self.links = labels.select(F.col("id").alias("u"), F.col("label").alias("v"))
+        return labels
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
