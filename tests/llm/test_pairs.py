@@ -151,3 +151,44 @@ def test_buckets_hold_every_pair_within_the_distance(spark, bits):
     df = spark.createDataFrame(pairs, "x long, y long")
     meet = F.size(F.array_intersect(_bucket_keys(F.col("x")), _bucket_keys(F.col("y"))))
     assert df.where(meet == 0).count() == 0
+
+
+def test_similar_lines_equal_brute_force(spark):
+    rng = np.random.default_rng(8)
+    vocabulary = ["".join(rng.choice(list("abcdefghij"), rng.integers(2, 12))) for _ in range(400)]
+    lines = []
+    for size in (5, 6, 9, 10, 20, 40):
+        for _ in range(8):
+            base = list(rng.choice(vocabulary, size))
+            lines.append(" ".join(base))
+            for changes in (size // 5, size // 5, size // 5 + 1):  # at 0.8, at 0.8 and below
+                words = list(base)
+                for at in rng.choice(size, changes, replace=False):
+                    words[at] = str(rng.choice(vocabulary)) if rng.random() < 0.7 else ""
+                lines.append(" ".join(w for w in words if w))
+    lines = [lines[i] for i in rng.permutation(len(lines))]
+    split = [line.split() for line in lines]
+    links = [(i, j) for i, j in combinations(range(len(lines)), 2)
+             if distance(split[i], split[j]) <= max(len(split[i]), len(split[j])) * 0.2 + 1e-9]
+    group, seen = groups_of(len(lines), links), set()
+    want = {i: not (group[i] in seen or seen.add(group[i])) for i in range(len(lines))}
+    got = {r.doc_id: r.lines_kept == 1 for r in dedup_lines(docs_of(spark, list(enumerate(lines)))).collect()}
+    assert got == want
+
+
+def test_one_word_of_sixty_goes(spark):
+    long = " ".join(f"longish{i}word" for i in range(60))
+    near = long.replace("longish59word", "other")
+    got = {r.doc_id: r.text for r in dedup_lines(docs_of(spark, [(1, near), (2, f"alpha beta\n{long}")])).collect()}
+    assert got == {1: near, 2: "alpha beta"}
+
+
+def test_common_word_pairs_give_way(spark, monkeypatch):
+    from orderpulse.llm import fuzzy_lines
+    monkeypatch.setattr(fuzzy_lines, "COMMON", 10)
+    rng = np.random.default_rng(9)
+    slogan = "internationalisation organisationally"
+    lines = [slogan + " " + " ".join(f"v{x}" for x in rng.integers(0, 10**6, 12)) for _ in range(40)]
+    rows = list(enumerate(lines)) + [(100 + i, line + " more") for i, line in enumerate(lines)]
+    got = {r.doc_id: r.lines_kept for r in dedup_lines(docs_of(spark, rows)).collect()}
+    assert got == {**{i: 1 for i in range(40)}, **{100 + i: 0 for i in range(40)}}
