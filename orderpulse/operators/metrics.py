@@ -230,7 +230,7 @@ def monthly_history(tx: DataFrame) -> DataFrame:
 
 
 def behaviour_sheet(kpis: DataFrame, rfm: DataFrame) -> DataFrame:
-    """KPI rows plus one ``Clientes <tier>`` row per tier (A14, T10): ``indicador``, ``valor``."""
+    """KPI rows plus one ``Clientes <tier>`` row per tier (A14): ``indicador``, ``valor``. Unordered: T10 is not built."""
     k = kpis.select(F.expr(
         "stack(5, 'Total de clientes', CAST(total_customers AS DOUBLE),"
         " 'Total de SKUs', CAST(total_products AS DOUBLE),"

@@ -1,4 +1,4 @@
-"""PDV behaviour segmentation (A28-A30, T03) and the segment roll-up."""
+"""PDV behaviour segmentation (A28-A30) and the segment roll-up."""
 
 from __future__ import annotations
 
@@ -45,7 +45,7 @@ def pdv_baseline(vectors: DataFrame) -> DataFrame:
 def pdv_scores(tx: DataFrame, peso_mix: float = 0.35, peso_volume: float = 0.35,
                peso_frequencia: float = 0.30) -> DataFrame:
     """Per client: ``score``, trigger flags, ``gatilhos`` (texts) and
-    ``justificativa`` (A30). Sort with ``orderBy(desc score, client)`` (T03)."""
+    ``justificativa`` (A30). Unordered: the ordering T03 is not built."""
     # read by the baseline's eager quantile jobs and by the scores: computed once
     v = materialize(pdv_vectors(tx))
     df = v.crossJoin(pdv_baseline(v))                      # baseline is one row
