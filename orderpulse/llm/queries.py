@@ -164,3 +164,63 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences named by the sentences of every document."""
     from orderpulse.llm.license_rules import scan
     return scan(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
+
+
+OP12_SQL = r"""
+WITH p AS (
+  SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+f1 AS (SELECT lang, ws[i] AS x, count(*) AS f FROM w, unnest(range(1, len(ws) + 1)) AS t(i) GROUP BY ALL),
+f2 AS (SELECT lang, ws[i] AS x, ws[i + 1] AS y, count(*) AS f
+       FROM w, unnest(range(1, len(ws))) AS t(i) GROUP BY ALL),
+f3 AS (SELECT lang, ws[i] AS x, ws[i + 1] AS y, ws[i + 2] AS z, count(*) AS f
+       FROM w, unnest(range(1, len(ws) - 1)) AS t(i) GROUP BY ALL HAVING count(*) >= 10),
+n AS (SELECT lang, sum(f) AS n FROM f1 GROUP BY lang),
+cover AS (SELECT lang, x, y, max(f) AS f FROM (
+          SELECT lang, x, y, f FROM f3 UNION ALL SELECT lang, y, z, f FROM f3) AS u GROUP BY ALL),
+two AS (
+  SELECT b.lang, b.x || ' ' || b.y AS phrase, b.f AS a, l.f AS l, r.f AS r,
+         CAST(1000000 AS HUGEINT) * b.f * b.f // (CAST(l.f AS HUGEINT) * r.f) AS score
+  FROM f2 b JOIN f1 l ON l.lang = b.lang AND l.x = b.x JOIN f1 r ON r.lang = b.lang AND r.x = b.y
+  LEFT JOIN cover c ON c.lang = b.lang AND c.x = b.x AND c.y = b.y
+  WHERE b.f >= 10 AND (c.f IS NULL OR 100 * c.f < 50 * b.f)),
+cuts AS (
+  SELECT t.lang, t.x || ' ' || t.y || ' ' || t.z AS phrase, t.f AS a, l1.f AS l1, r1.f AS r1, l2.f AS l2, r2.f AS r2,
+         CAST(1000000 AS HUGEINT) * t.f * t.f // (CAST(l1.f AS HUGEINT) * r1.f) AS s1,
+         CAST(1000000 AS HUGEINT) * t.f * t.f // (CAST(l2.f AS HUGEINT) * r2.f) AS s2
+  FROM f3 t JOIN f1 l1 ON l1.lang = t.lang AND l1.x = t.x
+  JOIN f2 r1 ON r1.lang = t.lang AND r1.x = t.y AND r1.y = t.z
+  JOIN f2 l2 ON l2.lang = t.lang AND l2.x = t.x AND l2.y = t.y
+  JOIN f1 r2 ON r2.lang = t.lang AND r2.x = t.z),
+three AS (SELECT lang, phrase, a, CASE WHEN s1 <= s2 THEN l1 ELSE l2 END AS l,
+                 CASE WHEN s1 <= s2 THEN r1 ELSE r2 END AS r, least(s1, s2) AS score FROM cuts),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank
+           FROM (SELECT * FROM two UNION ALL SELECT * FROM three) AS u)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l,
+       CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
+@query("op12_direct_address_collocations", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collocations of two and three words per language over all documents, counted in pair tiles."""
+    from orderpulse.llm.tiling import collocations
+    return collocations(read_table(spark, sf_dir, "documents", ["lang", "text"]))
+
+
+OP13_SQL = r"""
+WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents),
+g AS (SELECT h, min(doc_id) AS keep_id, count(*) AS n FROM t GROUP BY h)
+SELECT doc_id, keep_id, CAST(n AS BIGINT) AS group_size, doc_id = keep_id AS kept, h AS text_sha256
+FROM t JOIN g USING (h)
+"""
+
+
+@query("op13_digest_index_dedup", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact duplicates among all documents, through a bucketed and sorted digest index."""
+    from orderpulse.llm.digest_index import exact_duplicates
+    return exact_duplicates(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
