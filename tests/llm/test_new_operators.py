@@ -133,3 +133,85 @@ def test_partial_tiles_merge_in_rounds(spark, monkeypatch):
     rows = _collocation_rows()
     df = spark.createDataFrame(rows, "lang string, text string").repartition(10)
     assert sorted(tuple(r) for r in tiling.collocations(df).collect()) == brute_collocations(rows)
+
+
+def brute_negatives(rows):
+    """rows: (vec_id, vector or None, label or None); one result per distinct anchor id."""
+    use = []
+    for i, x, label in rows:
+        if i is None or x is None or label is None or not len(x) or not all(c is not None and np.isfinite(c) for c in x):
+            continue
+        use.append((i, [int(np.floor(256 * float(c))) for c in x], (label + 1) % 10 if i % 7 == 0 else label))
+    out = []
+    for i, x, label in use:
+        if i % 100:
+            continue
+        scored = [(-sum(a * b for a, b in zip(x, y)), j, other == label) for j, y, other in use if j != i and len(y) == len(x)]
+        for ps, pid, _ in sorted(t for t in scored if t[2])[:5]:
+            inside = sorted(t for t in scored if not t[2] and 80 * -ps <= 100 * -t[0] <= 100 * -ps)[:5]
+            out += [(i, pid, r + 1, j, -ps, -s) for r, (s, j, _) in enumerate(inside)]
+    return sorted(out)
+
+
+def _vectors(n, spread, seed=1, dim=16, copies=0):
+    rng = np.random.default_rng(seed)
+    centers = rng.standard_normal((12, dim))
+    x = (centers[rng.integers(0, 12, n)] + spread * rng.standard_normal((n, dim))).astype(np.float32)
+    x[n - copies:] = x[0]
+    return [(i, v.tolist(), int(rng.integers(0, 10)) if i % 3 else 4) for i, v in enumerate(x)]
+
+
+@pytest.mark.parametrize("spread,copies,shard,block", [(0.3, 0, 150, 8192), (1.0, 400, 8192, 3), (0.05, 0, 8192, 8192)])
+def test_hard_negatives_equal_brute_force(spark, spread, copies, shard, block, monkeypatch):
+    from orderpulse.llm import cover_tree
+    monkeypatch.setattr(cover_tree, "SHARD", shard)
+    monkeypatch.setattr(cover_tree, "BLOCK", block)
+    rows = _vectors(1100, spread, copies=copies)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = cover_tree.hard_negatives(df)
+    assert sorted(tuple(r) for r in got.collect()) == brute_negatives(rows)
+
+
+def test_hard_negatives_edge_rows(spark):
+    from orderpulse.llm.cover_tree import hard_negatives
+    rows = [(0, [1.0, 0.0], 1), (1, [1.0, 0.0], 2), (2, [0.9, 0.1], 1), (3, [-1.0, 0.0], 1), (4, [0.9, 0.0], 3),
+            (4, [0.9, 0.0], 3), (5, None, 1), (6, [float("nan"), 1.0], 2), (8, [None, 1.0], 2), (9, [1.0, 0.0], None),
+            (None, [1.0, 0.0], 2), (10, [], 2), (100, [1.0], 5), (101, [1.0], 5), (200, [0.0, 0.0], 2), (11, [1e308, 1.0], 2)]
+    schema = "vec_id long, embedding array<double>, label int, dim int, anchor string"
+    df = spark.createDataFrame([(*r, 0, "x") for r in rows], schema)
+    want = brute_negatives([r for r in rows if r[0] != 11])  # 256e308 is not finite
+    assert sorted(tuple(r) for r in hard_negatives(df).collect()) == want and want
+    assert hard_negatives(df.where("false")).count() == 0
+    assert hard_negatives(df.where("vec_id = 200")).count() == 0
+    long = spark.createDataFrame([(1, [1e9, 1.0], 1)], "vec_id long, embedding array<double>, label int")
+    with pytest.raises(Exception, match="too long a vector"):
+        hard_negatives(long).count()
+
+
+def test_cover_tree_radii_and_pruning():
+    from orderpulse.llm import cover_tree
+    rng = np.random.default_rng(5)
+    x = np.floor(256 * (np.repeat(rng.standard_normal((40, 8)) * 4, 100, axis=0) + 0.1 * rng.standard_normal((4000, 8))))
+    points, _ = cover_tree.lift(x)
+    pages = cover_tree.build(points)
+    seen = np.concatenate([p[4] for p in pages])
+    assert sorted(seen.tolist()) == list(range(4000))
+    below = [set(p[4].tolist()) for p in pages]
+    for node in range(len(pages) - 1, 0, -1):
+        below[pages[node][0]] |= below[node]
+    for (_, level, radius, center, _), rows in zip(pages, below):
+        far = np.sqrt(((points[sorted(rows)] - points[center]) ** 2).sum(axis=1)).max()
+        assert far <= radius + 1e-6 and (radius == 0 or radius <= cover_tree.BASE ** level * (1 + 1e-9))
+    import pyarrow as pa
+    table = pa.table({"dim": pa.array([8] * 4000, pa.int32()), "label": pa.array([1] * 4000), "part": pa.array([0] * 4000, pa.int32()),
+                      "vec_id": np.arange(4000), "v": pa.array([r.tobytes() for r in x], pa.binary())})
+    tree = cover_tree.Tree(cover_tree._builder(table))
+    q = x[:1]
+    top = float((x @ q[0]).max())
+    scores, ids = tree.search(q, np.array([-1]), np.array([0, 0]), np.array([-np.inf, 0.4 * top]), np.array([np.inf, 0.5 * top]), 5)
+    s = x @ q[0]
+    for g, (lo, hi) in enumerate([(-np.inf, np.inf), (0.4 * top, 0.5 * top)]):
+        inside = np.flatnonzero((s >= lo) & (s <= hi))
+        order = inside[np.lexsort((inside, -s[inside]))][:5]
+        assert ids[g][:len(order)].tolist() == order.tolist()
+    assert tree.verified < len(x) / 2
