@@ -7,38 +7,61 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Code point ranges covered by the accent table: Latin-1 Supplement, Latin
-# Extended-A/B and Latin Extended Additional.
-_ACCENT_RANGES = [(0x00A0, 0x024F), (0x1E00, 0x1EFF)]
+# Code point ranges covered by the accent table: Latin-1 Supplement to Latin Extended-B,
+# superscripts to letterlike forms and number forms, Latin Extended Additional, enclosed and
+# squared forms, ligatures, full-width forms.
+_ACCENT_RANGES = [(0x00A0, 0x024F), (0x1E00, 0x1EFF), (0x2070, 0x218F), (0x2460, 0x24FF), (0x3250, 0x33FF),
+                  (0xFB00, 0xFB06), (0xFF01, 0xFF5E)]
 
 
-def _accent_table() -> tuple[str, str]:
-    """Build the one-to-one ``translate`` table by rule: a character maps to the
-    single ASCII character its NFKD decomposition keeps. Characters whose
-    decomposition keeps no ASCII are left for the final non-ASCII removal."""
-    src, dst = [], []
+def _decompositions(words_only: bool) -> dict[str, str]:
+    """By rule: what the NFKD decomposition of every character keeps in ASCII (not the empty string).
+    ``words_only`` leaves out characters that are no letter or number themselves."""
+    out = {}
     for lo, hi in _ACCENT_RANGES:
-        for cp in range(lo, hi + 1):
-            ch = chr(cp)
+        for ch in map(chr, range(lo, hi + 1)):
             kept = "".join(c for c in unicodedata.normalize("NFKD", ch) if ord(c) < 128)
-            if len(kept) == 1 and kept != ch:
-                src.append(ch)
-                dst.append(kept)
-    return "".join(src), "".join(dst)
+            if kept and (ch.isalnum() or not words_only):
+                out[ch] = kept
+    return out
 
 
-ACCENT_SRC, ACCENT_DST = _accent_table()
+def _one_letter(words_only: bool) -> tuple[str, str]:
+    one = {ch: kept for ch, kept in _decompositions(words_only).items() if len(kept) == 1}
+    return "".join(one), "".join(one.values())
 
 
-def strip_accents(value: Column) -> Column:
-    """Map accented Latin letters to their ASCII base letter, drop other non-ASCII."""
-    return F.regexp_replace(F.translate(value, ACCENT_SRC, ACCENT_DST), r"[^\x00-\x7F]", "")
+def _longer(words_only: bool) -> dict[str, list[str]]:
+    """Decompositions of several letters: kept text -> characters that become it."""
+    out: dict[str, list[str]] = {}
+    for ch, kept in _decompositions(words_only).items():
+        if len(kept) > 1:
+            out.setdefault(kept, []).append(ch)
+    return out
+
+
+ACCENT_SRC, ACCENT_DST = _one_letter(words_only=False)
+_TABLES = {flag: (*_one_letter(flag), _longer(flag)) for flag in (False, True)}
+
+
+def strip_accents(value: Column, words_only: bool = False) -> Column:
+    """The ASCII that the compatibility decomposition (NFKD) of a text keeps.
+
+    One ``translate`` maps the letters that keep one ASCII letter. Text that still holds other
+    characters afterwards (a ligature, a unit sign, a fraction) is mapped character by character;
+    ``words_only`` first drops signs that are no letters or numbers."""
+    src, dst, longer = _TABLES[words_only]
+    one = F.translate(value, src, dst)
+    # only rows that still hold characters outside ASCII pay for it
+    table = F.create_map(*[F.lit(x) for kept, chars in longer.items() for ch in chars for x in (ch, kept)])
+    mapped = F.array_join(F.transform(F.split(one, ""), lambda c: F.coalesce(F.element_at(table, c), c)), "")
+    return F.regexp_replace(F.when(one.rlike(r"[^\x00-\x7F]"), mapped).otherwise(one), r"[^\x00-\x7F]", "")
 
 
 def client_key(value: Column) -> Column:
-    """Client key (P11): lower, accents stripped, only ``[a-z0-9]`` kept; null -> ''."""
-    s = strip_accents(F.lower(value.cast("string")))
-    return F.coalesce(F.regexp_replace(s, r"[^a-z0-9]", ""), F.lit(""))
+    """Client key (P11): lower, only letters and numbers kept, these in their ASCII form; null -> ''."""
+    words = F.regexp_replace(F.lower(value.cast("string")), r"[^\p{L}\p{N}]", "")
+    return F.coalesce(strip_accents(words, words_only=True), F.lit(""))
 
 
 def generated_sku(value: Column, width: int = 10) -> Column:

@@ -8,7 +8,9 @@ pair is split by day.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderpulse.functions.dates import add_days, floor_days, month_start, ts_literal
@@ -16,9 +18,11 @@ from orderpulse.functions.labels import reliability
 from orderpulse.functions.numbers import cents, money_sum
 from orderpulse.operators import stats as S
 from orderpulse.operators.metrics import series_growth
-from orderpulse.operators.ordered import gaps, with_previous
+from orderpulse.operators.gaps import median_gap, weighted_gaps
+from orderpulse.operators.ordered import with_previous
 from orderpulse.operators.segments import pdv_scores
-from orderpulse.schemas import DEFAULT_DELAY_DAYS
+from orderpulse.schemas import ALERT_TEXTS, DEFAULT_DELAY_DAYS
+from orderpulse.session import materialize, stored_once
 
 PAIR = ["client", "sku"]
 
@@ -27,6 +31,17 @@ def _triggers(tx: DataFrame) -> DataFrame:
     return pdv_scores(tx).select("client", "gatilhos")
 
 
+def _text(name: str, *values) -> Column:
+    """A fixed text with its values; numbers are rounded half-even to the places they are shown with (noise
+    beyond the ninth place does not decide a half)."""
+    template = ALERT_TEXTS[name]
+    args = []
+    for spec, v in zip(re.findall(r"%(?!%)(?:\.(\d))?([sdf])", template.replace("%%", "")), values, strict=True):
+        c = F.col(v) if isinstance(v, str) else v
+        args.append(F.bround(F.round(c, 9), int(spec[0])) if spec[1] == "f" else c)
+    return F.format_string(template, *args)
+
+
 def _with_action(df: DataFrame, base: str, joiner: str) -> DataFrame:
     """Action text plus the client's PDV triggers, when it has any."""
     trig = F.coalesce(F.col("gatilhos"), F.array().cast("array<string>"))
@@ -43,14 +58,13 @@ def rupture_alerts(tx: DataFrame, reference_date, delay: int = DEFAULT_DELAY_DAY
     (median gap + delay), capped at 1; repurchase probability and 95% interval
     of the gaps."""
     ref = ts_literal(reference_date)
-    tx = tx.where(F.col("client").isNotNull() & F.col("sku").isNotNull())
-    g = gaps(tx, PAIR)
-    share = F.avg(F.when(F.col("gap").isNull(), None).when(F.col("gap") <= 90, 1.0).otherwise(0.0))
-    p = F.percentile(F.col("gap").cast("double"), [(1 - 0.95) / 2, 1 - (1 - 0.95) / 2])
-    a = g.groupBy(*PAIR).agg(
-        F.count(F.lit(1)).alias("_n"), F.max("date").alias("last_order"),
-        F.median("gap").alias("giro_mediano"), F.coalesce(F.bround(share, 4), F.lit(0.0)).alias("prob_recompra"),
-        p.alias("_ic")).where(F.col("_n") >= 2)
+    if triggers is None:  # read by the pairs and by the triggers
+        tx = stored_once(tx, ["client", "sku", "order_id", "qty", "date"])
+    t = tx.where(F.col("client").isNotNull() & F.col("sku").isNotNull())
+    p = F.percentile(F.col("gap").cast("double"), [(1 - 0.95) / 2, 1 - (1 - 0.95) / 2], F.col("weight"))
+    a = weighted_gaps(t, PAIR).groupBy(*PAIR).agg(
+        F.sum("weight").alias("_n"), F.max("last_ts").alias("last_order"), median_gap().alias("giro_mediano"),
+        S.share_within(90, F.col("weight")).alias("prob_recompra"), p.alias("_ic")).where(F.col("_n") >= 2)
     dias = floor_days(ref, F.col("last_order"))
     previsao = F.col("giro_mediano") + F.lit(float(delay))
     conf = F.least(F.lit(1.0), dias / F.greatest(F.lit(1.0), previsao))
@@ -59,17 +73,12 @@ def rupture_alerts(tx: DataFrame, reference_date, delay: int = DEFAULT_DELAY_DAY
         "giro_mediano", conf.alias("confianca"), reliability(conf).alias("reliability"),
         "prob_recompra", F.col("_ic")[0].alias("ic_low"), F.col("_ic")[1].alias("ic_high"),
         F.lit("3 dias").alias("suggested_deadline"))
-    out = out.withColumn("insight", F.format_string(
-        "Cliente %s sem comprar %s há %d dias. Giro mediano %.1fd (IC %.0f-%.0f) e prob. recompra %.0f%%.",
-        F.col("client"), F.col("sku"), F.col("dias_sem_compra"), F.col("giro_mediano"),
-        F.col("ic_low"), F.col("ic_high"), F.col("prob_recompra") * 100)) \
-        .withColumn("diagnosis", F.format_string(
-            "%s está há %dd sem comprar %s (giro %.0fd).", F.col("client"), F.col("dias_sem_compra"),
-            F.col("sku"), F.col("giro_mediano"))) \
-        .withColumn("_action", F.format_string(
-            "Ligar para %s e reservar estoque para reposição em até 3 dias.", F.col("client")))
+    out = out.withColumn("insight", _text("ruptura_insight", "client", "sku", "dias_sem_compra", "giro_mediano",
+                                          "ic_low", "ic_high", F.col("prob_recompra") * 100)) \
+        .withColumn("diagnosis", _text("ruptura_diagnosis", "client", "dias_sem_compra", "sku", "giro_mediano")) \
+        .withColumn("_action", _text("ruptura_action", "client"))
     trig = _triggers(tx) if triggers is None else triggers
-    return _with_action(out.join(trig, "client", "left"), "", " Considerar: ")
+    return _with_action(out.join(trig, "client", "left"), "", ALERT_TEXTS["ruptura_joiner"])
 
 
 def drop_alerts(tx: DataFrame, triggers: DataFrame | None = None, z_limit: float = -1.5) -> DataFrame:
@@ -88,16 +97,11 @@ def drop_alerts(tx: DataFrame, triggers: DataFrame | None = None, z_limit: float
         z.alias("zscore"), F.col("growth_yoy").alias("yoy"), queda.alias("queda_pct"),
         score.alias("score"), reliability(score).alias("reliability"),
         F.lit("1 semana").alias("suggested_deadline"))
-    out = out.withColumn("insight", F.format_string(
-        "Receita de %s caiu %.1f%% vs média. Z-score %.2f, YoY %.1f%%",
-        F.col("client"), F.col("queda_pct"), F.col("zscore"), F.col("yoy"))) \
-        .withColumn("diagnosis", F.format_string(
-            "Receita mensal de %s recuou %.1f%% (z %.1f).", F.col("client"), F.col("queda_pct"),
-            F.col("zscore")))
+    out = out.withColumn("insight", _text("queda_insight", "client", "queda_pct", "zscore", "yoy")) \
+        .withColumn("diagnosis", _text("queda_diagnosis", "client", "queda_pct", "zscore"))
     trig = _triggers(tx) if triggers is None else triggers
-    return _with_action(out.join(trig, "client", "left"),
-                        "Oferecer ofertas de recuperação e revisar cobertura com o time comercial.",
-                        " Verificar também: ")
+    return _with_action(out.join(trig, "client", "left"), ALERT_TEXTS["queda_action"],
+                        ALERT_TEXTS["queda_joiner"])
 
 
 def outlier_alerts(tx: DataFrame, triggers: DataFrame | None = None, z_limit: float = 3.0,
@@ -121,17 +125,11 @@ def outlier_alerts(tx: DataFrame, triggers: DataFrame | None = None, z_limit: fl
         delta.alias("delta"), reliability(F.least(F.lit(1.0), delta)).alias("reliability"),
         F.coalesce("cv_giro", F.lit(0.0)).alias("cv_giro"), F.coalesce("survival", F.lit(0.0)).alias("survival"),
         F.lit("48 horas").alias("suggested_deadline"))
-    out = out.withColumn("insight", F.format_string(
-        "Volume %s da média para %s (último %.0f vs média %.0f). CV giro %.2f, score sobrevivência %.2f.",
-        F.col("direcao"), F.col("sku"), F.col("valor"), F.col("media"), F.col("cv_giro"),
-        F.col("survival"))) \
-        .withColumn("diagnosis", F.format_string(
-            "Volume de %s ficou %s %.0f%% vs média (%.0f vs %.0f).", F.col("sku"), F.col("direcao"),
-            F.col("delta") * 100, F.col("valor"), F.col("media")))
+    out = out.withColumn("insight", _text("outlier_insight", "direcao", "sku", "valor", "media", "cv_giro", "survival")) \
+        .withColumn("diagnosis", _text("outlier_diagnosis", "sku", "direcao", F.col("delta") * 100, "valor", "media"))
     trig = _triggers(tx) if triggers is None else triggers
-    return _with_action(out.join(trig, "client", "left"),
-                        "Agendar validação de estoque e alinhar com operações/atendimento.",
-                        " Contexto: ")
+    return _with_action(out.join(trig, "client", "left"), ALERT_TEXTS["outlier_action"],
+                        ALERT_TEXTS["outlier_joiner"])
 
 
 ALERT_COLUMNS = ["dataset_id", "client", "sku", "type", "insight", "action", "diagnosis",
@@ -141,7 +139,8 @@ ALERT_COLUMNS = ["dataset_id", "client", "sku", "type", "insight", "action", "di
 def rico_alerts(tx: DataFrame, reference_date, delay: int = DEFAULT_DELAY_DAYS,
                 dataset_id: str | None = None) -> DataFrame:
     """PDV triggers once, the three rules, one union."""
-    trig = _triggers(tx)
+    tx = stored_once(tx, ["client", "sku", "order_id", "qty", "subtotal", "date", "ingest_seq"])
+    trig = materialize(_triggers(tx))  # one small row per client, joined by each rule
     parts = [rupture_alerts(tx, reference_date, delay, trig), drop_alerts(tx, trig),
              outlier_alerts(tx, trig)]
     out = parts[0].unionByName(parts[1], allowMissingColumns=True) \
@@ -177,8 +176,8 @@ def min_rupture(tx: DataFrame, reference_date, delay: int = DEFAULT_DELAY_DAYS,
     last + turnover + delay, CRITICO after; OK rows are not emitted."""
     today = ts_literal(reference_date)
     t = tx.where(F.col("date").isNotNull() & F.col("client").isNotNull() & F.col("product").isNotNull())
-    g = gaps(t, ["client", "product"])
-    a = g.groupBy("client", "product").agg(F.max("date").alias("ultimo"), F.median("gap").alias("_med"))
+    a = weighted_gaps(t, ["client", "product"]).groupBy("client", "product").agg(
+        F.max("last_ts").alias("ultimo"), median_gap().alias("_med"))
     giro = F.coalesce(F.floor(F.col("_med")), F.lit(single_purchase_days)).cast("long")
     a = a.withColumn("giro_mediano_dias", giro)
     total = F.col("giro_mediano_dias") + F.lit(delay)
@@ -237,6 +236,7 @@ def single_purchase(tx: DataFrame, reference_date, days: int = 120) -> DataFrame
 
 def minimum_alerts(tx: DataFrame, reference_date) -> DataFrame:
     """M01-M04 in one frame with the union of their columns."""
+    tx = stored_once(tx, ["client", "product", "date", "subtotal"])
     parts = [min_rupture(tx, reference_date), inactive_clients(tx, reference_date),
              growth_clients(tx, reference_date), single_purchase(tx, reference_date)]
     out = parts[0]

@@ -15,10 +15,9 @@ from pyspark.sql import functions as F
 
 from orderpulse.functions.dates import add_days, floor_days, ts_literal
 from orderpulse.functions.numbers import money_sum
-from orderpulse.operators.ordered import gaps
-from orderpulse.operators.ranks import avg_rank_pcts
-from orderpulse.operators.stats import cv
-from orderpulse.session import materialize
+from orderpulse.operators.gaps import gap_cv, mean_gap, median_gap, rows_with_gap, weighted_gaps
+from orderpulse.operators.ranks import avg_rank_pcts, numbered_in_order
+from orderpulse.session import materialize, stored_once
 
 # Window-status bounds on days_since / cycle (fixed by the documents).
 STATUS_BOUNDS = [(0.50, "frio"), (0.80, "aquecimento")]
@@ -44,13 +43,11 @@ def cycle_metrics(tx: DataFrame, keys: Sequence[str], reference_date) -> DataFra
     present = F.lit(True)
     for k in keys:
         present = present & F.col(k).isNotNull()
-    t = tx.where(present)
-    days = t.groupBy(*keys, F.to_timestamp_ntz(F.col("date").cast("date")).alias("date")) \
-        .agg(F.min("ingest_seq").alias("ingest_seq"))
-    g = gaps(days, keys).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("purchase_days"), F.median("gap").alias("cycle_days"),
-        F.avg("gap").alias("mean_gap"), cv(F.col("gap")).alias("gap_cv"),
-        F.count("gap").alias("n_gaps"))
+    t = stored_once(tx, [*keys, "date", "order_id", "subtotal", "qty"]).where(present)
+    day = t.select(*keys, F.to_timestamp_ntz(F.col("date").cast("date")).alias("date"))
+    g = weighted_gaps(day, keys, distinct=True).groupBy(*keys).agg(
+        F.sum("weight").alias("purchase_days"), median_gap().alias("cycle_days"), mean_gap().alias("mean_gap"),
+        gap_cv().alias("gap_cv"), rows_with_gap().alias("n_gaps"))
     base = t.groupBy(*keys).agg(
         F.max("date").alias("last_order"), F.count_distinct("order_id").alias("orders"),
         money_sum(F.col("subtotal")).alias("revenue"), F.coalesce(F.sum("qty"), F.lit(0.0)).alias("_qty"))
@@ -129,6 +126,12 @@ def operational_list(items: DataFrame, status: str | None = None, client: str |
     return items.orderBy(F.desc("priority_score"), *[F.col(k) for k in ("client", "sku") if k in items.columns])
 
 
+def priority_order(items: DataFrame) -> DataFrame:
+    """D07 as a column: ``position`` by falling priority, then client and SKU."""
+    keys = [F.asc_nulls_last(k) for k in ("client", "sku") if k in items.columns]
+    return numbered_in_order(items, [F.desc_nulls_last("priority_score"), *keys], "position")
+
+
 def instability(cycles: DataFrame, cv_limit: float = INSTABILITY_CV,
                 min_gaps: int = INSTABILITY_MIN_GAPS) -> DataFrame:
     """Keys whose purchase gaps oscillate too much (CV above the limit)."""

@@ -12,10 +12,14 @@ from pyspark.sql import functions as F
 from orderpulse.functions.dates import add_days, floor_days, month_start, ts_literal
 from orderpulse.functions.labels import tier
 from orderpulse.functions.numbers import money_sum
-from orderpulse.operators.ordered import gaps
+from orderpulse.operators.gaps import median_gap, weighted_gaps
 from orderpulse.operators.ranks import avg_rank_pcts, exact_quantiles
 from orderpulse.schemas import DEFAULT_DELAY_DAYS
-from orderpulse.session import materialize
+from orderpulse.session import materialize, stored_once
+
+
+CUSTOMER_FACTS = ["client", "date", "order_id", "subtotal", "segment", "city", "uf", "ingest_seq"]
+PRODUCT_FACTS = ["sku", "date", "order_id", "qty", "subtotal", "product", "ingest_seq"]
 
 
 def _keyed(tx: DataFrame, key: str) -> DataFrame:
@@ -23,36 +27,25 @@ def _keyed(tx: DataFrame, key: str) -> DataFrame:
     return tx.where(F.col(key).isNotNull())
 
 
-def _with_gaps(tx: DataFrame, keys: list[str], distinct_dates: bool) -> DataFrame:
-    if distinct_dates:
-        # one row per (key, date): several lines of one order are one purchase
-        tx = tx.groupBy(*keys, "date").agg(F.min("ingest_seq").alias("ingest_seq"))
-    return gaps(tx, keys)
-
-
 def turnover(tx: DataFrame, keys: list[str], distinct_dates: bool = False,
              name: str = "gm_cliente") -> DataFrame:
     """Median floor-day gap between consecutive rows per key, 0.0 below two rows."""
-    g = _with_gaps(tx, keys, distinct_dates)
-    return g.groupBy(*keys).agg(F.coalesce(F.median("gap"), F.lit(0.0)).alias(name))
+    # distinct_dates: several lines of one order are one purchase
+    g = weighted_gaps(tx, keys, distinct=distinct_dates)
+    return g.groupBy(*keys).agg(F.coalesce(median_gap(), F.lit(0.0)).alias(name))
 
 
 def customer_base(tx: DataFrame, reference_date, distinct_dates: bool = False) -> DataFrame:
     """Per client: recency, frequency, monetary, avg ticket, median turnover,
     last order and the modal segment/city/uf (A01, A02, A03).
 
-    All of it is one aggregate over the gap-annotated rows, so the input is
-    shuffled once by (client, day) and once by client."""
+    The facts are stored once; one aggregate per client and the weighted gaps read them."""
     ref = ts_literal(reference_date)
-    tx = _keyed(tx, "client")
+    tx = _keyed(stored_once(tx, CUSTOMER_FACTS), "client")
     aggs = [F.max("date").alias("last_order"), F.count_distinct("order_id").alias("frequency"),
             money_sum(F.col("subtotal")).alias("monetary"), F.mode("segment", True).alias("segment"),
             F.mode("city", True).alias("city"), F.mode("uf", True).alias("uf")]
-    if distinct_dates:
-        base = tx.groupBy("client").agg(*aggs).join(turnover(tx, ["client"], True), "client", "left")
-    else:
-        base = gaps(tx, ["client"]).groupBy("client").agg(
-            *aggs, F.coalesce(F.median("gap"), F.lit(0.0)).alias("gm_cliente"))
+    base = tx.groupBy("client").agg(*aggs).join(turnover(tx, ["client"], distinct_dates), "client", "left")
     return base.select(
         "client",
         floor_days(ref, F.col("last_order")).alias("recency"),
@@ -85,6 +78,7 @@ def segment_weights(tx: DataFrame) -> DataFrame:
 def customer_rfm(tx: DataFrame, reference_date, distinct_dates: bool = False) -> DataFrame:
     """Customer base + segment weight, average-rank percentiles, RFM score and
     tier (A05, W03, P25)."""
+    tx = stored_once(tx, CUSTOMER_FACTS)
     base = customer_base(tx, reference_date, distinct_dates)
     # read four times (three ranks + the result): computed once, lineage cut
     df = materialize(base.join(segment_weights(tx), "client", "left"))
@@ -141,16 +135,13 @@ def hero_threshold(tx: DataFrame, key: str = "sku", q: float = 0.8) -> DataFrame
 def product_analytics(tx: DataFrame, distinct_dates: bool = False) -> DataFrame:
     """Per SKU: orders, qty, revenue, avg ticket, median turnover, first product
     name by date, hero flag, growth z-score and YoY (A06-A10, J08)."""
-    tx = _keyed(tx, "sku")
+    tx = _keyed(stored_once(tx, PRODUCT_FACTS), "sku")
     aggs = [F.count_distinct("order_id").alias("orders"),
             F.coalesce(F.sum("qty"), F.lit(0.0)).cast("long").alias("qty"),
             money_sum(F.col("subtotal")).alias("revenue"),
             F.min_by("product", F.struct("date", "ingest_seq", "product")).alias("_first_product")]
-    if distinct_dates:
-        base = tx.groupBy("sku").agg(*aggs).join(
-            turnover(tx, ["sku"], True, name="turnover_median"), "sku", "left")
-    else:
-        base = gaps(tx, ["sku"]).groupBy("sku").agg(*aggs, F.median("gap").alias("turnover_median"))
+    base = tx.groupBy("sku").agg(*aggs).join(
+        turnover(tx, ["sku"], distinct_dates, name="turnover_median"), "sku", "left")
     # read by the eager quantile jobs and by the result: computed once
     base = materialize(base)
     growth = series_growth(product_monthly(tx), "sku").select("sku", "growth_zscore", "growth_yoy")
@@ -175,12 +166,8 @@ def projected_stockout(tx: DataFrame, reference_date, delay: int = DEFAULT_DELAY
     """Per client: days from the reference date to last order + turnover + delay."""
     ref = ts_literal(reference_date)
     tx = _keyed(tx, "client")
-    if distinct_dates:
-        df = tx.groupBy("client").agg(F.max("date").alias("last_order")).join(
-            turnover(tx, ["client"], True), "client", "left")
-    else:
-        df = gaps(tx, ["client"]).groupBy("client").agg(
-            F.max("date").alias("last_order"), F.coalesce(F.median("gap"), F.lit(0.0)).alias("gm_cliente"))
+    df = weighted_gaps(tx, ["client"], distinct=distinct_dates).groupBy("client").agg(
+        F.max("last_ts").alias("last_order"), F.coalesce(median_gap(), F.lit(0.0)).alias("gm_cliente"))
     projected = add_days(F.col("last_order"), F.col("gm_cliente") + F.lit(float(delay)))
     return df.select("client", "last_order", "gm_cliente",
                      floor_days(projected, ref).alias("projected_days"))
@@ -190,6 +177,7 @@ def general_kpis(tx: DataFrame, reference_date, delay: int = DEFAULT_DELAY_DAYS,
                  distinct_dates: bool = False) -> DataFrame:
     """One row of general KPIs."""
     ref = ts_literal(reference_date)
+    tx = stored_once(tx, ["client", "sku", "order_id", "date", "subtotal"])
     glob = tx.agg(
         money_sum(F.col("subtotal")).alias("total_revenue"),
         F.count_distinct("client").alias("total_customers"),
@@ -230,7 +218,8 @@ def monthly_history(tx: DataFrame) -> DataFrame:
 
 
 def behaviour_sheet(kpis: DataFrame, rfm: DataFrame) -> DataFrame:
-    """KPI rows plus one ``Clientes <tier>`` row per tier (A14): ``indicador``, ``valor``. Unordered: T10 is not built."""
+    """KPI rows plus one ``Clientes <tier>`` row per tier (A14): ``position, indicador, valor``; tiers by
+    falling count, then name (T10)."""
     k = kpis.select(F.expr(
         "stack(5, 'Total de clientes', CAST(total_customers AS DOUBLE),"
         " 'Total de SKUs', CAST(total_products AS DOUBLE),"
@@ -238,7 +227,12 @@ def behaviour_sheet(kpis: DataFrame, rfm: DataFrame) -> DataFrame:
         " 'Ticket médio', bround(avg_ticket, 2),"
         " 'Ruptura projetada média (dias)', bround(ruptura_projetada_media, 2))"
         " AS (indicador, valor)"))
-    tiers = rfm.groupBy("tier").agg(F.count(F.lit(1)).alias("_n")).select(
+    names = ("Total de clientes", "Total de SKUs", "Total de pedidos", "Ticket médio", "Ruptura projetada média (dias)")
+    place = F.element_at(F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i + 1))]), F.col("indicador"))
+    # one row per tier: a window over them is small
+    tiers = rfm.groupBy("tier").agg(F.count(F.lit(1)).alias("_n"))
+    tiers = tiers.select(
+        (F.row_number().over(Window.orderBy(F.desc("_n"), "tier")) + len(names)).alias("position"),
         F.concat(F.lit("Clientes "), F.col("tier")).alias("indicador"),
         F.col("_n").cast("double").alias("valor"))
-    return k.unionByName(tiers)
+    return k.select(place.alias("position"), "indicador", "valor").unionByName(tiers)

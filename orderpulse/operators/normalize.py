@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from orderpulse.functions.dates import parse_date, to_utc
 from orderpulse.functions.numbers import lenient_double, locale_decimal, locale_number
 from orderpulse.functions.text import client_key, generated_sku, split_code_description
+from orderpulse.operators.ranks import numbered_in_order
 from orderpulse.schemas import BASE_COLUMNS
 from orderpulse.sources.columns import fuzzy_column, fuzzy_map
 from orderpulse.sources.tables import bounded_broadcast
@@ -95,9 +96,18 @@ def run_normalization(df: DataFrame, sku_aliases: DataFrame | None = None,
     return out.select(*BASE_COLUMNS)
 
 
+BASE_ORDER = ("date", "client", "sku")
+
+
 def base_order(df: DataFrame) -> DataFrame:
     """Date, client, sku ascending, nulls last."""
-    return df.orderBy(F.asc_nulls_last("date"), F.asc_nulls_last("client"), F.asc_nulls_last("sku"))
+    return df.orderBy(*[F.asc_nulls_last(c) for c in BASE_ORDER])
+
+
+def base_positions(df: DataFrame) -> DataFrame:
+    """T01 as a column: ``position`` of every row in the base order, ties by the other columns."""
+    rest = [c for c in df.columns if c not in BASE_ORDER]
+    return numbered_in_order(df, [F.asc_nulls_last(c) for c in (*BASE_ORDER, *rest)], "position")
 
 
 def normalize_transactions(raw: DataFrame, dataset_id: str, customers: DataFrame | None = None,
@@ -127,9 +137,12 @@ def normalize_transactions(raw: DataFrame, dataset_id: str, customers: DataFrame
     ).where(F.col("price").isNotNull())
     if customers is None:
         return tx.select("*", *[F.lit(None).cast("string").alias(c) for c in ("segment", "city", "uf")])
-    # one row per client key, so that repeated customers do not multiply facts
-    c = (customers.groupBy(F.col("name").alias("_name")).agg(F.max(F.struct("segment", "city", "uf")).alias("_c"))
-         .select("_name", "_c.*"))
+    # one row per client key, so that repeated customers do not multiply facts: per field the latest value
+    # (S07); without an arrival order the largest
+    def current(c):
+        seq = F.when(F.col(c).isNotNull(), F.col("ingest_seq")) if "ingest_seq" in customers.columns else F.col(c)
+        return F.max_by(c, seq).alias(c)
+    c = customers.groupBy(F.col("name").alias("_name")).agg(*[current(f) for f in ("segment", "city", "uf")])
     return tx.join(c, tx.client == c._name, "left").drop("_name")
 
 

@@ -138,13 +138,3 @@ def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,
     cand = b.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= n)
     top = cand.withColumn("_rank", F.row_number().over(w2)).where(F.col("_rank") <= n)
     return top.select(*df.columns, "_rank")
-
-
-def gaps(df: DataFrame, keys: Sequence[str], ts: str = "date",
-         tie: str = "ingest_seq", split_rows: int = SPLIT_ROWS) -> DataFrame:
-    """Floor-day gaps between consecutive rows of each key ordered by (ts, tie).
-
-    Returns the input rows plus ``gap`` (null on each key's first row)."""
-    from orderpulse.functions.dates import floor_days
-    prev = with_previous(df, keys, [ts, tie], [ts], prefix="_p_", split_rows=split_rows)
-    return prev.withColumn("gap", floor_days(F.col(ts), F.col(f"_p_{ts}"))).drop(f"_p_{ts}")

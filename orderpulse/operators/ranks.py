@@ -14,12 +14,17 @@ values; the returned plan is lazy.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orderpulse.session import stored_once
+from orderpulse.sources.tables import bounded_broadcast
+
 MAX_BUCKETS = 512
+MAX_SORT_PARTITIONS = 1_000_000
 ROWS_PER_BUCKET = 2_000_000
 
 
@@ -60,6 +65,22 @@ def value_ranks(df: DataFrame, col: str, rows_per_bucket: int = ROWS_PER_BUCKET)
                     F.lit(n).cast("long").alias("n")))
 
 
+def numbered_in_order(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
+    """``df`` with ``name`` = position (from 1) of every row in ``order``, as a stored table in that order.
+
+    A global sort range-partitions the rows; each is written with its partition and place in it,
+    then a prefix sum over the partitions' row counts (one row each) turns places into positions.
+    ``order`` should be total: rows equal in it are numbered in any order."""
+    placed = stored_once(df.orderBy(*order).withColumn("_place", F.monotonically_increasing_id()))
+    part, place = F.shiftrightunsigned("_place", 33), F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    # one row per sorted partition: a single-partition window over them is small
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(
+        Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return placed.withColumn("_part", part).join(bounded_broadcast(before, MAX_SORT_PARTITIONS), "_part").select(
+        *df.columns, (F.col("_before") + place + 1).alias(name))
+
+
 def avg_rank_pct(df: DataFrame, col: str, out: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Add ``out`` = average rank of ``col`` divided by the non-null count
     (pandas ``rank(pct=True, method="average")``, W03). Null values get null."""

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from orderpulse.functions.dates import floor_days
 from orderpulse.functions.numbers import money_sum
-from orderpulse.operators.ordered import gaps
-from orderpulse.operators.ranks import exact_quantiles
-from orderpulse.session import materialize
+from orderpulse.operators.gaps import median_gap, weighted_gaps
+from orderpulse.operators.ranks import exact_quantiles, numbered_in_order
+from orderpulse.session import materialize, stored_once
 from orderpulse.schemas import (
     TRIGGER_MIX, TRIGGER_TURNOVER, TRIGGER_VOLUME, UNCLASSIFIED_SEGMENT,
 )
@@ -19,13 +19,13 @@ def pdv_vectors(tx: DataFrame) -> DataFrame:
     """Per client: ``mix`` (distinct SKUs), ``volume`` (sum of qty), ``freq``
     (orders per 30 days of active span, span below 30 days counts as one) and
     ``giro_mediano`` (median gap between consecutive rows) (A28)."""
-    tx = tx.where(F.col("client").isNotNull())
-    v = gaps(tx, ["client"]).groupBy("client").agg(
+    tx = stored_once(tx, ["client", "sku", "order_id", "qty", "date"]).where(F.col("client").isNotNull())
+    v = tx.groupBy("client").agg(
         F.count_distinct("order_id").alias("_orders"),
         F.count_distinct("sku").alias("mix"),
         F.coalesce(F.sum("qty"), F.lit(0.0)).alias("volume"),
-        F.max("date").alias("_last"), F.min("date").alias("_first"),
-        F.median("gap").alias("giro_mediano"))
+        F.max("date").alias("_last"), F.min("date").alias("_first"))
+    v = v.join(weighted_gaps(tx, ["client"]).groupBy("client").agg(median_gap().alias("giro_mediano")), "client")
     span = floor_days(F.col("_last"), F.col("_first")) / 30.0
     return v.select(
         "client", "mix", "volume",
@@ -45,7 +45,7 @@ def pdv_baseline(vectors: DataFrame) -> DataFrame:
 def pdv_scores(tx: DataFrame, peso_mix: float = 0.35, peso_volume: float = 0.35,
                peso_frequencia: float = 0.30) -> DataFrame:
     """Per client: ``score``, trigger flags, ``gatilhos`` (texts) and
-    ``justificativa`` (A30). Unordered: the ordering T03 is not built."""
+    ``justificativa`` (A30); ``pdv_order`` numbers them (T03)."""
     # read by the baseline's eager quantile jobs and by the scores: computed once
     v = materialize(pdv_vectors(tx))
     df = v.crossJoin(pdv_baseline(v))                      # baseline is one row
@@ -63,7 +63,12 @@ def pdv_scores(tx: DataFrame, peso_mix: float = 0.35, peso_volume: float = 0.35,
         t_mix.alias("trig_mix"), t_vol.alias("trig_volume"), t_giro.alias("trig_turnover"),
         gatilhos.alias("gatilhos"),
         F.format_string("Mix %d SKUs, volume %.0f itens, freq. %.2f/mês",
-                        F.col("mix"), F.col("volume"), F.col("freq")).alias("justificativa"))
+                        F.col("mix"), F.bround("volume", 0), F.bround("freq", 2)).alias("justificativa"))
+
+
+def pdv_order(scores: DataFrame) -> DataFrame:
+    """``position`` by falling score, then client."""
+    return numbered_in_order(scores, [F.desc_nulls_last("score"), F.asc("client")], "position")
 
 
 def segment_rollup(tx: DataFrame) -> DataFrame:

@@ -1,9 +1,10 @@
 """Statistics per key (A23-A27, W04, W05, W10) as grouped aggregates.
 
-Inputs are rows with a key and a value (or the ``gap`` column of
-``ordered.gaps``). Aggregates combine map-side, so a hot key costs no more than
-any other; the only per-row results (outlier flags) re-attach key statistics by
-an equi-join that AQE's skew handling can split.
+Inputs are rows with a key and a value, or with ``gap`` and, from
+``gaps.weighted_gaps``, the ``weight`` of rows that have it. Aggregates combine
+map-side, so a hot key costs no more than any other; the only per-row results
+(outlier flags) re-attach key statistics by an equi-join that AQE's skew handling
+can split.
 """
 
 from __future__ import annotations
@@ -21,19 +22,29 @@ def number(value: Column) -> Column:
     return F.nanvl(value.try_cast("double"), F.lit(None).cast("double"))
 
 
+def _weight(g: DataFrame) -> Column:
+    """Rows that a row of ``g`` stands for."""
+    return F.col("weight") if "weight" in g.columns else F.lit(1).cast("long")
+
+
+def share_within(window_days: int, weight: Column) -> Column:
+    """Aggregate: share of gaps <= ``window_days``, half-even to 4 places; no gap -> 0.0."""
+    w = F.when(F.col("gap").isNotNull(), weight)
+    inside = F.sum(F.when(F.col("gap") <= window_days, weight).when(F.col("gap").isNotNull(), 0))
+    return F.coalesce(F.bround(inside / F.nullif(F.sum(w), F.lit(0)), 4), F.lit(0.0))
+
+
 def repurchase_probability(g: DataFrame, keys: Sequence[str], window_days: int = 90,
                            name: str = "prob_recompra") -> DataFrame:
     """Share of gaps <= ``window_days``, half-even to 4 places; no gap -> 0.0."""
-    share = F.avg(F.when(F.col("gap").isNull(), None)
-                  .when(F.col("gap") <= window_days, 1.0).otherwise(0.0))
-    return g.groupBy(*keys).agg(F.coalesce(F.bround(share, 4), F.lit(0.0)).alias(name))
+    return g.groupBy(*keys).agg(share_within(window_days, _weight(g)).alias(name))
 
 
 def turnover_interval(g: DataFrame, keys: Sequence[str], confidence: float = 0.95,
                       names=("ic_low", "ic_high")) -> DataFrame:
     """Linear percentiles alpha/2 and 1-alpha/2 of the gaps; none -> (0, 0)."""
     alpha = 1 - confidence
-    p = F.percentile(F.col("gap").cast("double"), [alpha / 2, 1 - alpha / 2])
+    p = F.percentile(F.col("gap").cast("double"), [alpha / 2, 1 - alpha / 2], _weight(g))
     return g.groupBy(*keys).agg(p.alias("_p")).select(
         *keys, F.coalesce(F.col("_p")[0], F.lit(0.0)).alias(names[0]),
         F.coalesce(F.col("_p")[1], F.lit(0.0)).alias(names[1]))

@@ -8,13 +8,13 @@ the distributed rank table of ``ranks`` instead of a single-task window.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderpulse.functions.dates import floor_days
 from orderpulse.functions.numbers import money_sum
 from orderpulse.operators.metrics import customer_base, general_kpis, hero_threshold
-from orderpulse.operators.ranks import exact_quantiles, value_ranks
+from orderpulse.operators.ranks import exact_quantiles, numbered_in_order, value_ranks
 from orderpulse.session import materialize
 
 
@@ -88,6 +88,39 @@ def light_summary(tx: DataFrame, cnpj_col: str | None = None) -> DataFrame:
                     F.coalesce(F.greatest(F.lit(1), months), F.lit(0)).cast("long").alias("meses"))
 
 
+def dataset_overview(tx: DataFrame, cnpj_col: str | None = None, k: int = 10) -> DataFrame:
+    """A17 whole, as one row from one scan: ``light_summary``'s scalars and ``ufs`` (first ``k`` in arrival
+    order, sorted), ``cidades_top`` and ``categorias_top`` (``k`` most frequent, ties by value).
+
+    Every row is unpivoted to (column, value) and counted, combined map-side, so a value that a
+    third of all rows share is one row. The best of a column come in two steps, first of each of
+    its 64 parts: no task sorts all values of a column."""
+    cols = {"cliente": "client", "cnpj": cnpj_col, "produto": "product", "uf": "uf", "cidade": "city", "categoria": "category"}
+    pairs = F.array(*[F.struct(F.lit(name).alias("column"), (F.col(c) if c else F.lit(None)).cast("string").alias("value"))
+                      for name, c in cols.items()])
+    values = materialize(tx.select("date", "ingest_seq", F.inline(pairs)).groupBy("column", "value").agg(
+        F.count(F.lit(1)).alias("n"), F.min("ingest_seq").alias("first"), F.min("date").alias("mn"), F.max("date").alias("mx")))
+    part = F.pmod(F.xxhash64("value"), F.lit(64))
+
+    def best(column: str, order: list[Column]) -> Column:
+        return F.row_number().over(Window.partitionBy("column", *([part] if column == "part" else [])).orderBy(*order))
+    lists = values.where(F.col("value").isNotNull() & F.col("column").isin("uf", "cidade", "categoria"))
+    order = [F.when(F.col("column") == "uf", F.col("first")).otherwise(-F.col("n")), F.col("value")]
+    for level in ("part", "column"):
+        lists = lists.withColumn("place", best(level, order)).where(F.col("place") <= k)
+    lists = lists.agg(*[F.array_sort(F.collect_list(F.when(F.col("column") == c, F.struct("place", "value")))).alias(c)
+                        for c in ("uf", "cidade", "categoria")])                # at most k values each
+    counted = [F.count(F.when(F.col("column") == c, F.col("value"))).alias(f"n_{c}") for c in ("cliente", "cnpj", "produto")]
+    a = values.agg(*counted, F.min("mn").alias("_mn"), F.max("mx").alias("_mx")).crossJoin(lists)
+    months = (F.year("_mx") - F.year("_mn")) * 12 + F.month("_mx") - F.month("_mn") + 1
+    return a.select(
+        F.col("n_cliente").alias("n_clientes"), F.col("n_cnpj").alias("n_cnpjs"), F.col("n_produto").alias("n_produtos"),
+        F.date_format("_mn", "yyyy-MM-dd").alias("inicio"), F.date_format("_mx", "yyyy-MM-dd").alias("fim"),
+        F.coalesce(F.greatest(F.lit(1), months), F.lit(0)).cast("long").alias("meses"),
+        F.array_sort(F.col("uf.value")).alias("ufs"), F.col("cidade.value").alias("cidades_top"),
+        F.col("categoria.value").alias("categorias_top"))
+
+
 def panel_kpis(tx: DataFrame) -> DataFrame:
     """Revenue, customers, products, orders, avg ticket."""
     a = tx.agg(money_sum(F.col("subtotal")).alias("total_revenue"),
@@ -134,6 +167,12 @@ def client_sku_potential(tx: DataFrame) -> DataFrame:
                                            F.coalesce(F.sum("qty"), F.lit(0.0)).alias("qty"))
 
 
+def potential_order(potential: DataFrame) -> DataFrame:
+    """``position`` by client, then falling subtotal (ties by SKU)."""
+    return numbered_in_order(potential, [F.asc_nulls_last("client"), F.desc_nulls_last("subtotal"), F.asc_nulls_last("sku")],
+                             "position")
+
+
 def kpi_payload(customers: DataFrame) -> DataFrame:
     """Client count, rounded mean recency, mean frequency (1 place), mean
     ticket (2 places), all floored at zero; Python rounding is half-even."""

@@ -180,12 +180,13 @@ FROM tx GROUP BY 1
 ORACLE["behaviour_sheet"] = f"""
 WITH kpi AS (WITH {_kpi_ctes('tpch')} SELECT * FROM kpi),
 rfm AS (WITH {_rfm_ctes('tpch')} SELECT * FROM rfm)
-SELECT 'Total de clientes' AS indicador, CAST(total_customers AS DOUBLE) AS valor FROM kpi
-UNION ALL SELECT 'Total de SKUs', CAST(total_products AS DOUBLE) FROM kpi
-UNION ALL SELECT 'Total de pedidos', CAST(total_orders AS DOUBLE) FROM kpi
-UNION ALL SELECT 'Ticket médio', round_even(avg_ticket, 2) FROM kpi
-UNION ALL SELECT 'Ruptura projetada média (dias)', round_even(ruptura_projetada_media, 2) FROM kpi
-UNION ALL SELECT 'Clientes ' || tier, CAST(count(*) AS DOUBLE) FROM rfm GROUP BY tier
+SELECT 1 AS position, 'Total de clientes' AS indicador, CAST(total_customers AS DOUBLE) AS valor FROM kpi
+UNION ALL SELECT 2, 'Total de SKUs', CAST(total_products AS DOUBLE) FROM kpi
+UNION ALL SELECT 3, 'Total de pedidos', CAST(total_orders AS DOUBLE) FROM kpi
+UNION ALL SELECT 4, 'Ticket médio', round_even(avg_ticket, 2) FROM kpi
+UNION ALL SELECT 5, 'Ruptura projetada média (dias)', round_even(ruptura_projetada_media, 2) FROM kpi
+UNION ALL SELECT CAST(5 + row_number() OVER (ORDER BY count(*) DESC, tier) AS INTEGER), 'Clientes ' || tier,
+       CAST(count(*) AS DOUBLE) FROM rfm GROUP BY tier
 """
 
 # --- statistics ------------------------------------------------------------------

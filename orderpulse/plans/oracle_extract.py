@@ -65,3 +65,57 @@ SELECT n_name AS file_id, true AS is_block_report FROM nation WHERE n_nationkey
   (SELECT c_nationkey FROM customer c JOIN orders o ON o.o_custkey = c.c_custkey
    JOIN lineitem l ON l.l_orderkey = o.o_orderkey)
 UNION ALL SELECT r_name, false FROM region"""
+
+# The ingest: rows of the stand-in order sheets in file order, within-file dedupe, validation, first per fact key.
+_PT = "replace(replace(replace(format('{{:,.2f}}', {0}), ',', '#'), '.', ','), '#', '.')"
+_SHEET = f"""
+lines AS (
+  SELECT n.n_name, date_trunc('day', o.o_orderdate) AS day, CAST(l.l_orderkey AS VARCHAR) AS order_id, c.c_name, c.c_custkey,
+         CASE l.l_suppkey % 3 WHEN 0 THEN 'Vendedor; ' || l.l_suppkey WHEN 1 THEN 'Vendedor "A"' || chr(10) || l.l_suppkey
+              ELSE 'Vendedor ' || l.l_suppkey END AS seller,
+         CASE l.l_suppkey % 3 WHEN 0 THEN '"Vendedor; ' || l.l_suppkey || '"'
+              WHEN 1 THEN '"Vendedor ""A""' || chr(10) || l.l_suppkey || '"' ELSE 'Vendedor ' || l.l_suppkey END AS seller_text,
+         CASE WHEN l.l_discount = 0 THEN 0.0 ELSE p.p_retailprice END AS price,
+         CAST(CASE WHEN l.l_returnflag = 'R' THEN -l.l_quantity ELSE l.l_quantity END AS BIGINT) AS qty,
+         l.l_extendedprice AS sub, p.p_name AS product, l.l_partkey, l.l_orderkey * 8 + l.l_linenumber AS pos,
+         n.n_name AS city, upper(r.r_name) AS uf, c.c_mktsegment AS segment
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey
+  JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN part p ON l.l_partkey = p.p_partkey
+  JOIN region r ON n.n_regionkey = r.r_regionkey),
+placed AS (
+  SELECT *, seller_text || ';' || {_PT.format('price')} || ';' || qty || ';' || {_PT.format('sub')} AS txt FROM lines
+  WHERE c_name <> '' AND qty <> 0 AND price >= 0),
+extracted AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY day, order_id, product, c_name, qty, price
+                                              ORDER BY l_partkey, pos, txt) AS rn FROM placed) WHERE rn = 1),
+checked AS (
+  SELECT *, CASE WHEN price <= 0 THEN 'Preço deve ser um número válido'
+                 WHEN qty <= 0 THEN 'Quantidade deve ser um número inteiro válido' END AS error FROM extracted),
+valid AS (
+  SELECT *, CAST(timezone('UTC', timezone('America/Sao_Paulo', day)) AS TIMESTAMP) AS date,
+         substr(regexp_replace(strip_accents(upper(product)), '[^A-Za-z0-9]', '', 'g'), 1, 10) AS sku
+  FROM checked WHERE error IS NULL),
+facts AS (
+  SELECT 'tpch' AS dataset_id, order_id, date, regexp_replace(strip_accents(lower(c_name)), '[^a-z0-9]', '', 'g') AS client,
+         seller, sku, product, CAST(price AS DECIMAL(28,2)) AS price, qty,
+         CAST(CAST(price AS DECIMAL(18,2)) * qty AS DECIMAL(28,2)) AS subtotal,
+         CASE WHEN c_custkey % 50 <> 0 THEN segment END AS segment, CASE WHEN c_custkey % 50 <> 0 THEN city END AS city,
+         CASE WHEN c_custkey % 50 <> 0 THEN uf END AS uf,
+         row_number() OVER (PARTITION BY order_id, sku, date, product ORDER BY l_partkey, pos, txt) AS rn FROM valid)"""
+
+ORACLE["ingest_stream"] = f"""WITH {_SHEET}
+SELECT dataset_id, order_id, date, client, seller, sku, product, price, qty, subtotal, segment, city, uf FROM facts WHERE rn = 1"""
+
+ORACLE["ingest_rejects"] = f"""WITH {_SHEET}
+SELECT 'orders' AS kind, error, product, order_id, seller, CAST(qty AS VARCHAR) AS qty, CAST(NULL AS VARCHAR) AS cnpj
+FROM checked WHERE error IS NOT NULL
+UNION ALL SELECT 'customers', 'Nome do cliente é obrigatório', NULL, NULL, NULL, NULL, lpad(CAST(c_custkey AS VARCHAR), 14, '0')
+FROM customer WHERE c_custkey % 50 = 0"""
+
+ORACLE["ingest_manifest"] = f"""WITH {_SHEET},
+sheets AS (SELECT CAST(sum(ceil(n / 200000.0)) AS BIGINT) AS files FROM (SELECT count(*) AS n FROM lines GROUP BY n_name) AS t)
+SELECT 'orders' AS kind, 'READY' AS status, (SELECT files FROM sheets) AS files,
+       (SELECT count(*) FROM facts WHERE rn = 1) AS rows, (SELECT count(*) FROM checked WHERE error IS NOT NULL) AS rejects
+UNION ALL SELECT 'orders', 'DUPLICATE', 1, 0, 0
+UNION ALL SELECT 'customers', 'READY', CAST(ceil(count(*) / 200000.0) AS BIGINT), count(*) FILTER (c_custkey % 50 <> 0),
+       count(*) FILTER (c_custkey % 50 = 0) FROM customer"""

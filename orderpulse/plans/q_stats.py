@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from orderpulse.operators import stats as S
-from orderpulse.operators.ordered import gaps, with_previous
+from orderpulse.operators.gaps import gap_cv, gaps, weighted_gaps
+from orderpulse.operators.ordered import with_previous
 from orderpulse.plans.registry import query, rounded, tx_events, tx_tpch
 
 PAIR = ["client", "sku"]
@@ -21,22 +22,22 @@ def pair_gaps(spark, d):
 @query("repurchase_probability")
 def repurchase_probability(spark, d):
     """A23 per (client, brand) with a 90-day window."""
-    g = gaps(tx_tpch(spark, d), PAIR)
+    g = weighted_gaps(tx_tpch(spark, d), PAIR)
     return S.repurchase_probability(g, PAIR, 90)
 
 
 @query("turnover_interval")
 def turnover_interval(spark, d):
     """A24 per (user, event type): 95% percentile interval of gaps."""
-    g = gaps(tx_events(spark, d), PAIR)
+    g = weighted_gaps(tx_events(spark, d), PAIR)
     return rounded(S.turnover_interval(g, PAIR, 0.95), {"ic_low": 6, "ic_high": 6})
 
 
 @query("turnover_cv")
 def turnover_cv(spark, d):
     """A25 per (client, brand): coefficient of variation of the gaps."""
-    g = gaps(tx_tpch(spark, d), PAIR)
-    return rounded(g.groupBy(*PAIR).agg(S.cv(F.col("gap")).alias("cv_giro")), {"cv_giro": 8})
+    g = weighted_gaps(tx_tpch(spark, d), PAIR)
+    return rounded(g.groupBy(*PAIR).agg(gap_cv().alias("cv_giro")), {"cv_giro": 8})
 
 
 @query("survival_score")

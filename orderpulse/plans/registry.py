@@ -49,5 +49,5 @@ EVENTS_REF = A.EVENTS_REFERENCE_DATE
 
 # Query modules register themselves on import.
 from orderpulse.plans import (  # noqa: E402,F401
-    q_alerts, q_cycles, q_extract, q_metrics, q_normalize, q_products, q_stats, q_store, q_summary,
+    q_alerts, q_cycles, q_extract, q_metrics, q_normalize, q_products, q_reports, q_stats, q_store, q_summary,
 )

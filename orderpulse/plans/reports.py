@@ -1,8 +1,11 @@
-"""Report plans (G01-G03): dictionaries of lazy DataFrames over one cached
-transaction frame, plus the P26, P32 and P33 projections."""
+"""Report plans (G01-G03): dictionaries of DataFrames over facts stored once, plus
+the P26, P32 and P33 projections."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import cache
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +14,10 @@ from orderpulse.functions.labels import reliability_label
 from orderpulse.operators import alerts as AL
 from orderpulse.operators import metrics as M
 from orderpulse.operators import summary as SU
+from orderpulse.operators.normalize import base_positions
+from orderpulse.operators.ranks import numbered_in_order
 from orderpulse.schemas import DEFAULT_DELAY_DAYS, REPORT_SHEETS
+from orderpulse.session import stored_once
 
 
 def relationship_sheet(clients: DataFrame, delay: int = DEFAULT_DELAY_DAYS) -> DataFrame:
@@ -22,24 +28,38 @@ def relationship_sheet(clients: DataFrame, delay: int = DEFAULT_DELAY_DAYS) -> D
                           add_days(F.col("last_order"), janela).alias("proxima_janela"))
 
 
-def build_report(tx: DataFrame, reference_date, delay: int = DEFAULT_DELAY_DAYS) -> dict[str, DataFrame]:
-    """The five report tables. Raises ``ValueError`` on empty input.
+#: What the report plans read of the facts: the joins behind them run once.
+REPORT_FACTS = ["dataset_id", "order_id", "date", "client", "seller", "sku", "product", "price", "qty", "subtotal",
+                "category", "segment", "city", "uf", "ingest_seq"]
+
 
-    Each table re-reads ``tx`` (a pruned scan of the fact table): at scale the
-    facts are far larger than executor memory, so they are not cached."""
-    if tx.isEmpty():
+def report_facts(tx: DataFrame) -> DataFrame:
+    """The facts of a report, stored once; every table of the report scans the columns it needs.
+    Raises ``ValueError`` on empty input."""
+    facts = stored_once(tx, REPORT_FACTS)
+    if facts.isEmpty():
         raise ValueError("no normalised transactions to report on")
-    clients = M.customer_rfm(tx, reference_date)
-    kpis = M.general_kpis(tx, reference_date, delay)
+    return facts
+
+
+def report_plans(tx: DataFrame, reference_date, delay: int = DEFAULT_DELAY_DAYS) -> dict[str, Callable[[], DataFrame]]:
+    """A function per table over the shared facts; what several tables need is computed once."""
+    tx = report_facts(tx)
+    clients = cache(lambda: M.customer_rfm(tx, reference_date))
     return {
         REPORT_SHEETS["clients"]: clients,
-        REPORT_SHEETS["history"]: M.monthly_history(tx),
-        REPORT_SHEETS["mix"]: M.product_analytics(tx),
-        REPORT_SHEETS["relationship"]: relationship_sheet(clients, delay),
-        REPORT_SHEETS["behavior"]: M.behaviour_sheet(kpis, clients),
+        REPORT_SHEETS["history"]: lambda: M.monthly_history(tx),
+        REPORT_SHEETS["mix"]: lambda: M.product_analytics(tx),
+        REPORT_SHEETS["relationship"]: lambda: relationship_sheet(clients(), delay),
+        REPORT_SHEETS["behavior"]: lambda: M.behaviour_sheet(M.general_kpis(tx, reference_date, delay), clients()),
     }
 
 
+def build_report(tx: DataFrame, reference_date, delay: int = DEFAULT_DELAY_DAYS) -> dict[str, DataFrame]:
+    """The five report tables. Raises ``ValueError`` on empty input."""
+    return {name: plan() for name, plan in report_plans(tx, reference_date, delay).items()}
+
+
 def insights_projection(alerts: DataFrame) -> DataFrame:
     """Insight falls back to diagnosis and action to recommended_action;
     columns missing from a legacy alert table read as null."""
@@ -60,32 +80,48 @@ def prioritised_targets(alerts: DataFrame) -> DataFrame:
                          F.coalesce("suggested_deadline", F.lit("")).alias("prazo"))
 
 
-def pro_report(tx: DataFrame, reference_date) -> dict[str, DataFrame]:
-    """Base, client potential (T02), product potential (A22, T09), insights, alerts."""
-    clients = M.customer_rfm(tx, reference_date)
-    alerts = AL.rico_alerts(tx, reference_date)
+def client_order(clients: DataFrame) -> DataFrame:
+    """``position`` by falling RFM score, nulls last (ties by client)."""
+    return numbered_in_order(clients, [F.desc_nulls_last("rfm_score"), F.asc_nulls_last("client")], "position")
+
+
+def pro_plans(tx: DataFrame, reference_date) -> dict[str, Callable[[], DataFrame]]:
+    """A function per table over the shared facts."""
+    tx = report_facts(tx)
+    alerts = cache(lambda: AL.rico_alerts(tx, reference_date))
     return {
-        "base": tx.orderBy(F.asc_nulls_last("date"), F.asc_nulls_last("client"), F.asc_nulls_last("sku")),
-        "clientes": clients.orderBy(F.desc_nulls_last("rfm_score")),
-        "produtos": SU.client_sku_potential(tx).orderBy("client", F.desc("subtotal")),
-        "insights": insights_projection(alerts),
+        "base": lambda: base_positions(tx).orderBy("position"),
+        "clientes": lambda: client_order(M.customer_rfm(tx, reference_date)).orderBy("position"),
+        "produtos": lambda: SU.potential_order(SU.client_sku_potential(tx)).orderBy("position"),
+        "insights": lambda: insights_projection(alerts()),
         "alertas": alerts,
     }
 
 
-def panel_report(tx: DataFrame, reference_date, base_rows: int | None = None) -> dict[str, DataFrame]:
-    """Panel KPIs + RFM summary, client radar, product radar, prioritised
-    targets and the base table (``base_rows`` caps it in arrival order, T07; off by default)."""
-    clients = M.customer_rfm(tx, reference_date)
-    base = tx.orderBy("ingest_seq")
-    if base_rows is not None:
-        base = base.limit(base_rows)
+def pro_report(tx: DataFrame, reference_date) -> dict[str, DataFrame]:
+    """Base (T01), client potential (T02), product potential (A22, T09), insights (P26), alerts."""
+    return {name: plan() for name, plan in pro_plans(tx, reference_date).items()}
+
+
+def panel_plans(tx: DataFrame, reference_date, base_rows: int | None = None) -> dict[str, Callable[[], DataFrame]]:
+    """A function per table over the shared facts; ``base_rows`` caps the base table in arrival order."""
+    tx = report_facts(tx)
+    clients = cache(lambda: M.customer_rfm(tx, reference_date))
+
+    def base() -> DataFrame:
+        b = tx.orderBy("ingest_seq", "product", "qty", "subtotal")
+        return b if base_rows is None else b.limit(base_rows)
     return {
-        "painel": SU.panel_kpis(tx),
-        "rfm_resumo": SU.rfm_summary(clients),
-        "radar_cliente": clients.select("client", "recency", "frequency", "monetary", "avg_ticket",
-                                        "gm_cliente", "tier"),
-        "radar_produto": SU.product_radar(tx),
-        "alvos_priorizados": prioritised_targets(AL.rico_alerts(tx, reference_date)),
+        "painel": lambda: SU.panel_kpis(tx),
+        "rfm_resumo": lambda: SU.rfm_summary(clients()),
+        "radar_cliente": lambda: clients().select("client", "recency", "frequency", "monetary", "avg_ticket",
+                                                  "gm_cliente", "tier"),
+        "radar_produto": lambda: SU.product_radar(tx),
+        "alvos_priorizados": lambda: prioritised_targets(AL.rico_alerts(tx, reference_date)),
         "base_completa": base,
     }
+
+
+def panel_report(tx: DataFrame, reference_date, base_rows: int | None = None) -> dict[str, DataFrame]:
+    """Panel KPIs + RFM summary, client radar, product radar, prioritised targets (P32) and the base table."""
+    return {name: plan() for name, plan in panel_plans(tx, reference_date, base_rows).items()}

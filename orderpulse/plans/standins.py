@@ -133,3 +133,55 @@ def customer_sheet(spark: SparkSession, d: str) -> DataFrame:
     return x.select(F.col("c_name").alias("client"), F.lpad(F.col("c_custkey").cast("string"), 14, "0").alias("cnpj"),
                     F.lit("").alias("ie"), F.lower("r_name").alias("uf"), F.col("n_name").alias("city"),
                     F.col("c_mktsegment").alias("segment"), F.col("c_custkey").alias("ingest_seq"))
+
+
+#: Line items of one order sheet and customers of one customer sheet, at most about this many.
+SHEET_ROWS = 200_000
+
+
+def order_sheet_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Order sheets as text lines ``sheet, part, pos, value``, to be written in that order.
+
+    One or more sheets per nation (orders are dealt over as many as its line items need). A block per part:
+    ``Produto: <name>``, a column header, its lines, a total. Returns carry a negative quantity and undiscounted
+    lines a zero price, which the validator rejects; sellers are plain, hold the separator or a line break.
+    The first sheet is delivered a second time as ``copy``."""
+    lines = _lines(spark, d)
+    sizes = lines.groupBy("n_name").agg(F.ceil(F.count(F.lit(1)) / SHEET_ROWS).alias("_sheets"))
+    lines = lines.join(F.broadcast(sizes), "n_name")               # one row per nation
+    sheet = F.concat_ws("-", F.translate("n_name", " ", "_"),
+                        F.pmod(F.xxhash64("l_orderkey"), F.col("_sheets")).cast("string"))
+    supplier = F.col("l_suppkey").cast("string")
+    seller = (F.when(F.col("l_suppkey") % 3 == 0, F.concat(F.lit('"Vendedor; '), supplier, F.lit('"')))
+              .when(F.col("l_suppkey") % 3 == 1, F.concat(F.lit('"Vendedor ""A""\n'), supplier, F.lit('"')))
+              .otherwise(F.concat(F.lit("Vendedor "), supplier)))
+    qty = F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity"))
+    price = F.when(F.col("l_discount") == 0, F.lit(0.0)).otherwise(F.col("p_retailprice"))
+    lines = lines.withColumn("sheet", sheet)
+    data = lines.select("sheet", F.col("p_partkey").alias("part"),
+                        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pos"),
+                        F.concat_ws(";", F.date_format("o_orderdate", "dd/MM/yyyy"), F.col("l_orderkey").cast("string"),
+                                    "c_name", seller, pt_br(price), qty.cast("long").cast("string"),
+                                    pt_br(F.col("l_extendedprice"))).alias("value"))
+    blocks = lines.select("sheet", F.col("p_partkey").alias("part"), "p_name").distinct()
+    frame = F.inline(F.array(
+        F.struct(F.lit(-2).cast("long").alias("pos"), F.concat(F.lit("Produto: "), F.col("p_name")).alias("value")),
+        F.struct(F.lit(-1).cast("long").alias("pos"), F.lit(";".join(BLOCK_HEADER_CELLS)).alias("value")),
+        F.struct(F.lit((1 << 62)).cast("long").alias("pos"), F.lit(";;;;;;Total").alias("value"))))
+    out = data.unionByName(blocks.select("sheet", "part", frame))
+    first = out.agg(F.min("sheet")).first()[0]
+    return out.unionByName(out.where(F.col("sheet") == first).withColumn("sheet", F.lit("copy")))
+
+
+def customer_sheet_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Customer sheets as text lines ``sheet, pos, value``: a title, the header row, customers; every fiftieth
+    customer has no name, which the validator rejects."""
+    c = customer_sheet(spark, d)
+    sheets = max(1, -(-c.count() // SHEET_ROWS))
+    name = F.when(F.col("ingest_seq") % 50 == 0, F.lit("")).otherwise(F.col("client"))
+    body = c.select(F.pmod("ingest_seq", F.lit(sheets)).alias("sheet"), F.col("ingest_seq").alias("pos"),
+                    F.concat_ws(";", name, "cnpj", "uf", "city", "segment").alias("value"))
+    top = spark.range(sheets).select(F.col("id").alias("sheet"), F.inline(F.array(
+        F.struct(F.lit(-2).cast("long").alias("pos"), F.lit("Cadastro geral").alias("value")),
+        F.struct(F.lit(-1).cast("long").alias("pos"), F.lit("cliente;cnpj;uf;cidade;segmento").alias("value")))))
+    return top.unionByName(body)

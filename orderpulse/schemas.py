@@ -120,6 +120,34 @@ TRIGGER_MIX = "mix abaixo do cluster"
 TRIGGER_VOLUME = "ausência anômala de SKU esperado"
 TRIGGER_TURNOVER = "giro lento em relação ao cluster"
 
+# Alert texts (format strings) and deadlines per rule.
+ALERT_TEXTS = {
+    "ruptura_insight": "Cliente %s sem comprar %s há %d dias. Giro mediano %.1fd (IC %.0f-%.0f) e prob. recompra %.0f%%.",
+    "ruptura_diagnosis": "%s está há %dd sem comprar %s (giro %.0fd).",
+    "ruptura_action": "Ligar para %s e reservar estoque para reposição em até 3 dias.",
+    "ruptura_joiner": " Considerar: ",
+    "queda_insight": "Receita de %s caiu %.1f%% vs média. Z-score %.2f, YoY %.1f%%",
+    "queda_diagnosis": "Receita mensal de %s recuou %.1f%% (z %.1f).",
+    "queda_action": "Oferecer ofertas de recuperação e revisar cobertura com o time comercial.",
+    "queda_joiner": " Verificar também: ",
+    "outlier_insight": "Volume %s da média para %s (último %.0f vs média %.0f). CV giro %.2f, score sobrevivência %.2f.",
+    "outlier_diagnosis": "Volume de %s ficou %s %.0f%% vs média (%.0f vs %.0f).",
+    "outlier_action": "Agendar validação de estoque e alinhar com operações/atendimento.",
+    "outlier_joiner": " Contexto: ",
+}
+
+# Validation messages.
+MISSING_FIELD = "Campo obrigatório '{}' ausente"
+INVALID_FIELD = {
+    "product": "Nome do produto não pode estar vazio",
+    "date": "Data deve ser um objeto datetime",
+    "order_id": "ID do pedido não pode estar vazio",
+    "client": "Nome do cliente não pode estar vazio",
+    "price": "Preço deve ser um número válido",
+    "qty": "Quantidade deve ser um número inteiro válido",
+    "customer": "Nome do cliente é obrigatório",
+}
+
 # Report table names.
 REPORT_SHEETS = {
     "clients": "Identificação do Cliente",

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -56,6 +57,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf_dir
 
 
+def stored_once(df, columns=None):
+    """``df`` (or some of its columns) as a Parquet table below the checkpoint directory, for facts that
+    several aggregates read: the joins behind them run once and each reader scans the columns it needs.
+    A frame that this function returned comes back as it is."""
+    if getattr(df, "_stored_once", False):
+        return df
+    if columns is not None:
+        df = df.select(*columns)
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/facts-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_once = True
+    return out
+
+
 def materialize(df):
     """Write ``df`` to the checkpoint directory and continue from the written copy.
 

@@ -1,5 +1,7 @@
 """Golden values for parsing and text keys (FIXTURES section 2 edge values)."""
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from orderpulse.functions import dates as D
@@ -39,7 +41,6 @@ def test_order_code(spark):
 
 
 def test_dates_dayfirst_and_iso(spark):
-    import datetime as dt
     assert _one(spark, D.parse_date, "05/03/2024") == dt.datetime(2024, 3, 5)
     assert _one(spark, D.parse_date, "2024-03-05") == dt.datetime(2024, 3, 5)
     assert _one(spark, D.parse_date, "5/3/2024 10:30") == dt.datetime(2024, 3, 5, 10, 30)
@@ -73,6 +74,44 @@ def test_split_code_description(spark):
 
 
 def test_to_utc_sao_paulo(spark):
-    import datetime as dt
     r = _one(spark, lambda c: D.to_utc(c.cast("timestamp_ntz")), "2024-03-05 10:00:00")
     assert r == dt.datetime(2024, 3, 5, 13, 0)
+
+
+def test_date_shapes(spark):
+    """Text as the reproduced parser reads it day-first (year-first text as year-month-day)."""
+    d = dt.datetime
+    cases = {
+        "2024/03/05": d(2024, 3, 5), "2024.03.05": d(2024, 3, 5), "2024-3-5": d(2024, 3, 5), "2024/13/05": d(2024, 5, 13),
+        "20240305": d(2024, 3, 5), "20240305T101112": d(2024, 3, 5, 10, 11, 12), "5 Mar 2024": d(2024, 3, 5),
+        "05-Mar-2024": d(2024, 3, 5), "5/mar/2024": d(2024, 3, 5), "5. Mar 2024": d(2024, 3, 5), "05 Mar 24": d(2024, 3, 5),
+        "Tue 5 Mar 2024": d(2024, 3, 5), "Mar 5, 2024": d(2024, 3, 5), "March 5 2024": d(2024, 3, 5), "2024-Mar-05": d(2024, 3, 5),
+        "12/31/2024": d(2024, 12, 31), "31/12/2024": d(2024, 12, 31), "5/3/24": d(2024, 3, 5), "05.03.2024": d(2024, 3, 5),
+        "05/03/2024 14:30": d(2024, 3, 5, 14, 30), "05/03/2024 2:30 PM": d(2024, 3, 5, 14, 30), "05/03/2024 14h30": d(2024, 3, 5, 14, 30),
+        "5-3-2024 10:11:12.5": d(2024, 3, 5, 10, 11, 12, 500000), "05/03/2024T10:11": d(2024, 3, 5, 10, 11), "2024-03-05T10": d(2024, 3, 5, 10),
+        "05/03/2024 12:05 am": d(2024, 3, 5, 0, 5), "2024-03": d(2024, 3, 1), "03/2024": d(2024, 3, 1), "Mar 2024": d(2024, 3, 1), "2024": d(2024, 1, 1),
+        # instants: wall-clock in Sao Paulo (UTC-3)
+        "2024-03-05T10:11:12Z": d(2024, 3, 5, 7, 11, 12), "2024-03-05T10:11:12-03:00": d(2024, 3, 5, 10, 11, 12),
+        "2024-03-05 10:11:12+0300": d(2024, 3, 5, 4, 11, 12), "05/03/2024 10:11:12 UTC": d(2024, 3, 5, 7, 11, 12),
+        "13/13/2024": None, "30/02/2024": None, "2024-02-30": None, "05/03": None, "202403": None, "44000": None, "1.5": None, "": None,
+        "nan": None, "05/03/2024 25:00": None, "5 março 2024": None, "2024-W10-2": None, None: None, "05032024": None}
+    rows = list(cases.items())
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "i int, s string")
+    got = {r["i"]: r["o"] for r in df.select("i", D.parse_date(F.col("s")).alias("o")).collect()}
+    assert {rows[i][0]: v for i, v in got.items()} == cases
+    month_first = df.select("i", D.parse_date(F.col("s"), dayfirst=False).alias("o")).collect()
+    assert {rows[r["i"]][0]: r["o"] for r in month_first}["05.03.2024"] == d(2024, 5, 3)
+    kept = df.select(D.parse_date(F.col("s"), fallback=D.ts_literal("1999-01-01")).alias("o")).where("o is null").count()
+    assert kept == 0
+
+
+def test_keys_of_longer_decompositions(spark):
+    """Ligatures, digraphs, unit signs and fractions keep all their letters (NFKD, then ASCII)."""
+    names = {"Oﬃcina Ltda": "officinaltda", "ĳsselmeer": "ijsselmeer", "Café ½ kilo": "cafe12kilo", "Praça XV №3": "pracaxv3",
+             "Ação & Cia_Ltda": "acaocialtda", "éclair": "eclair", "straße": "strae", "": "", None: "", "２４ｈ Mart": "24hmart"}
+    for name, key in names.items():
+        assert _one(spark, T.client_key, name) == key, name
+    skus = {"Arroz 5㎏": "ARROZ5KG", "ﬁo dental": "FIODENTAL", "№ 7": "NO7", "Straße": "STRASSE", "Açúcar ½": "ACUCAR12", None: "UNKNOWN"}
+    for name, sku in skus.items():
+        got = _one(spark, T.generated_sku, name)
+        assert (got or "").upper() == sku, name

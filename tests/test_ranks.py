@@ -3,6 +3,8 @@
 import numpy as np
 import pandas as pd
 
+from pyspark.sql import functions as F
+
 from orderpulse.operators.ranks import avg_rank_pct, exact_quantiles
 
 
@@ -44,3 +46,14 @@ def test_multi_column_ranks_match_pandas(spark):
     got = avg_rank_pcts(df, {"a": "pa", "b": "pb"}, rows_per_bucket=7).toPandas().sort_values("id")
     assert np.allclose(got["pa"].to_numpy(), pdf["a"].rank(pct=True).to_numpy())
     assert np.allclose(got["pb"].to_numpy(), pdf["b"].rank(pct=True).to_numpy())
+
+
+def test_positions_over_many_partitions(spark):
+    from orderpulse.operators.ranks import numbered_in_order
+    df = spark.range(0, 5000, 1, 7).selectExpr("id", "pmod(id * 7919, 1000) AS v", "if(id % 11 = 0, NULL, id % 3) AS w")
+    out = numbered_in_order(df, [F.desc_nulls_last("w"), F.asc("v"), F.asc("id")])
+    got = [r["id"] for r in out.orderBy("rank").collect()]
+    rows = sorted(df.collect(), key=lambda r: (r["w"] is None, -(r["w"] or 0), r["v"], r["id"]))
+    assert got == [r["id"] for r in rows]
+    assert out.selectExpr("min(rank)", "max(rank)", "count(distinct rank)").first() == (1, 5000, 5000)
+    assert numbered_in_order(df.where("false"), [F.asc("id")]).count() == 0

@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from orderpulse.operators import stats as S
-from orderpulse.operators.ordered import gaps
+from orderpulse.operators.gaps import gaps
 
 
 def _dates_frame(spark, dates):
