@@ -1,13 +1,15 @@
 """Phrase collocations counted by direct-address tiling.
 
 Words of a language are numbered by falling frequency. A pair of numbers is a cell of
-a square grid cut into tiles of ``TILE`` x ``TILE``; the tiles of frequent words are
-crowded, the others nearly empty. Each task counts its own occurrences tile by tile:
-a crowded tile with a dense numpy ``bincount`` over its direct addresses, the others
-as sorted coordinates with counts (COO). Tiles then meet in rounds of ``FAN`` partial
-tiles, so a tile that every task has never gathers in one of them; sums go the same
-two ways. Pairs that reach the least count are numbered anew by falling frequency, and
-(pair, word) cells are counted by the same code; that is the recursion to longer
+a square grid cut into tiles: bands of ``TILE``, then as many again, then twice as many
+and so on, both ways. Frequencies fall about as fast as bands widen, so tiles carry
+comparable loads and there are few of them, however many words have numbers. Each task
+counts its own occurrences tile by tile: a crowded tile with a dense numpy ``bincount``
+over its direct addresses, the others as sorted coordinates with counts (COO). Tiles
+then meet in rounds of ``FAN`` partial tiles, so a tile that every task has never
+gathers in one of them; sums go the same two ways, and a tile of a very large corpus is
+split by cell. Pairs that reach the least count are numbered anew by falling frequency,
+and (pair, word) cells are counted by the same code; that is the recursion to longer
 phrases.
 
 Numbers are given to the ``HEAD`` most frequent words (pairs) only, so what is sent to
@@ -35,8 +37,11 @@ from pyspark.sql import functions as F
 from orderpulse.llm.common import chunks, text_buffer, written
 
 TILE = 1024
+BANDS = 64
 #: Occurrences a task gathers before it counts them.
-GATHER = 4_000_000
+GATHER = 1_000_000
+#: Text bytes cut into words at a time (one text at least).
+CHUNK = 1 << 21
 #: Cells a row of partial counts holds.
 ROW_CELLS = 1 << 16
 #: Partial tiles (by task) that one step of a round sums.
@@ -44,8 +49,11 @@ FAN = 64
 #: Words and pairs with a number, and the longest word with one (bytes).
 HEAD = 1 << 20
 HEAD_BYTES = 64
-#: Share of a tile that must be filled for the dense count.
+#: Share of a tile that must be filled for the dense count, and the largest tile counted so.
 CROWDED = 1 / 8
+DENSE_CELLS = 1 << 22
+#: Words of the corpus per split of its tiles: what one task sums stays bounded.
+SPLIT_WORDS = 1 << 30
 
 _CELLS = "lang string, tile long, part int, cells binary, counts binary, phrase string, c long"
 _SPACE, _BREAK = 1, 2
@@ -83,7 +91,7 @@ class Tokens:
 
 def _token_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Tokens]:
     for batch in batches:
-        for part in chunks(batch):
+        for part in chunks(batch, CHUNK):
             yield Tokens(part)
 
 
@@ -108,9 +116,9 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 parts += [_string_table(lang, t.words.take(pa.array(seen)), count[seen]),
                           _string_table(lang, pa.nulls(1, pa.large_string()), count.sum(keepdims=True))]
                 held += len(seen)
-        if held > GATHER // 4:
+        if held > GATHER // 2:
             parts = [_string_counts(parts)]
-            if parts[0].num_rows > GATHER // 8:  # mostly new words: nothing more to combine
+            if parts[0].num_rows > GATHER // 4:  # mostly new words: nothing more to combine
                 yield from parts[0].to_batches(max_chunksize=1 << 16)
                 parts = []
             held = sum(p.num_rows for p in parts)
@@ -118,38 +126,70 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _string_counts(parts).to_batches(max_chunksize=1 << 16)
 
 
-def merge_cells(cells: np.ndarray, counts: np.ndarray, size: int = TILE * TILE):
+def merge_cells(cells: np.ndarray, counts: np.ndarray, size: int):
     """Sums of the counts of equal cells: dense by address if crowded, else by sorting."""
-    if len(cells) >= size * CROWDED:
+    if size <= DENSE_CELLS and len(cells) >= size * CROWDED:
         total = np.bincount(cells, weights=counts, minlength=size)  # exact below 2**53
         seen = np.flatnonzero(total)
-        return seen.astype(np.int32), total[seen].astype(np.int64)
+        return seen, total[seen].astype(np.int64)
     order = np.argsort(cells, kind="stable")
     cells, counts = cells[order], counts[order]
     first = np.flatnonzero(np.diff(cells, prepend=-1))
     return cells[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def count_tiles(left: np.ndarray, right: np.ndarray, width: int):
-    """``(tile, cells, counts)`` for each tile that holds a pair; ``width`` tiles make a row of the grid."""
-    tile = (left // TILE) * width + right // TILE
-    order = np.argsort(tile, kind="stable")
-    tile = tile[order]
-    cell = ((left % TILE) * TILE + right % TILE)[order]
+def band(rank: np.ndarray) -> np.ndarray:
+    """Band of a number: 0 below ``TILE``, then one more at every doubling."""
+    return np.frexp((rank // TILE).astype(np.float64))[1].astype(np.int16)
+
+
+def band_base(b):
+    return np.where(b == 0, 0, TILE << np.maximum(b - 1, 0))
+
+
+def band_size(b):
+    return TILE << np.maximum(b - 1, 0)
+
+
+def tile_cells(tile: int) -> int:
+    """Number of cells of a tile."""
+    return int(band_size(np.int64(tile // BANDS))) * int(band_size(np.int64(tile % BANDS)))
+
+
+def tile_ranks(tile: int, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Left and right numbers of a tile's cells."""
+    i, j = np.int64(tile // BANDS), np.int64(tile % BANDS)
+    width = int(band_size(j))
+    return band_base(i) + cells // width, band_base(j) + cells % width
+
+
+def count_tiles(left: np.ndarray, right: np.ndarray):
+    """``(tile, cells, counts)`` for each tile that holds a pair, cells ascending."""
+    i, j = band(left), band(right)
+    tile = (i * BANDS + j).astype(np.int16)
+    order = np.argsort(tile, kind="stable")  # radix sort on 16 bits
+    i, j, tile = i[order].astype(np.int64), j[order].astype(np.int64), tile[order]
+    cell = (left[order] - band_base(i)) * band_size(j) + (right[order] - band_base(j))
     start = np.flatnonzero(np.diff(tile, prepend=-1))
-    end = np.append(start[1:], len(tile))
-    crowded = (end - start) >= TILE * TILE * CROWDED
-    for s, e in zip(start[crowded].tolist(), end[crowded].tolist(), strict=True):
-        total = np.bincount(cell[s:e], minlength=TILE * TILE)
-        seen = np.flatnonzero(total)
-        yield int(tile[s]), seen.astype(np.int32), total[seen].astype(np.int64)
-    loose = np.repeat(~crowded, end - start)
-    if loose.any():  # all sparse tiles in one sort
-        keys, total = np.unique(tile[loose] * (TILE * TILE) + cell[loose], return_counts=True)
-        tiles, cells = keys // (TILE * TILE), (keys % (TILE * TILE)).astype(np.int32)
-        cut = np.flatnonzero(np.diff(tiles, prepend=-1))
-        for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(tiles)], strict=True):
-            yield int(tiles[s]), cells[s:e], total[s:e].astype(np.int64)
+    for s, e in zip(start.tolist(), [*start[1:].tolist(), len(tile)], strict=True):
+        size = tile_cells(int(tile[s]))
+        if size <= DENSE_CELLS and e - s >= size * CROWDED:
+            total = np.bincount(cell[s:e], minlength=size)
+            cells = np.flatnonzero(total)
+            yield int(tile[s]), cells, total[cells]
+        else:
+            yield int(tile[s]), *np.unique(cell[s:e], return_counts=True)
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """A width byte, then whole numbers of four bytes each if they fit, else of eight."""
+    wide = len(values) and values.max() >= 1 << 31
+    return (b"\x08" if wide else b"\x04") + values.astype(np.int64 if wide else np.int32).tobytes()
+
+
+def _unpacked(raw: pa.Buffer) -> np.ndarray:
+    data = memoryview(raw)
+    return np.frombuffer(data[1:], np.int64 if data[0] == 8 else np.int32).astype(np.int64)
 
 
 def _cell_rows(rows: list, strings: pa.Table | None = None) -> Iterator[pa.RecordBatch]:
@@ -166,8 +206,9 @@ def _cell_rows(rows: list, strings: pa.Table | None = None) -> Iterator[pa.Recor
         none = pa.nulls(end - at)
         yield pa.RecordBatch.from_arrays(
             [pa.array(lang, pa.string()), pa.array(tile, pa.int64()), pa.array(part, pa.int32()),
-             pa.array([c.astype(np.int32).tobytes() for c in cells], pa.binary()),
-             pa.array([c.astype(np.int64).tobytes() for c in counts], pa.binary()),
+             # cells ascend: steps between them are small numbers
+             pa.array([_packed(np.diff(c, prepend=0)) for c in cells], pa.binary()),
+             pa.array([_packed(c) for c in counts], pa.binary()),
              none.cast(pa.string()), none.cast(pa.int64())],
             names=["lang", "tile", "part", "cells", "counts", "phrase", "c"])
         at = end
@@ -200,10 +241,6 @@ class Numbers:
             return np.full(len(t.words), -1, np.int64)
         return pc.fill_null(pc.index_in(t.words, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
 
-    def width(self, lang: str) -> int:
-        """Tiles in a row of the language's grid (the right side of a cell is always a word)."""
-        return -(-len(self.words[lang]) // TILE) if lang in self.words else 1
-
     def set_pairs(self, pairs: pa.Table, complete: bool) -> None:
         """Frequent pairs ``(lang, w1, w2)`` by falling count; pairs of a word without number are left out."""
         self.pairs_complete = complete
@@ -238,16 +275,29 @@ def _occurrences(t: Tokens, number: int, numbers: Numbers, length: int):
     a, b = ids[t.codes[at]], ids[t.codes[at + 1]]
     if length == 2:
         known = (a >= 0) & (b >= 0)
-        return a[known], b[known], at[:0] if numbers.complete else at[~known]
+        return a[known].astype(np.int32), b[known].astype(np.int32), at[:0] if numbers.complete else at[~known]
     c = ids[t.codes[at + 2]]
     lang = t.langs[number]
     left, right = numbers.pair_ids(lang, a, b), numbers.pair_ids(lang, b, c)
     known = (left >= 0) & (right >= 0)
     rest = at[:0] if numbers.complete and numbers.pairs_complete else at[~known]
-    return left[known], c[known], rest
+    return left[known].astype(np.int32), c[known].astype(np.int32), rest
 
 
-def _cell_counts(sent, length: int) -> Callable:
+def _split(tile: int, cells: np.ndarray, counts: np.ndarray, splits: int):
+    """Parts of a tile by cell, each with its own key."""
+    if splits == 1:
+        yield tile, cells, counts
+        return
+    own = cells % splits
+    order = np.argsort(own, kind="stable")
+    own, cells, counts = own[order], cells[order], counts[order]
+    start = np.flatnonzero(np.diff(own, prepend=-1))
+    for s, e in zip(start.tolist(), [*start[1:].tolist(), len(own)], strict=True):
+        yield tile * splits + int(own[s]), cells[s:e], counts[s:e]
+
+
+def _cell_counts(sent, length: int, splits: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, part = sent.value, TaskContext.get().partitionId()
         cells: dict[str, list] = {}
@@ -256,8 +306,9 @@ def _cell_counts(sent, length: int) -> Callable:
         def counted():
             for lang, pairs in cells.items():
                 left, right = (np.concatenate(x) for x in zip(*pairs, strict=True))
-                for tile, cell, count in count_tiles(left, right, numbers.width(lang)):
-                    yield lang, tile, part, cell, count
+                for tile in count_tiles(left, right):
+                    for key, cell, count in _split(*tile, splits):
+                        yield lang, key, part, cell, count
 
         for t in _token_chunks(batches):
             if len(t.codes) < length:
@@ -282,43 +333,48 @@ def _cell_counts(sent, length: int) -> Callable:
     return run
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]):
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str], splits: int):
     """``(key, cells, counts)`` of consecutive rows with equal ``keys``, merged as they come."""
-    now, held, cells, counts = None, 0, [], []
+    now, held, bound, cells, counts = None, 0, 0, [], []
+
+    def merged():
+        return merge_cells(np.concatenate(cells), np.concatenate(counts), tile_cells(now[1] // splits))
     for batch in batches:
         keyed = list(zip(*[batch.column(k).to_pylist() for k in keys], strict=True))
         for i, key in enumerate(keyed):
             if key != now:
                 if cells:
-                    yield now, *merge_cells(np.concatenate(cells), np.concatenate(counts))
-                now, held, cells, counts = key, 0, [], []
-            cells.append(np.frombuffer(batch.column("cells")[i].as_buffer(), np.int32))
-            counts.append(np.frombuffer(batch.column("counts")[i].as_buffer(), np.int64))
+                    yield now, *merged()
+                now, held, bound, cells, counts = key, 0, 1 << 21, [], []
+            cells.append(np.cumsum(_unpacked(batch.column("cells")[i].as_buffer())))
+            counts.append(_unpacked(batch.column("counts")[i].as_buffer()))
             held += len(cells[-1])
-            if held > 4 * TILE * TILE:
-                merged = merge_cells(np.concatenate(cells), np.concatenate(counts))
-                cells, counts, held = [merged[0]], [merged[1]], len(merged[0])
+            if held > bound:
+                cells, counts = ([x] for x in merged())
+                held = len(cells[0])
+                bound = max(bound, 2 * held)
     if cells:
-        yield now, *merge_cells(np.concatenate(cells), np.concatenate(counts))
+        yield now, *merged()
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for (lang, tile, part), cells, counts in _runs(batches, ["lang", "tile", "part"]):
-        yield from _cell_rows([(lang, tile, part, cells, counts)])
+def _merged(splits: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (lang, tile, part), cells, counts in _runs(batches, ["lang", "tile", "part"], splits):
+            yield from _cell_rows([(lang, tile, part, cells, counts)])
+    return run
 
 
-def _frequent(sent, least: int, length: int) -> Callable:
+def _frequent(sent, least: int, length: int, splits: int) -> Callable:
     """Last round: cells that reach the least count, as words again."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = sent.value
         by_number: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        for (lang, tile), cells, counts in _runs(batches, ["lang", "tile"]):
+        for (lang, tile), cells, counts in _runs(batches, ["lang", "tile"], splits):
             keep = counts >= least
             if not keep.any():
                 continue
-            cells, counts = cells[keep].astype(np.int64), counts[keep]
-            row, column = divmod(tile, numbers.width(lang))
-            left, right = row * TILE + cells // TILE, column * TILE + cells % TILE
+            left, right = tile_ranks(tile // splits, cells[keep])
+            counts = counts[keep]
             words = numbers.words[lang]
             if length == 3:
                 if lang not in by_number:
@@ -337,12 +393,12 @@ def _frequent(sent, least: int, length: int) -> Callable:
     return run
 
 
-def count_phrases(docs: DataFrame, numbers: Numbers, length: int, least: int) -> DataFrame:
+def count_phrases(docs: DataFrame, numbers: Numbers, length: int, least: int, splits: int = 1) -> DataFrame:
     """``(lang, w1, .., a)``: phrases of ``length`` words with at least ``least`` occurrences."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(numbers)  # at most HEAD words and HEAD pairs
     tasks = docs.select(F.spark_partition_id().alias("p")).agg(F.max("p")).first()[0] or 0
-    partial = docs.mapInArrow(_cell_counts(sent, length), _CELLS)
+    partial = docs.mapInArrow(_cell_counts(sent, length, splits), _CELLS)
     names = [f"w{i + 1}" for i in range(length)]
     complete = numbers.complete and (length == 2 or numbers.pairs_complete)
     tiles = partial
@@ -352,10 +408,10 @@ def count_phrases(docs: DataFrame, numbers: Numbers, length: int, least: int) ->
     for _ in range(math.ceil(math.log(tasks + 1, FAN)) - 1):
         tiles = (tiles.withColumn("part", F.expr(f"cast(part div {FAN} as int)"))
                  .repartition("lang", "tile", "part").sortWithinPartitions("lang", "tile", "part")
-                 .mapInArrow(_merged, _CELLS))
+                 .mapInArrow(_merged(splits), _CELLS))
     out = ", ".join(["lang string", *[f"{w} string" for w in names], "a long"])
     found = (tiles.repartition("lang", "tile").sortWithinPartitions("lang", "tile")
-             .mapInArrow(_frequent(sent, least, length), out))
+             .mapInArrow(_frequent(sent, least, length, splits), out))
     if not complete:
         rest = partial.where("phrase is not null").groupBy("lang", "phrase").agg(F.sum("c").alias("a"))
         rest = rest.where(F.col("a") >= least).withColumn("_w", F.split("phrase", " "))
@@ -382,7 +438,8 @@ def collocations(docs: DataFrame, least: int = 10, inside: int = 50, top: int =
     totals = counts.where("phrase is null").select("lang", F.col("a").alias("n"))
 
     numbers = Numbers(*_head(words, F.octet_length("phrase") <= HEAD_BYTES, ["lang", "phrase"]))
-    pairs = count_phrases(docs, numbers, 2, least)
+    splits = max(1, -(-(totals.agg(F.sum("n")).first()[0] or 0) // SPLIT_WORDS))
+    pairs = count_phrases(docs, numbers, 2, least, splits)
     if numbers.complete:
         numbered = pairs
     else:  # a pair has a number if both its words have one
@@ -394,7 +451,7 @@ def collocations(docs: DataFrame, least: int = 10, inside: int = 50, top: int =
                     .join(known.withColumnRenamed("w", "w2"), ["lang", "w2"], "left_semi"))
     rows, all_numbered = _head(numbered, F.lit(True), ["lang", "w1", "w2"])
     numbers.set_pairs(rows, all_numbered and numbers.complete)
-    triples = count_phrases(docs, numbers, 3, least)
+    triples = count_phrases(docs, numbers, 3, least, splits)
 
     def freq(table, names, as_name):
         return table.select("lang", *[F.col(c).alias(n) for c, n in names.items()], F.col("a").alias(as_name))

@@ -114,22 +114,30 @@ def test_collocations_equal_brute_force(spark, head, gather, monkeypatch):
 
 def test_tiles_count_both_ways(monkeypatch):
     rng = np.random.default_rng(1)
-    left, right = rng.zipf(1.3, 300_000) % 3000, rng.zipf(1.3, 300_000) % 5000
+    left, right = rng.zipf(1.3, 300_000) % 3000, rng.zipf(1.3, 300_000) % 500_000
     want = Counter(zip(left.tolist(), right.tolist()))
     for tile, crowded in ((64, 1 / 8), (64, 100.0), (1024, 0.0)):
         monkeypatch.setattr(tiling, "TILE", tile)
         monkeypatch.setattr(tiling, "CROWDED", crowded)
-        got, width = Counter(), -(-5000 // tile)
-        for t, cells, counts in tiling.count_tiles(left.astype(np.int64), right.astype(np.int64), width):
-            for c, k in zip(cells.tolist(), counts.tolist()):
-                got[(t // width * tile + c // tile, t % width * tile + c % tile)] += k
+        got = Counter()
+        for t, cells, counts in tiling.count_tiles(left.astype(np.int32), right.astype(np.int32)):
+            assert (np.diff(cells) > 0).all() and cells.max() < tiling.tile_cells(t)
+            for key, part, n in tiling._split(t, cells, counts, 3):
+                assert key // 3 == t
+                for a, b, k in zip(*tiling.tile_ranks(t, part), n):
+                    got[(int(a), int(b))] += int(k)
         assert got == want
         a = np.array([5, 1, 5, 9]), np.array([1, 2, 3, 4])
         assert [x.tolist() for x in tiling.merge_cells(*a, size=tile * tile)] == [[1, 5, 9], [2, 4, 4]]
+    for values in ([0, 1, 5], [2**40, 1], []):
+        import pyarrow as pa
+        assert tiling._unpacked(pa.py_buffer(tiling._packed(np.array(values, np.int64)))).tolist() == values
 
 
 def test_partial_tiles_merge_in_rounds(spark, monkeypatch):
     monkeypatch.setattr(tiling, "FAN", 3)
+    monkeypatch.setattr(tiling, "SPLIT_WORDS", 3000)
+    monkeypatch.setattr(tiling, "TILE", 4)
     rows = _collocation_rows()
     df = spark.createDataFrame(rows, "lang string, text string").repartition(10)
     assert sorted(tuple(r) for r in tiling.collocations(df).collect()) == brute_collocations(rows)
