@@ -84,8 +84,10 @@ def rupture_alerts(tx: DataFrame, reference_date, delay: int = DEFAULT_DELAY_DAY
 def drop_alerts(tx: DataFrame, triggers: DataFrame | None = None, z_limit: float = -1.5) -> DataFrame:
     """Client whose last present month is below the mean of its earlier
     months with z <= -1.5 (needs >= 3 months); score = min(1, |z|/3)."""
-    tx = tx.where(F.col("client").isNotNull())
-    monthly = tx.groupBy("client", month_start(F.col("date")).alias("month")).agg(
+    if triggers is None:  # read by the months and by the triggers
+        tx = stored_once(tx, ["client", "sku", "order_id", "qty", "date", "subtotal"])
+    t = tx.where(F.col("client").isNotNull())
+    monthly = t.groupBy("client", month_start(F.col("date")).alias("month")).agg(
         money_sum(F.col("subtotal")).alias("revenue"))
     g = series_growth(monthly, "client")
     z = F.col("growth_zscore")
@@ -109,7 +111,8 @@ def outlier_alerts(tx: DataFrame, triggers: DataFrame | None = None, z_limit: fl
     """(client, sku) with >= 5 rows and a quantity beyond ``z_limit``
     sigma_pop; reports the latest flagged row, its distance from the mean, the
     CV of consecutive quantity differences and survival over the last 6 rows."""
-    tx = tx.where(F.col("client").isNotNull() & F.col("sku").isNotNull())
+    facts = stored_once(tx, ["client", "sku", "order_id", "qty", "date", "ingest_seq"])  # read five times
+    tx = facts.where(F.col("client").isNotNull() & F.col("sku").isNotNull())
     flagged = S.volume_outliers(tx, PAIR, "qty", z_limit).where(F.col("key_n") >= min_rows)
     latest = flagged.groupBy(*PAIR).agg(
         F.max_by("qty", F.struct("date", "ingest_seq")).alias("valor"),
@@ -127,7 +130,7 @@ def outlier_alerts(tx: DataFrame, triggers: DataFrame | None = None, z_limit: fl
         F.lit("48 horas").alias("suggested_deadline"))
     out = out.withColumn("insight", _text("outlier_insight", "direcao", "sku", "valor", "media", "cv_giro", "survival")) \
         .withColumn("diagnosis", _text("outlier_diagnosis", "sku", "direcao", F.col("delta") * 100, "valor", "media"))
-    trig = _triggers(tx) if triggers is None else triggers
+    trig = _triggers(facts) if triggers is None else triggers
     return _with_action(out.join(trig, "client", "left"), ALERT_TEXTS["outlier_action"],
                         ALERT_TEXTS["outlier_joiner"])
 

@@ -91,15 +91,21 @@ def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 
 
 def forward_fill(df: DataFrame, keys: Sequence[str], order: str, fill: Sequence[str],
-                 bucket: Column, split_rows: int = SPLIT_ROWS) -> DataFrame:
+                 bucket: Column, split_rows: int | None = SPLIT_ROWS) -> DataFrame:
     """Replace nulls in ``fill`` by the last non-null value earlier in ``order``
     within ``keys`` (W02). ``bucket`` must be non-decreasing in ``order``.
 
+    ``split_rows=None`` splits every key by bucket, for buckets whose size is bounded
+    by construction (row numbers): no job counts rows per key.
+
     Same shape as ``with_previous``: for hot keys, per-bucket last non-null
     values (small) are carried over buckets and unioned in as one leading row
     per bucket; one window."""
     keys, fill = list(keys), list(fill)
-    marked, any_hot = _mark_hot(df, keys, split_rows)
+    if split_rows is None:
+        marked, any_hot = df.withColumn("_hot", F.lit(True)), True
+    else:
+        marked, any_hot = _mark_hot(df, keys, split_rows)
     if not any_hot:
         w = (Window.partitionBy(*keys).orderBy(order)
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -121,20 +127,10 @@ def forward_fill(df: DataFrame, keys: Sequence[str], order: str, fill: Sequence[
                       for c in df.columns], "_src").where(F.col("_src") == 1).drop("_src")
 
 
-def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,
-            bucket: Column, split_rows: int = SPLIT_ROWS) -> DataFrame:
+def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
     """Rows ranked ``<= n`` per key by ``order`` (W05), with ``_rank`` added.
 
-    Two levels: the top ``n`` per (key, bucket) are the only candidates, so the
-    per-key step sees at most ``n`` x buckets rows. ``bucket`` must be monotone
-    in ``order`` in the same direction."""
-    keys = list(keys)
-    w2 = Window.partitionBy(*keys).orderBy(*order)
-    marked, any_hot = _mark_hot(df, keys, split_rows)
-    if not any_hot:
-        return df.withColumn("_rank", F.row_number().over(w2)).where(F.col("_rank") <= n)
-    b = marked.withColumn("_bkt", F.when(F.col("_hot"), bucket).otherwise(F.lit(0).cast("long")))
-    w1 = Window.partitionBy(*keys, "_bkt").orderBy(*order)
-    cand = b.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= n)
-    top = cand.withColumn("_rank", F.row_number().over(w2)).where(F.col("_rank") <= n)
-    return top.select(*df.columns, "_rank")
+    A rank limited to ``n`` (at most 1,000, the planner's bound) keeps ``n`` rows per key in every
+    input split before the shuffle, so a key never gathers more than ``n`` rows per split."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n)

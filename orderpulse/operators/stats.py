@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderpulse.operators.ordered import day_bucket, first_n
+from orderpulse.operators.ordered import first_n
 
 
 def number(value: Column) -> Column:
@@ -89,4 +89,4 @@ def last_rows(df: DataFrame, keys: Sequence[str], n: int, ts: str = "date",
               tie: str = "ingest_seq") -> DataFrame:
     """Last ``n`` rows per key by (ts, tie), ``_rank`` 1 = latest."""
     order = [F.col(ts).desc(), F.col(tie).desc()]
-    return first_n(df, keys, order, n, bucket=-day_bucket(F.col(ts)))
+    return first_n(df, keys, order, n)

@@ -15,7 +15,7 @@ from orderpulse.functions.dates import floor_days
 from orderpulse.functions.numbers import money_sum
 from orderpulse.operators.metrics import customer_base, general_kpis, hero_threshold
 from orderpulse.operators.ranks import exact_quantiles, numbered_in_order, value_ranks
-from orderpulse.session import materialize
+from orderpulse.session import materialize, stored_once
 
 
 def product_totals(tx: DataFrame, keys=("sku", "product")) -> DataFrame:
@@ -37,6 +37,8 @@ def regions(tx: DataFrame) -> DataFrame:
 
 def dataset_summary(tx: DataFrame, reference_date, top_k: int = 5) -> DataFrame:
     """One row with clients, SKUs, period, regions, hero revenue share and top products."""
+    # read by six aggregates
+    tx = stored_once(tx, ["client", "sku", "product", "order_id", "date", "subtotal", "qty", "uf"])
     k = general_kpis(tx, reference_date)
     sku_rev = tx.where(F.col("sku").isNotNull()).groupBy("sku").agg(
         money_sum(F.col("subtotal")).alias("revenue"))
