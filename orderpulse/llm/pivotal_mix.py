@@ -8,8 +8,9 @@ chances that leave each row's expectation unchanged. The other carries the
 residual on. Pairs are folded inside bounded leaf groups; the residuals of the
 leaves meet in the next level's groups, and so on: a reduction tree whose depth
 is the logarithm of the largest source, so a source holding any share of the
-rows is spread over many groups. Only the last residual of a source is rounded
-alone, so a source misses its target by less than its largest row.
+rows is spread over many groups. Units are folded largest first, so that what is left
+is mostly small. Only the last residual of a source is rounded alone, so a source misses
+its target by less than the size of that row, and never by more than its largest row.
 
 Random numbers are hashes of the seed and the rows' keys: reruns agree.
 
@@ -88,10 +89,11 @@ def _fold(units: Column, seed: int) -> Column:
         gain = F.least(wa * (1 - a["p"]), wb * x["p"])
         loss = F.least(wa * a["p"], wb * (1 - x["p"]))
         u = _uniform(F.lit(seed), a["doc_id"], a["h"], a["k"], x["doc_id"], x["h"], x["k"])
-        move = F.when(u * (gain + loss) < loss, gain).otherwise(-loss)
+        # the direction is what was drawn: nothing may be left to move that way
+        up = u * (gain + loss) < loss
+        move = F.when(up, gain).otherwise(-loss)
         pa, pb = a["p"] + move / wa, x["p"] - move / wb
         # which of the two became integral is decided by the bound that was met, not by rounding
-        up = move > 0
         a_done = F.when(up, wa * (1 - a["p"]) <= wb * x["p"]).otherwise(wa * a["p"] <= wb * (1 - x["p"]))
         settled = F.when(a_done, _round(a, up)).otherwise(_round(x, ~up))
         rest = F.when(a_done, with_p(x, F.greatest(F.lit(0.0), F.least(F.lit(1.0), pb)))).otherwise(
@@ -115,7 +117,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
                        sizes().alias("size"), F.xxhash64("text").alias("h"))
     # equal rows are counted first and numbered after the count: no group of copies meets in one task
     rows = rows.groupBy("doc_id", "source", "size", "h").agg(F.count("*").alias("many"))
-    rows = written(rows.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), "many"))).drop("many"), "sizes")
+    # numbered in blocks, so no array grows with the copies of a row
+    block, one = F.lit(1 << 16), F.lit(1).cast("long")
+    rows = rows.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("many") - 1) / block))))
+    rows = rows.withColumn("k", F.explode(F.sequence(F.col("_b") * block + one, F.least((F.col("_b") + 1) * block, F.col("many")))))
+    rows = written(rows.drop("many", "_b"), "sizes")
     per_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     targets = written(source_targets(per_source, weights, share, cap), "targets")
     biggest = targets.agg(F.max("rows")).first()[0] or 0
@@ -136,8 +142,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
         groups = F.greatest(F.lit(1.0), F.ceil(F.col("rows") / float(LEAF ** (depth + 1)))).cast("long")
         key = F.pmod(F.xxhash64(F.lit(seed), F.lit(depth), "unit.doc_id", "unit.h", "unit.k"), groups)
         folded = (level.withColumn("leaf", key).groupBy("source", "rows", "leaf")
-                  .agg(F.array_sort(F.collect_list("unit")).alias("units"))
-                  .select("source", "rows", _fold(F.col("units"), seed + depth).alias("f")))
+                  .agg(F.array_sort(F.collect_list(F.struct((-F.col("unit.size")).alias("o"), "unit"))).alias("units"))
+                  .select("source", "rows", _fold(F.col("units")["unit"], seed + depth).alias("f")))
         folded = written(folded, f"level{depth}")
         done = folded.select(F.explode("f.done").alias("d")).select("d.*")
         decided = done if decided is None else decided.unionByName(done)
