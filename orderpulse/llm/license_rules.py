@@ -144,14 +144,12 @@ def _normal(c: Column) -> Column:
 def sentence_hits(docs: DataFrame) -> DataFrame:
     """``(doc_id, h, at, line, identifier)``: recognised sentences; line 0 is the whole sentence."""
     known = docs.sparkSession.createDataFrame(catalogue(), "normal string, identifier string")
-    longest = max(len(t) for t, _ in catalogue())
     s = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"),
                     F.posexplode(F.split("text", SENTENCE_END)).alias("at", "sentence"))
     parts = F.when(F.instr("sentence", "\n") > 0,
                    F.concat(F.array("sentence"), F.split("sentence", "\n"))).otherwise(F.array("sentence"))
     s = s.select("doc_id", "h", "at", F.posexplode(parts).alias("line", "part"))
-    # a notice in normal form is never longer than its text, and texts hold little more than it
-    s = s.where(F.length(F.trim("part")).between(3, 2 * longest)).withColumn("normal", _normal(F.col("part")))
+    s = s.where(F.length(F.trim("part")) >= 3).withColumn("normal", _normal(F.col("part")))
     marked = F.col("normal").rlike("^(copyright|c) (c )?[0-9]{4}\\b|^copyright c ")
     hit = s.join(F.broadcast(known), "normal", "left").withColumn(
         "identifier", F.coalesce("identifier", F.when(marked, F.lit("Copyright"))))
@@ -161,7 +159,8 @@ def sentence_hits(docs: DataFrame) -> DataFrame:
 def scan(docs: DataFrame) -> DataFrame:
     """``(doc_id, licenses, sentences, copyrights, unmatched)`` per row of ``docs``; lists are comma-separated."""
     hits = (sentence_hits(docs).groupBy("doc_id", "h")
-            .agg(F.array_sort(F.collect_list(F.struct("at", "line", "identifier"))).alias("seq")))
+            # repeated rows find the same sentences at the same places
+            .agg(F.array_sort(F.collect_set(F.struct("at", "line", "identifier"))).alias("seq")))
     names = F.filter(F.transform("seq", lambda x: x["identifier"]), lambda x: x != "Copyright")
     # every identifier stands between commas of its own, so equal neighbours can be taken out one by one
     sequence = F.concat(F.lit(","), F.array_join(names, ",,"), F.lit(","))
@@ -190,7 +189,6 @@ def oracle() -> str:
     """The same scan of ``documents`` as one DuckDB statement."""
     quote = lambda t: "'" + t.replace("'", "''") + "'"
     known = ", ".join(f"({quote(t)}, {quote(i)})" for t, i in catalogue())
-    longest = max(len(t) for t, _ in catalogue())
     end, space = quote(SENTENCE_END.replace(r"\n", "\n")), quote(" ")
     rest, found = "rest0", []
     steps = []
@@ -207,8 +205,8 @@ b AS (SELECT doc_id, pos, CASE WHEN contains(sentence, chr(10))
              THEN list_concat([sentence], string_split(sentence, chr(10))) ELSE [sentence] END AS parts FROM a),
 c AS (SELECT doc_id, pos, unnest(parts) AS part, generate_subscripts(parts, 1) AS line_no FROM b),
 d AS (SELECT doc_id, pos, line_no, trim(regexp_replace(lower(part), '{_OTHER}', {space}, 'g'), ' ') AS normal FROM c
-      WHERE length(trim(part, ' ')) BETWEEN 3 AND {2 * longest}),
-e AS (SELECT doc_id, pos, line_no, coalesce(identifier,
+      WHERE length(trim(part, ' ')) >= 3),
+e AS (SELECT DISTINCT doc_id, pos, line_no, coalesce(identifier,
              CASE WHEN regexp_matches(normal, '^(copyright|c) (c )?[0-9]{{4}}\\b|^copyright c ') THEN 'Copyright' END)
              AS identifier FROM d LEFT JOIN known USING (normal)),
 s0 AS (SELECT doc_id, count(*) FILTER (identifier <> 'Copyright') AS sentences,
