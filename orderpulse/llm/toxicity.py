@@ -213,4 +213,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7,
     """The rows of ``docs`` whose score lies below ``threshold``; same columns."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     model = fit(plain, labels, sample_rows)
-    return score_texts(docs, model, tuple(docs.columns)).where(F.col("score") < threshold).select(*docs.columns)
+    named = docs.toDF(*[c if c == "text" else f"_{i}" for i, c in enumerate(docs.columns)])  # no name clashes with the score's
+    kept = score_texts(named, model, tuple(named.columns)).where(F.col("score") < threshold)
+    return kept.select(*named.columns).toDF(*docs.columns)

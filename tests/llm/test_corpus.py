@@ -312,3 +312,64 @@ def test_pipeline_stage_by_stage(spark):
     assert counts == {i: c for i, c in taken.items() if c}
     before, after = out["packing"]
     assert set(ids(after)) == set(ids(before))
+
+
+@pytest.mark.parametrize("n,words,share", [(2000, 3, 1.5), (500, 1, 1.5), (400, 4, 0.75), (300, 2, 1.3)])
+def test_mix_of_equal_rows_meets_its_target(spark, n, words, share):
+    """Equal sizes with fractions 1/2, 3/4, 3/10: a pair's masses often vanish together."""
+    from orderpulse.llm.pivotal_mix import mix
+    df = spark.createDataFrame([(i, " ".join(["w"] * words), "s") for i in range(n)], "doc_id long, text string, source string")
+    r = mix(df, share=share).agg(F.sum("taken").alias("t"), F.first("target").alias("x"), F.max("copies").alias("c")).first()
+    assert abs(r["t"] - r["x"]) <= words and r["c"] <= 2
+
+
+def test_mix_of_copies_of_one_row(spark):
+    from orderpulse.llm.pivotal_mix import mix
+    df = spark.range(70_000).select(F.lit(1).alias("doc_id"), F.lit("two words").alias("text"), F.lit("s").alias("source"))
+    r = mix(df).agg(F.sum("taken").alias("t"), F.count("*").alias("n"), F.max("k").alias("k")).first()
+    assert (r["n"], r["k"]) == (70_000, 70_000) and abs(r["t"] - 210_000) <= 2
+
+
+def test_licence_of_repeated_and_widely_set_rows(spark):
+    """Repeated rows give the licence of one; decoration does not hide a sentence."""
+    from orderpulse.llm import license_rules as R
+    text = "\n".join(t for name, t in R.SENTENCES if name.startswith("Mit"))
+    wide = text.replace(" ", " " * 40)
+    df = spark.createDataFrame([(1, text), (1, text), (2, text), (3, wide), (4, None)], "doc_id long, text string")
+    got = [(r.doc_id, r.licenses, r.sentences) for r in R.scan(df).collect()]
+    one = next(x for x in got if x[0] == 2)
+    assert "MIT" in one[1] and sorted(got)[:2] == [(1, *one[1:])] * 2 and (3, *one[1:]) in got and (4, "", 0) in got
+
+
+def test_stages_leave_other_columns_alone(spark):
+    """Columns named like those the operators make come back as they were."""
+    from orderpulse.llm.fuzzy_lines import drop_repeated_lines
+    from orderpulse.llm.toxicity import drop_toxic
+    rows = [(i, f"first line of text number {i}\nshared line that every document repeats", 7, 8.5, "x") for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lines int, score double, __gone string")
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, toxic int")
+    for out in (drop_repeated_lines(df), drop_toxic(df, labels)):
+        assert out.columns == df.columns
+        assert {(r["lines"], r["score"], r["__gone"]) for r in out.collect()} == {(7, 8.5, "x")}
+
+
+@pytest.mark.parametrize("name", ["op3_fuzzy_line_dedup", "op5_license_sentence_rules", "op8_pivotal_source_mix"])
+def test_native_operators_run_no_python(spark, name, monkeypatch):
+    """Every plan that a [native] operator executes, intermediate tables included."""
+    import __spark_entry__ as E
+    from pyspark.sql.classic.dataframe import DataFrame
+    from pyspark.sql.readwriter import DataFrameWriter
+    from tests.conftest import SF_SMALL
+    plans = []
+
+    def noting(method, frame):
+        def run(self, *args, **kwargs):
+            plans.append(frame(self)._jdf.queryExecution().executedPlan().toString())
+            return method(self, *args, **kwargs)
+        return run
+    monkeypatch.setattr(DataFrameWriter, "parquet", noting(DataFrameWriter.parquet, lambda w: w._df))
+    monkeypatch.setattr(DataFrame, "checkpoint", noting(DataFrame.checkpoint, lambda d: d))
+    out = E.queries()[name](spark, SF_SMALL)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert not any(word in p for p in plans for word in ("Python", "InPandas", "InArrow", "CoGroup"))
+
