@@ -280,7 +280,7 @@ def test_rounding_keeps_expectations(spark):
 # ---- pipeline and registry
 
 def test_registry_has_every_operator():
-    assert sorted({int(n[2:].split("_")[0]) for n in QUERIES}) == list(range(1, 11))
+    assert sorted({int(n[2:].split("_")[0]) for n in QUERIES}) == list(range(1, 14))
     assert {n.split("_")[0] for n in SQL} >= {"op2", "op5", "op9", "op10"}
 
 
