@@ -20,7 +20,8 @@ Defined results: vectors that are null, empty or hold null or non-finite
 components, and rows with a null id, take no part; zero vectors do; vectors of
 different lengths are searched apart; rows that share an id are candidates of
 each other only as far as their ids differ; an empty table gives an empty
-result. Components must lie below 2**20 in magnitude, so that sums stay exact.
+result. A row whose scaled squared norm exceeds 2**52 raises, as its scores would not
+be exact.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderpulse.llm.common import written
-from orderpulse.llm.vectors import ROWS, best, matrix, merge, usable_vectors
+from orderpulse.llm.vectors import ROWS, matrix, merge, usable_vectors
 
 PAGE = 256
 BRANCH = 12
@@ -91,56 +92,85 @@ def build(points: np.ndarray, seed: int = 1):
 
 
 class Tree:
-    """Search over the pages of one shard."""
+    """Search over the pages of one shard, for a block of queries at once."""
 
     def __init__(self, table: pa.Table, top2: float):
-        self.children: dict[int, list[int]] = {}
         order = np.argsort(table.column("node").to_numpy())
         table = table.take(pa.array(order))
         self.radius, self.up_far = table.column("radius").to_numpy(), table.column("parent_far").to_numpy()
         self.center = matrix(table, np.float64, "center")
+        children: dict[int, list[int]] = {}
         for node, parent in enumerate(table.column("parent").to_pylist()):
-            self.children.setdefault(parent, []).append(node)
-        self.children = {k: np.array(v) for k, v in self.children.items()}
+            children.setdefault(parent, []).append(node)
+        self.children = {k: np.array(v) for k, v in children.items()}
         dim = self.center.shape[1] - 1
         self.ids = [np.frombuffer(x, np.int64) for x in table.column("ids").to_pylist()]
-        self.points = [np.frombuffer(x, np.int64).reshape(-1, dim) for x in table.column("points").to_pylist()]
+        # whole numbers whose products stay below 2**53 multiply exactly as doubles
+        self.points = [np.frombuffer(x, np.int64).reshape(-1, dim).astype(np.float64)
+                       for x in table.column("points").to_pylist()]
         self.far = [np.frombuffer(x, np.float64) for x in table.column("far").to_pylist()]
         self.top2, self.slack, self.computed = top2, slack(top2), 0
 
-    def search(self, query_id: int, q: np.ndarray, k: int, kth: float):
-        """Ids and scores of the k best; ``kth`` is a distance that the k-th best is known not to exceed."""
-        flat = q.astype(np.float64)
-        point, norm2 = np.append(flat, 0.0), float(flat @ flat)
-        ids, scores = np.empty(0, np.int64), np.empty(0, np.int64)
-        root = float(distances(self.center[:1], point)[0])
-        heap = [(root - self.radius[0], 0, root)]
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, kth: np.ndarray):
+        """Scores and ids of the k best of every query (-inf where there are fewer); ``kth`` holds distances that
+        the k-th best are known not to exceed.
+
+        Pages are visited best-first by the smallest lower bound of their queries; a page goes on with those queries
+        only that it can still serve."""
+        queries, kth = queries.astype(np.float64), kth.astype(np.float64).copy()
+        reach2 = (queries * queries).sum(axis=1) + self.top2
+        scores = np.full((len(queries), k), -np.inf)
+        ids = np.full((len(queries), k), np.iinfo(np.int64).max)
+
+        def distance(goals, nodes):  # all points lie on one sphere, queries have no further component
+            product = queries[goals] @ self.center[nodes][:, :-1].T
+            return np.sqrt(np.maximum(0.0, reach2[goals][:, None] - 2.0 * product))
+
+        everyone = np.arange(len(queries))
+        root = distance(everyone, np.array([0]))[:, 0]
+        heap, pushed = [(float((root - self.radius[0]).min(initial=0.0)), 0, 0, everyone, root, root - self.radius[0])], 1
         while heap:
-            bound, node, d = heapq.heappop(heap)
-            if bound > kth + self.slack:
-                break
+            _, _, node, goals, d, bound = heapq.heappop(heap)
+            keep = bound <= kth[goals] + self.slack  # the k-th best may have come closer since
+            goals, d, bound = goals[keep], d[keep], bound[keep]
+            if not len(goals):
+                continue
+            limit = (kth[goals] + self.slack)[:, None]
             kids = self.children.get(node)
             if kids is not None:
                 # the triangle inequality over the parent's routing object, before any distance is computed
-                kids = kids[np.abs(d - self.up_far[kids]) - self.radius[kids] <= kth + self.slack]
-                ds = distances(self.center[kids], point)
-                self.computed += len(kids)
-                for c, x in zip(kids.tolist(), ds.tolist(), strict=True):
-                    if x - self.radius[c] <= kth + self.slack:
-                        heapq.heappush(heap, (max(bound, x - self.radius[c]), c, x))
+                near = np.abs(d[:, None] - self.up_far[kids]) - self.radius[kids] <= limit
+                kids, near = kids[near.any(axis=0)], near[:, near.any(axis=0)]
+                ds = distance(goals, kids)
+                self.computed += int(near.sum())
+                near &= ds - self.radius[kids] <= limit
+                for j in np.flatnonzero(near.any(axis=0)).tolist():
+                    at = near[:, j]
+                    low = np.maximum(bound[at], ds[at, j] - self.radius[kids[j]])
+                    heapq.heappush(heap, (float(low.min()), pushed, int(kids[j]), goals[at], ds[at, j], low))
+                    pushed += 1
                 continue
-            rows = np.flatnonzero(np.abs(d - self.far[node]) <= kth + self.slack)
-            rows = rows[self.ids[node][rows] != query_id]
-            self.computed += len(rows)
-            if not len(rows):
+            near = np.abs(d[:, None] - self.far[node]) <= limit
+            near &= self.ids[node][None] != query_ids[goals][:, None]
+            self.computed += int(near.sum())
+            rows = near.any(axis=0)
+            s = queries[goals] @ self.points[node][rows].T
+            g, p = np.nonzero(near[:, rows] & (s >= scores[goals, -1][:, None]))
+            if not len(g):
                 continue
-            ids = np.concatenate((ids, self.ids[node][rows]))
-            scores = np.concatenate((scores, self.points[node][rows] @ q))
-            top = best(scores, ids, k)
-            ids, scores = ids[top], scores[top]
-            if len(ids) == k:
-                kth = min(kth, max(0.0, norm2 + self.top2 - 2.0 * float(scores[-1])) ** 0.5)
-        return ids, scores
+            touched = np.unique(g)
+            at = np.concatenate((goals[g], np.repeat(goals[touched], k)))
+            value = np.concatenate((s[g, p], scores[goals[touched]].ravel()))
+            name = np.concatenate((self.ids[node][rows][p], ids[goals[touched]].ravel()))
+            order = np.lexsort((name, -value, at))
+            at, value, name = at[order], value[order], name[order]
+            place = np.arange(len(at)) - np.searchsorted(at, at)
+            top = place < k
+            scores[at[top], place[top]], ids[at[top], place[top]] = value[top], name[top]
+            full = np.isfinite(scores[goals, -1])
+            goals = goals[full]
+            kth[goals] = np.minimum(kth[goals], np.sqrt(np.maximum(0.0, reach2[goals] - 2.0 * scores[goals, -1])))
+        return scores, ids
 
 
 def _router(routes: np.ndarray, top2: float):
@@ -176,17 +206,18 @@ def _builder(top2: float):
 
 def _searcher(top2: float, k: int):
     def run(pages: pa.Table, queries: pa.Table) -> pa.Table:
-        out = []
+        cols = [[], [], [], [], []]
         if pages.num_rows and queries.num_rows:
             tree = Tree(pages, top2)
-            q = matrix(queries, np.int64)
-            for i, (query_id, raw, home, kth) in enumerate(zip(
-                    *[queries.column(c).to_pylist() for c in ("vec_id", "v", "home", "kth")], strict=True)):
-                ids, scores = tree.search(query_id, q[i], k, kth)
-                out += [(query_id, a, b, raw, home) for a, b in zip(ids.tolist(), scores.tolist(), strict=True)]
-                if not len(ids) and home == queries.column("shard")[0].as_py():
-                    out.append((query_id, None, None, raw, home))
-        cols = list(zip(*out, strict=True)) if out else [()] * 5
+            who, raw = queries.column("vec_id").to_numpy(), queries.column("v").to_pylist()
+            home = queries.column("home").to_numpy()
+            scores, ids = tree.search(who, matrix(queries, np.int64), k, queries.column("kth").to_numpy())
+            q, place = np.nonzero(np.isfinite(scores))
+            # a query that finds nothing in its own shard still has to visit the others
+            none = np.flatnonzero(~np.isfinite(scores[:, 0]) & (home == queries.column("shard")[0].as_py()))
+            cols = [np.concatenate((who[q], who[none])), [*ids[q, place].tolist(), *[None] * len(none)],
+                    [*scores[q, place].astype(np.int64).tolist(), *[None] * len(none)],
+                    [raw[i] for i in (*q.tolist(), *none.tolist())], np.concatenate((home[q], home[none]))]
         types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32())
         return pa.table({n: pa.array(c, t) for n, c, t in
                          zip(("query_id", "vec_id", "score", "v", "shard"), cols, types, strict=True)})

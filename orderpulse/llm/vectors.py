@@ -26,7 +26,10 @@ def usable_vectors(integers: bool):
                 if nulls[i] or vec_id is None or not len(x) or not np.isfinite(x).all():
                     continue
                 if integers:
-                    x = np.floor(256.0 * x).astype(np.int64)
+                    x = np.floor(256.0 * x)
+                    if not float(x @ x) <= 2.0 ** 52:
+                        raise ValueError(f"row {vec_id}: too long a vector for exact scores")
+                    x = x.astype(np.int64)
                 elif not x.any():
                     continue
                 ids.append(vec_id)

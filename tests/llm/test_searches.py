@@ -48,7 +48,7 @@ def test_mtree_avoids_distances():
                        "v": pa.array([r.tobytes() for r in x], pa.binary())})
     tree = mtree.Tree(mtree._builder(top2)(table_), top2)
     q = int(np.argmax((x * x).sum(axis=1)))
-    ids, scores = tree.search(q, x[q], 5, float("inf"))
+    scores, ids = (a[0] for a in tree.search(np.array([q]), x[q:q + 1], 5, np.array([np.inf])))
     s = x @ x[q]
     s[q] = -(10 ** 15)
     assert ids.tolist() == np.lexsort((np.arange(len(x)), -s))[:5].tolist()
@@ -94,3 +94,27 @@ def test_multi_index_edge_cases(spark):
     got = by_query(multi_index.nearest(df).collect())
     assert got == {0: [(20, 1.0)], 20: [(0, 1.0)]}
     assert multi_index.nearest(df.limit(0)).count() == 0
+
+
+def test_mtree_block_equals_single_searches():
+    """A block of queries finds what each finds alone, ties to the smaller id included."""
+    import pyarrow as pa
+    rng = np.random.default_rng(9)
+    x = rng.integers(-40, 40, (1500, 6))
+    x[700:900] = x[3]
+    top2 = float((x * x).sum(axis=1).max())
+    table_ = pa.table({"shard": pa.array([0] * len(x), pa.int32()), "vec_id": np.arange(len(x)),
+                       "v": pa.array([r.astype(np.int64).tobytes() for r in x], pa.binary())})
+    tree = mtree.Tree(mtree._builder(top2)(table_), top2)
+    who = np.arange(0, 1500, 7)
+    scores, ids = tree.search(who, x[who], 5, np.full(len(who), np.inf))
+    for i, q in enumerate(who):
+        s = x @ x[q]
+        order = [j for j in np.lexsort((np.arange(len(x)), -s)) if j != q][:5]
+        assert ids[i].tolist() == order and scores[i].tolist() == s[order].tolist()
+
+
+def test_mtree_refuses_vectors_beyond_exact_scores(spark):
+    df = spark.createDataFrame([(0, [1e30, 1.0], 0), (50, [1.0, 2.0], 0)], "vec_id long, embedding array<double>, label int")
+    with pytest.raises(Exception, match="too long a vector"):
+        mtree.top_products(df).count()
