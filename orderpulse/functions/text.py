@@ -7,61 +7,53 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Code point ranges covered by the accent table: Latin-1 Supplement to Latin Extended-B,
-# superscripts to letterlike forms and number forms, Latin Extended Additional, enclosed and
-# squared forms, ligatures, full-width forms.
-_ACCENT_RANGES = [(0x00A0, 0x024F), (0x1E00, 0x1EFF), (0x2070, 0x218F), (0x2460, 0x24FF), (0x3250, 0x33FF),
+# Code point ranges covered by the accent table: Latin-1 Supplement to Latin Extended-B, general
+# punctuation to number forms, enclosed and squared forms, Latin Extended Additional, ligatures,
+# full-width forms.
+_ACCENT_RANGES = [(0x00A0, 0x024F), (0x1E00, 0x1EFF), (0x2000, 0x218F), (0x2460, 0x24FF), (0x3250, 0x33FF),
                   (0xFB00, 0xFB06), (0xFF01, 0xFF5E)]
 
 
-def _decompositions(words_only: bool) -> dict[str, str]:
-    """By rule: what the NFKD decomposition of every character keeps in ASCII (not the empty string).
-    ``words_only`` leaves out characters that are no letter or number themselves."""
-    out = {}
+def _decompositions(words_only: bool) -> tuple[str, str, dict[str, str]]:
+    """By rule: what the NFKD decomposition of every character keeps in ASCII. Returns a ``translate``
+    table (characters that keep one ASCII character, then those that keep none and go) and the
+    characters that keep several. ``words_only``: signs that are no letter or number go."""
+    one, none, several = {}, [], {}
     for lo, hi in _ACCENT_RANGES:
         for ch in map(chr, range(lo, hi + 1)):
             kept = "".join(c for c in unicodedata.normalize("NFKD", ch) if ord(c) < 128)
-            if kept and (ch.isalnum() or not words_only):
-                out[ch] = kept
-    return out
+            if not kept or (words_only and not ch.isalnum()):
+                none.append(ch)
+            elif len(kept) == 1:
+                one[ch] = kept
+            else:
+                several[ch] = kept
+    return "".join([*one, *none]), "".join(one.values()), several
 
 
-def _one_letter(words_only: bool) -> tuple[str, str]:
-    one = {ch: kept for ch, kept in _decompositions(words_only).items() if len(kept) == 1}
-    return "".join(one), "".join(one.values())
-
-
-def _longer(words_only: bool) -> dict[str, list[str]]:
-    """Decompositions of several letters: kept text -> characters that become it."""
-    out: dict[str, list[str]] = {}
-    for ch, kept in _decompositions(words_only).items():
-        if len(kept) > 1:
-            out.setdefault(kept, []).append(ch)
-    return out
-
-
-ACCENT_SRC, ACCENT_DST = _one_letter(words_only=False)
-_TABLES = {flag: (*_one_letter(flag), _longer(flag)) for flag in (False, True)}
+_TABLES = {flag: _decompositions(flag) for flag in (False, True)}
+ACCENT_SRC, ACCENT_DST, _ = _TABLES[False]
 
 
 def strip_accents(value: Column, words_only: bool = False) -> Column:
     """The ASCII that the compatibility decomposition (NFKD) of a text keeps.
 
-    One ``translate`` maps the letters that keep one ASCII letter. Text that still holds other
-    characters afterwards (a ligature, a unit sign, a fraction) is mapped character by character;
-    ``words_only`` first drops signs that are no letters or numbers."""
-    src, dst, longer = _TABLES[words_only]
-    one = F.translate(value, src, dst)
-    # only rows that still hold characters outside ASCII pay for it
-    table = F.create_map(*[F.lit(x) for kept, chars in longer.items() for ch in chars for x in (ch, kept)])
-    mapped = F.array_join(F.transform(F.split(one, ""), lambda c: F.coalesce(F.element_at(table, c), c)), "")
-    return F.regexp_replace(F.when(one.rlike(r"[^\x00-\x7F]"), mapped).otherwise(one), r"[^\x00-\x7F]", "")
+    One ``translate`` does it for Latin text. Only text that still holds other characters afterwards
+    (a ligature, a unit sign, a fraction, another script) is mapped character by character.
+    ``words_only`` first drops everything but letters and numbers."""
+    src, dst, several = _TABLES[words_only]
+    text = F.translate(value, src, dst)
+    if words_only:
+        text = F.regexp_replace(text, r"[\x00-\x7F&&[^a-zA-Z0-9]]", "")
+    table = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    mapped = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.element_at(table, c), c)), "")
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(
+        F.regexp_replace(mapped, r"[^\x00-\x7F]", ""))
 
 
 def client_key(value: Column) -> Column:
     """Client key (P11): lower, only letters and numbers kept, these in their ASCII form; null -> ''."""
-    words = F.regexp_replace(F.lower(value.cast("string")), r"[^\p{L}\p{N}]", "")
-    return F.coalesce(strip_accents(words, words_only=True), F.lit(""))
+    return F.coalesce(strip_accents(F.lower(value.cast("string")), words_only=True), F.lit(""))
 
 
 def generated_sku(value: Column, width: int = 10) -> Column:

@@ -61,17 +61,18 @@ def rupture_alerts(tx: DataFrame, reference_date, delay: int = DEFAULT_DELAY_DAY
     if triggers is None:  # read by the pairs and by the triggers
         tx = stored_once(tx, ["client", "sku", "order_id", "qty", "date"])
     t = tx.where(F.col("client").isNotNull() & F.col("sku").isNotNull())
-    p = F.percentile(F.col("gap").cast("double"), [(1 - 0.95) / 2, 1 - (1 - 0.95) / 2], F.col("weight"))
+    p = F.percentile(F.col("gap").cast("double"), [0.5, (1 - 0.95) / 2, 1 - (1 - 0.95) / 2], F.col("weight"))
     a = weighted_gaps(t, PAIR).groupBy(*PAIR).agg(
-        F.sum("weight").alias("_n"), F.max("last_ts").alias("last_order"), median_gap().alias("giro_mediano"),
-        S.share_within(90, F.col("weight")).alias("prob_recompra"), p.alias("_ic")).where(F.col("_n") >= 2)
+        F.sum("weight").alias("_n"), F.max("last_ts").alias("last_order"), p.alias("_ic"),
+        S.share_within(90, F.col("weight")).alias("prob_recompra")).where(F.col("_n") >= 2) \
+        .withColumn("giro_mediano", F.col("_ic")[0])
     dias = floor_days(ref, F.col("last_order"))
     previsao = F.col("giro_mediano") + F.lit(float(delay))
     conf = F.least(F.lit(1.0), dias / F.greatest(F.lit(1.0), previsao))
     out = a.select(
         *PAIR, F.lit("ruptura").alias("type"), "last_order", dias.alias("dias_sem_compra"),
         "giro_mediano", conf.alias("confianca"), reliability(conf).alias("reliability"),
-        "prob_recompra", F.col("_ic")[0].alias("ic_low"), F.col("_ic")[1].alias("ic_high"),
+        "prob_recompra", F.col("_ic")[1].alias("ic_low"), F.col("_ic")[2].alias("ic_high"),
         F.lit("3 dias").alias("suggested_deadline"))
     out = out.withColumn("insight", _text("ruptura_insight", "client", "sku", "dias_sem_compra", "giro_mediano",
                                           "ic_low", "ic_high", F.col("prob_recompra") * 100)) \

@@ -87,9 +87,10 @@ def mean_gap() -> Column:
 
 
 def gap_cv() -> Column:
-    """Aggregate: sigma_pop / mean over the rows from exact whole-number sums; no gap or mean 0 -> 0."""
-    g, w = F.col("gap").cast("decimal(9,0)"), F.col("weight").cast("decimal(18,0)")
+    """Aggregate: sigma_pop / mean over the rows; no gap or mean 0 -> 0 (A25). The sums are whole numbers (squares
+    exact below 2**53) and their difference is taken in decimals, so nothing cancels."""
     n = rows_with_gap().cast("decimal(18,0)")
-    s1, s2 = F.sum(g * w).cast("decimal(19,0)"), F.sum(g * g * w).cast("decimal(24,0)")
+    s1 = F.sum(F.col("gap") * F.col("weight")).cast("decimal(19,0)")
+    s2 = F.sum((F.col("gap") * F.col("gap")).cast("double") * F.col("weight")).cast("decimal(24,0)")
     spread = F.sqrt((n * s2 - s1 * s1).cast("double"))
     return F.coalesce(F.when(s1 != 0, spread / s1.cast("double")), F.lit(0.0))
