@@ -69,7 +69,9 @@ class WordEncoder:
         if len(cache) + len(new) > CACHE:
             cache.clear()
             new = words
-        new = [w for w in new if w and w == "".join(w.split())]
+        new = list(new)
+        if new != "\n".join(new).split():  # some word is empty or holds a space of another kind
+            new = [w for w in new if w and w == "".join(w.split())]
         if not new:
             return
         ids = np.array(self.core.encode_ordinary("\n".join([lead + w for w in new]) + "\n"), "<u4")
@@ -80,18 +82,19 @@ class WordEncoder:
             cache[w] = raw[a:b]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [[line.split(" ") for line in t.split("\n")] for t in texts]
-        words: set[str] = set()
-        for lines in parts:
-            for line in lines:
-                words.update(line[1:])
-        self._learn({line[0] for lines in parts for line in lines}, self.first, "")
-        self._learn(words, self.inner, " ")
+        # a line's first word is taken off, so that the others are looked up as they lie
+        parts, heads = [], []
+        for t in texts:
+            lines = [line.split(" ") for line in t.split("\n")]
+            heads.append([line.pop(0) for line in lines])
+            parts.append(lines)
+        self._learn(set().union(*heads), self.first, "")
+        self._learn(set().union(*[line for lines in parts for line in lines]), self.inner, " ")
         feed, out = np.array(self.feed, "<u4").tobytes(), []
         first, inner = self.first.__getitem__, self.inner.__getitem__
-        for text, lines in zip(texts, parts, strict=True):
+        for text, head, lines in zip(texts, heads, parts, strict=True):
             try:
-                out.append(feed.join([first(line[0]) + b"".join(map(inner, line[1:])) for line in lines]))
+                out.append(feed.join([first(w) + b"".join(map(inner, line)) for w, line in zip(head, lines, strict=True)]))
             except KeyError:  # a word that cannot stand alone
                 out.append(self._plain(text))
         return out
@@ -105,7 +108,6 @@ def _tokenise(ranks_path: str, pattern: str, window: int, vocabulary: int):
         encoder = _workers[key]
         order = mix64(np.arange(2 * vocabulary, dtype=np.uint64)).reshape(2, vocabulary) >> np.uint64(1)
         df, end = np.zeros(vocabulary, np.int64), np.array([_END], "<u4").tobytes()
-        seen = np.zeros(vocabulary, bool)
         for batch in batches:
             for part in chunks(batch, 1 << 20):
                 ids = part.column("doc_id").to_pylist()
@@ -114,10 +116,9 @@ def _tokenise(ranks_path: str, pattern: str, window: int, vocabulary: int):
                                     strict=True):
                     raw += end
                     token = np.frombuffer(raw, "<u4")
-                    seen[token] = True
-                    own = np.flatnonzero(seen)
-                    df[own] += 1
-                    seen[own] = False
+                    own = np.sort(token)
+                    df[own[np.flatnonzero(own[1:] != own[:-1])]] += 1
+                    df[own[-1]] += 1
                     n, whole = len(token), len(token) // window * window
                     for a in range(0, whole, window):
                         rows.append((0, doc, a, n, 0, 0, raw[4 * a:4 * (a + window)]))
