@@ -23,8 +23,10 @@ from orderpulse.operators.ordered import with_previous
 from orderpulse.operators.segments import pdv_scores
 from orderpulse.schemas import ALERT_TEXTS, DEFAULT_DELAY_DAYS
 from orderpulse.session import materialize, stored_once
+from orderpulse.sources.tables import bounded_broadcast
 
 PAIR = ["client", "sku"]
+OUTLIER_PAIRS = 200_000  # longer lists of flagged pairs are joined by shuffle
 
 
 def _triggers(tx: DataFrame) -> DataFrame:
@@ -112,8 +114,11 @@ def outlier_alerts(tx: DataFrame, triggers: DataFrame | None = None, z_limit: fl
     """(client, sku) with >= 5 rows and a quantity beyond ``z_limit``
     sigma_pop; reports the latest flagged row, its distance from the mean, the
     CV of consecutive quantity differences and survival over the last 6 rows."""
-    facts = stored_once(tx, ["client", "sku", "order_id", "qty", "date", "ingest_seq"])  # read five times
+    facts = stored_once(tx, ["client", "sku", "order_id", "qty", "date", "ingest_seq"])  # read by the rule and the triggers
     tx = facts.where(F.col("client").isNotNull() & F.col("sku").isNotNull())
+    # one aggregate names the pairs that can be flagged; only their rows are joined and ordered
+    pairs = materialize(S.outlier_keys(tx, PAIR, "qty", z_limit, min_rows))
+    tx = tx.join(bounded_broadcast(pairs, OUTLIER_PAIRS), PAIR, "left_semi")
     flagged = S.volume_outliers(tx, PAIR, "qty", z_limit).where(F.col("key_n") >= min_rows)
     latest = flagged.groupBy(*PAIR).agg(
         F.max_by("qty", F.struct("date", "ingest_seq")).alias("valor"),

@@ -85,6 +85,17 @@ def volume_outliers(df: DataFrame, keys: Sequence[str], value: str = "qty",
                     F.col("_n").alias("key_n")))
 
 
+def outlier_keys(df: DataFrame, keys: Sequence[str], value: str = "qty", z_limit: float = 3.0,
+                 min_rows: int = 1) -> DataFrame:
+    """Keys with at least ``min_rows`` values of which ``volume_outliers`` can flag a row: the least or the largest
+    lies beyond ``z_limit`` sigma_pop. The limit is taken 1e-9 lower, as the order of summation moves the last digits."""
+    v = number(F.col(value))
+    m = df.groupBy(*keys).agg(F.count(v).alias("_n"), F.avg(v).alias("_mean"), F.stddev_pop(v).alias("_sd"),
+                              F.min(v).alias("_min"), F.max(v).alias("_max"))
+    z = F.greatest(F.col("_max") - F.col("_mean"), F.col("_mean") - F.col("_min")) / F.when(F.col("_sd") != 0, F.col("_sd"))
+    return m.where((F.col("_n") >= min_rows) & (F.col("_sd") > 0) & (z > z_limit * (1 - 1e-9))).select(*keys)
+
+
 def last_rows(df: DataFrame, keys: Sequence[str], n: int, ts: str = "date",
               tie: str = "ingest_seq") -> DataFrame:
     """Last ``n`` rows per key by (ts, tie), ``_rank`` 1 = latest."""

@@ -3,6 +3,8 @@
 import datetime as dt
 
 from orderpulse.operators import alerts as AL
+from orderpulse.operators import stats as S
+from orderpulse.operators.ordered import with_previous
 from tests.conftest import tx_frame
 
 REF = "2024-06-01 00:00:00"
@@ -49,3 +51,31 @@ def test_outlier_with_repeated_flagged_date(spark):
     # two 500s among twelve 10s: z = 2.3 < 3, so lower the limit to flag them
     out = AL.outlier_alerts(_tx(spark, rows), z_limit=2.0).collect()
     assert len(out) == 1 and out[0]["valor"] == 500.0 and out[0]["direcao"] == "acima"
+
+
+def test_outlier_rule_orders_rows_of_flagged_pairs_only(spark, monkeypatch):
+    day = dt.datetime(2024, 1, 1)
+
+    def pair(client, qtys):
+        return [(client, "s", "p", str(day + dt.timedelta(days=i)), f"{client}{i}", float(q), 1.0) for i, q in enumerate(qtys)]
+    rows = pair("high", [1] * 20 + [50]) + pair("low", [50] * 20 + [1]) + pair("calm", [1, 2] * 10) + pair("few", [1, 1, 9])
+    rows += pair("flat", [3] * 12) + [(None, "s", "p", str(day), "n", 900.0, 1.0)]
+    ordered = []
+
+    def spy(df, *args, **kwargs):
+        ordered.append(sorted(r["client"] for r in df.select("client").distinct().collect()))
+        return with_previous(df, *args, **kwargs)
+    monkeypatch.setattr(AL, "with_previous", spy)
+    out = {r["client"]: (r["valor"], r["direcao"], r["survival"]) for r in AL.outlier_alerts(_tx(spark, rows)).collect()}
+    assert out == {"high": (50.0, "acima", 0.875), "low": (1.0, "abaixo", 0.875)}
+    assert ordered == [["high", "low"]]
+
+
+def test_outlier_keys_are_those_with_flagged_rows(spark):
+    inf, nan = float("inf"), float("nan")
+    values = {"a": [1.0] * 20 + [50.0], "b": [1.0, 2.0] * 9, "c": [inf, 1.0, 2.0], "d": [nan, nan], "e": [None, 1.0],
+              "f": [5.0] * 10 + [-90.0] + [nan, None], "g": [4.0] * 5}
+    df = spark.createDataFrame([(k, "s", v) for k, vs in values.items() for v in vs], "client string, sku string, qty double")
+    want = {(r["client"], r["sku"]) for r in S.volume_outliers(df, AL.PAIR).collect()}
+    assert {tuple(r) for r in S.outlier_keys(df, AL.PAIR).collect()} == want
+    assert {"a", "f"} <= {c for c, _ in want}
