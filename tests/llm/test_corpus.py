@@ -35,6 +35,20 @@ def test_word_encoder_equals_the_tokenizer():
         assert np.frombuffer(raw, "<u4").tolist() == slow.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_only_runs_of_whitespace_take_the_lookahead():
+    import public_tokenizers as P
+    fast = packing.WordEncoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    spaces = [" ", "\t", "\n", "\x0b", "\x0c", "\r", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u2029", "\u202f", "\u205f", "\u3000"]
+    runs = [f"ab{x}{y}c" for x in spaces for y in spaces] + [f"ab{x}{y}" for x in spaces for y in spaces]
+    single = [f"{x}ab{x}cd{x}12{x}!{x}é{x}" for x in [*spaces, "\x1c", "\u200b", "\u180e"]]
+    slow, fast.single = fast.single, None          # texts with a run never reach the shorter pattern
+    want = [np.array(fast.full.encode_ordinary(x), "<u4").tobytes() for x in runs]
+    assert fast.encode(runs) == want
+    full, fast.single, fast.full = fast.full, slow, None
+    assert fast.encode(single) == [np.array(full.encode_ordinary(x), "<u4").tobytes() for x in single]
+    assert packing.WordEncoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN + "|x").encode(["a  x b"])
+
+
 def check_pieces(rows, want, window=1024):
     by_doc, by_seq = {}, {}
     for r in rows:
@@ -83,6 +97,25 @@ def test_seed_windows_take_the_best_scoring_unused_neighbours():
     assert {i % 3 for i in first} == {0}
 
 
+def test_neighbours_score_as_a_sum_over_the_seeds_terms():
+    rng = np.random.default_rng(5)
+    docs = [rng.integers(0, 300, rng.integers(1, 200)).astype(np.uint16) for _ in range(80)]
+    for d in docs:
+        want = np.unique(d, return_counts=True)
+        assert all((a == b).all() for a, b in zip(packing._distinct(d), want, strict=True))
+    idf = rng.random(300)
+    index = packing.Bm25Shard(docs, idf, 100.0)
+    free = rng.random(80) < 0.7
+    for seed in range(80):
+        score = np.zeros(80)
+        for t in index.queries[seed]:
+            for i, d in enumerate(docs):
+                tf = int((d == t).sum())
+                score[i] += idf[t] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / 100.0)) if tf else 0.0
+        want = sorted((i for i in range(80) if free[i] and score[i] > 0), key=lambda i: (-score[i], i))
+        assert index.neighbours(seed, free, 80).tolist() == want
+
+
 # ---- archives
 
 def pages(spark, rows):
