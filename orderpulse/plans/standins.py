@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orderpulse.session import stored_once
 from orderpulse.sources.tables import read_table
 
 BLOCK_HEADER_CELLS = ["Data Emissão", "Pedido", "Cliente", "Vendedor", "Preço", "Quantidade", "Subtotal"]
@@ -21,9 +22,8 @@ FLAT_HEADER_CELLS = ["data_emissao", "pedido", "cliente", "vendedor", "preco", "
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Write the stand-in in ordinary splits (2 per core), as a stored table has them."""
-    from orderpulse.session import materialize
-    return materialize(df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism))
+    """Write the stand-in as a Parquet table, in the splits in which its rows arrive."""
+    return stored_once(df)
 
 
 def pt_br(x: Column) -> Column:
@@ -38,8 +38,9 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
     c = read_table(spark, d, "customer", ["c_custkey", "c_name", "c_nationkey"])
     n = read_table(spark, d, "nation", ["n_nationkey", "n_name", "n_regionkey"])
     p = read_table(spark, d, "part", ["p_partkey", "p_name", "p_retailprice"])
-    return (li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey)
-            .join(n, c.c_nationkey == n.n_nationkey).join(p, li.l_partkey == p.p_partkey))
+    # customers meet orders before line items do, so line items are shuffled for orders and parts only
+    placed = o.join(c.join(n, c.c_nationkey == n.n_nationkey), o.o_custkey == c.c_custkey)
+    return li.join(placed, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey)
 
 
 def _data_cells(df: DataFrame) -> list[Column]:

@@ -61,3 +61,9 @@ def test_bounded_broadcast_respects_its_bound(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_stored_stand_ins_are_tables_without_a_reshuffle(spark):
+    from orderpulse.plans import standins as SI
+    plan = SI.stored(SI.flat_grid(spark, SF_SMALL))._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan and "ExistingRDD" not in plan
