@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from orderpulse.functions.dates import add_days, floor_days, month_start, ts_literal
 from orderpulse.functions.labels import tier
-from orderpulse.functions.numbers import money_sum
+from orderpulse.functions.numbers import cents, money_sum
 from orderpulse.operators.gaps import median_gap, weighted_gaps
 from orderpulse.operators.ranks import avg_rank_pcts, exact_quantiles
 from orderpulse.schemas import DEFAULT_DELAY_DAYS
@@ -42,10 +42,13 @@ def customer_base(tx: DataFrame, reference_date, distinct_dates: bool = False) -
     The facts are stored once; one aggregate per client and the weighted gaps read them."""
     ref = ts_literal(reference_date)
     tx = _keyed(stored_once(tx, CUSTOMER_FACTS), "client")
-    aggs = [F.max("date").alias("last_order"), F.count_distinct("order_id").alias("frequency"),
+    aggs = [F.max("date").alias("last_order"),
             money_sum(F.col("subtotal")).alias("monetary"), F.mode("segment", True).alias("segment"),
             F.mode("city", True).alias("city"), F.mode("uf", True).alias("uf")]
-    base = tx.groupBy("client").agg(*aggs).join(turnover(tx, ["client"], distinct_dates), "client", "left")
+    # orders are counted apart: beside a distinct count, the modes would keep their maps per client and order
+    orders = tx.groupBy("client").agg(F.count_distinct("order_id").alias("frequency"))
+    base = (tx.groupBy("client").agg(*aggs).join(orders, "client")
+            .join(turnover(tx, ["client"], distinct_dates), "client", "left"))
     return base.select(
         "client",
         floor_days(ref, F.col("last_order")).alias("recency"),
@@ -178,16 +181,18 @@ def general_kpis(tx: DataFrame, reference_date, delay: int = DEFAULT_DELAY_DAYS,
     """One row of general KPIs."""
     ref = ts_literal(reference_date)
     tx = stored_once(tx, ["client", "sku", "order_id", "date", "subtotal"])
-    glob = tx.agg(
-        money_sum(F.col("subtotal")).alias("total_revenue"),
+    # one row per client and order serves all counts of both, so no row is repeated per distinct count
+    pairs = stored_once(tx.groupBy("client", "order_id").agg(
+        F.sum(cents(F.col("subtotal"))).alias("_cents"), F.min("date").alias("_first"), F.max("date").alias("_last")))
+    glob = pairs.agg(
+        F.coalesce(F.sum("_cents") / F.lit(100.0), F.lit(0.0)).alias("total_revenue"),
         F.count_distinct("client").alias("total_customers"),
-        F.count_distinct("sku").alias("total_products"),
         F.count_distinct("order_id").alias("total_orders"),
-        F.min("date").alias("period_start"),
-        F.max("date").alias("period_end"),
-    )
-    per_client = (_keyed(tx, "client").groupBy("client")
-                  .agg(F.max("date").alias("_last"), F.count_distinct("order_id").alias("_freq")))
+        F.min("_first").alias("period_start"),
+        F.max("_last").alias("period_end"),
+    ).crossJoin(tx.agg(F.count_distinct("sku").alias("total_products")))
+    per_client = (_keyed(pairs, "client").groupBy("client")
+                  .agg(F.max("_last").alias("_last"), F.count("order_id").alias("_freq")))
     client_avgs = per_client.agg(
         F.coalesce(F.avg(floor_days(ref, F.col("_last"))), F.lit(0.0)).alias("avg_recency"),
         F.coalesce(F.avg("_freq"), F.lit(0.0)).alias("avg_frequency"))

@@ -33,7 +33,7 @@ def _folder(spark, name: str) -> str:
 
 
 def _g01(spark, d, sheet: str):
-    return RP.report_plans(tx_tpch(spark, d), TPCH_REF)[REPORT_SHEETS[sheet]]()
+    return RP.report_plans(tx_tpch(spark, d), TPCH_REF, sheet=sheet)[REPORT_SHEETS[sheet]]()
 
 
 # --- G01 ------------------------------------------------------------------------------

@@ -33,26 +33,35 @@ REPORT_FACTS = ["dataset_id", "order_id", "date", "client", "seller", "sku", "pr
                 "category", "segment", "city", "uf", "ingest_seq"]
 
 
-def report_facts(tx: DataFrame) -> DataFrame:
+#: What the tables of G01 read of the facts, for a report of some of them.
+SHEET_FACTS = {"clients": M.CUSTOMER_FACTS, "history": ["date", "client", "order_id", "qty", "subtotal"],
+               "mix": M.PRODUCT_FACTS, "relationship": M.CUSTOMER_FACTS, "behavior": [*M.CUSTOMER_FACTS, "sku"]}
+
+
+def report_facts(tx: DataFrame, columns: list[str] = REPORT_FACTS) -> DataFrame:
     """The facts of a report, stored once; every table of the report scans the columns it needs.
     Raises ``ValueError`` on empty input."""
-    facts = stored_once(tx, REPORT_FACTS)
+    facts = stored_once(tx, columns)
     if facts.isEmpty():
         raise ValueError("no normalised transactions to report on")
     return facts
 
 
-def report_plans(tx: DataFrame, reference_date, delay: int = DEFAULT_DELAY_DAYS) -> dict[str, Callable[[], DataFrame]]:
-    """A function per table over the shared facts; what several tables need is computed once."""
-    tx = report_facts(tx)
+def report_plans(tx: DataFrame, reference_date, delay: int = DEFAULT_DELAY_DAYS,
+                 sheet: str | None = None) -> dict[str, Callable[[], DataFrame]]:
+    """A function per table over the shared facts; what several tables need is computed once.
+
+    ``sheet`` names the one table that will be asked for: only what it reads is stored."""
+    tx = report_facts(tx, REPORT_FACTS if sheet is None else SHEET_FACTS[sheet])
     clients = cache(lambda: M.customer_rfm(tx, reference_date))
-    return {
+    plans = {
         REPORT_SHEETS["clients"]: clients,
         REPORT_SHEETS["history"]: lambda: M.monthly_history(tx),
         REPORT_SHEETS["mix"]: lambda: M.product_analytics(tx),
         REPORT_SHEETS["relationship"]: lambda: relationship_sheet(clients(), delay),
         REPORT_SHEETS["behavior"]: lambda: M.behaviour_sheet(M.general_kpis(tx, reference_date, delay), clients()),
     }
+    return plans if sheet is None else {REPORT_SHEETS[sheet]: plans[REPORT_SHEETS[sheet]]}
 
 
 def build_report(tx: DataFrame, reference_date, delay: int = DEFAULT_DELAY_DAYS) -> dict[str, DataFrame]:

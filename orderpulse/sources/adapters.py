@@ -53,8 +53,9 @@ def tpch(spark: SparkSession, data_dir: str, sku: str = "brand",
     orders = read_table(spark, data_dir, "orders", ["o_orderkey", "o_custkey", "o_orderdate"])
     part = read_table(spark, data_dir, "part", ["p_partkey", "p_name", "p_brand"])
     cust = _customer_geo(spark, data_dir)
-    df = (li.join(orders, li.l_orderkey == orders.o_orderkey)
-          .join(cust, F.col("o_custkey") == cust.c_custkey)
+    # customers meet orders before line items do, so line items are shuffled for orders and parts only
+    placed = orders.join(cust, F.col("o_custkey") == cust.c_custkey)
+    df = (li.join(placed, li.l_orderkey == orders.o_orderkey)
           .join(part, li.l_partkey == part.p_partkey))
     sku_col = F.col("p_brand") if sku == "brand" else F.col("l_partkey")
     return _canonical(

@@ -52,3 +52,15 @@ def test_tier_counts_sum_to_clients(spark):
     rfm = M.customer_rfm(tx, TPCH_REFERENCE_DATE)
     tiers = rfm.groupBy("tier").count().agg(F.sum("count")).first()[0]
     assert tiers == rfm.count() == tx.select("client").distinct().count()
+
+
+def test_kpis_count_orders_shared_by_clients_once(spark):
+    rows = [("a", "s", "p", "2024-01-01 10:00:00", "o1", 1.0, 1.1), ("a", "s", "p", "2024-01-03 10:00:00", "o1", 1.0, 2.2),
+            ("b", "t", "p", "2024-01-02 10:00:00", "o1", 1.0, None), ("b", None, "p", None, None, 1.0, 4.0),
+            (None, "u", "p", "2024-01-09 10:00:00", "o2", 1.0, 8.0)]
+    k = M.general_kpis(tx_frame(spark, rows), "2024-01-11 10:00:00").first()
+    assert (k.total_revenue, k.total_customers, k.total_products, k.total_orders) == (15.3, 2, 3, 2)
+    assert (k.avg_recency, k.avg_frequency, k.period_days) == (8.5, 1.0, 8)
+    assert k.period_start.day == 1 and k.period_end.day == 9
+    base = {r.client: r for r in M.customer_base(tx_frame(spark, rows), "2024-01-11 10:00:00").collect()}
+    assert {c: r.frequency for c, r in base.items()} == {"a": 1, "b": 1}

@@ -67,3 +67,24 @@ def test_stored_stand_ins_are_tables_without_a_reshuffle(spark):
     from orderpulse.plans import standins as SI
     plan = SI.stored(SI.flat_grid(spark, SF_SMALL))._jdf.queryExecution().executedPlan().toString()
     assert "FileScan parquet" in plan and "ExistingRDD" not in plan
+
+
+def test_modes_are_not_kept_per_order(spark):
+    import re
+
+    from orderpulse.operators import metrics as M
+    from orderpulse.plans.registry import tx_tpch
+    plan = M.customer_base(tx_tpch(spark, SF_SMALL), "2001-09-01 00:00:00")._jdf.queryExecution().optimizedPlan().toString()
+    modes = [line for line in plan.splitlines() if "mode(" in line]
+    assert modes and not any(re.search(r"count\(distinct", line) for line in modes)
+
+
+def test_a_report_of_one_sheet_stores_what_it_reads(spark):
+    from orderpulse.plans import reports as RP
+    from orderpulse.plans.registry import TPCH_REF, tx_tpch
+    from orderpulse.schemas import REPORT_SHEETS
+    whole = RP.report_plans(tx_tpch(spark, SF_SMALL), TPCH_REF)
+    for sheet in RP.SHEET_FACTS:
+        one = RP.report_plans(tx_tpch(spark, SF_SMALL), TPCH_REF, sheet=sheet)
+        assert list(one) == [REPORT_SHEETS[sheet]]
+        assert one[REPORT_SHEETS[sheet]]().schema == whole[REPORT_SHEETS[sheet]]().schema
