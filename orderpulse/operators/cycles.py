@@ -17,7 +17,7 @@ from orderpulse.functions.dates import add_days, floor_days, ts_literal
 from orderpulse.functions.numbers import money_sum
 from orderpulse.operators.gaps import gap_cv, mean_gap, median_gap, rows_with_gap, weighted_gaps
 from orderpulse.operators.ranks import avg_rank_pcts, numbered_in_order
-from orderpulse.session import materialize, stored_once
+from orderpulse.session import stored_once
 
 # Window-status bounds on days_since / cycle (fixed by the documents).
 STATUS_BOUNDS = [(0.50, "frio"), (0.80, "aquecimento")]
@@ -90,8 +90,8 @@ def priority_items(tx: DataFrame, reference_date, keys: Sequence[str] = ("client
     """Priority score = status score, value rank, frequency rank and
     confidence (1 / (1 + gap CV)) weighted; risk level; diagnosis, action and
     message texts. Ranks are global average-rank percentiles (distributed)."""
-    # ranked twice and returned: computed once, lineage cut
-    st = materialize(window_status(cycle_metrics(tx, keys, reference_date)))
+    # ranked twice and returned: computed once, each ranking scans its column
+    st = stored_once(window_status(cycle_metrics(tx, keys, reference_date)))
     st = avg_rank_pcts(st, {"revenue": "value_rank", "orders": "frequency_rank"})
     conf = F.when(F.col("status") == "insufficient_history", F.lit(0.0)) \
         .otherwise(1.0 / (1.0 + F.coalesce(F.col("gap_cv"), F.lit(0.0))))
