@@ -88,3 +88,20 @@ def test_a_report_of_one_sheet_stores_what_it_reads(spark):
         one = RP.report_plans(tx_tpch(spark, SF_SMALL), TPCH_REF, sheet=sheet)
         assert list(one) == [REPORT_SHEETS[sheet]]
         assert one[REPORT_SHEETS[sheet]]().schema == whole[REPORT_SHEETS[sheet]]().schema
+
+
+def test_rows_are_stored_before_they_are_sorted_or_ranked(spark, monkeypatch):
+    from orderpulse.operators import cycles as CY
+    from orderpulse.operators import normalize as NZ
+    seen = []
+    monkeypatch.setattr(NZ, "numbered_in_order", lambda df, order, name: seen.append(df) or df)
+    monkeypatch.setattr(CY, "avg_rank_pcts", lambda df, cols: seen.append(df) or df.withColumns(
+        {"value_rank": df["revenue"], "frequency_rank": df["orders"]}))
+    for name in ("base_positions", "priority_items"):
+        try:
+            E.queries()[name](spark, SF_SMALL)
+        except Exception:
+            assert len(seen)       # the stand-in for the numbering adds no position
+    assert len(seen) == 2
+    assert all("FileScan parquet" in p and "Join" not in p for p in
+               (df._jdf.queryExecution().executedPlan().toString() for df in seen))
