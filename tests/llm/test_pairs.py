@@ -192,3 +192,35 @@ def test_common_word_pairs_give_way(spark, monkeypatch):
     rows = list(enumerate(lines)) + [(100 + i, line + " more") for i, line in enumerate(lines)]
     got = {r.doc_id: r.lines_kept for r in dedup_lines(docs_of(spark, rows)).collect()}
     assert got == {**{i: 1 for i in range(40)}, **{100 + i: 0 for i in range(40)}}
+
+
+def test_near_never_drops_a_link(spark):
+    """Lengths and parities are bounds: no pair within the edit distance fails them, most unlike pairs do."""
+    from orderpulse.llm.fuzzy_lines import _described, _near
+    rng = np.random.default_rng(12)
+    rows = []
+    for size in (5, 10, 40, 90):
+        for _ in range(12):
+            base = [f"w{x}" for x in rng.integers(0, 3000, size)]
+            near = list(base)
+            for at in rng.choice(size, size // 5, replace=False):
+                near[at] = f"c{rng.integers(0, 9999)}"
+            rows += [" ".join(base), " ".join(near)]
+    lines = _described(docs_of(spark, list(enumerate(rows)))).select("doc_id", "n", "p", "q")
+    x, y = (lines.select(*[F.col(c).alias(f"{s}_{c}") for c in lines.columns]) for s in ("x", "y"))
+    got = x.join(y, F.col("x_doc_id") < F.col("y_doc_id")).select("x_doc_id", "y_doc_id", _near("x_", "y_").alias("ok")).collect()
+    assert all(r.ok for r in got if r.y_doc_id == r.x_doc_id + 1 and r.x_doc_id % 2 == 0)
+    assert np.mean([r.ok for r in got if r.y_doc_id // 2 != r.x_doc_id // 2]) < 0.05
+
+
+def test_buckets_are_shuffled_without_text(spark):
+    """Bucket rows carry two numbers, and a bucket of one line never becomes a member."""
+    from orderpulse.llm.fuzzy_lines import _described, _members
+    from orderpulse.llm.common import written
+    a = " ".join(f"alpha{i}" for i in range(12))
+    lines = written(_described(docs_of(spark, [(1, a), (2, a + " more"), (3, "something else entirely here")])), "lines")
+    members = _members(lines)
+    assert members.columns == ["key", "line", "lead", "c"]
+    found = lines.where("doc_id < 3").select("line").collect()
+    assert {(r.line, r.lead) for r in members.collect()} <= {(x.line, y.line) for x in found for y in found}
+    assert members.count() > 0
