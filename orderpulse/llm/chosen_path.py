@@ -45,14 +45,13 @@ FANOUT = 2       # selected tokens per node
 SMALL = 24       # largest node that is compared exhaustively
 DEPTH = 1        # branchings below a root child
 LEADER_TURNS = 2  # rounds in which every node compares its members with an elected leader
-FINE = 256       # minwise tokens of the sharper sketch that classes of unsettled nodes get
+FINE = 2048      # parity bits of the sharper sketch that classes of unsettled nodes get
 SIGMAS = 4.0     # a pair is confirmed unless a sketch lies this far below the threshold
 BROADCAST_ROWS = 1_000_000  # longer lists of document ids are joined by shuffle
 
 _RNG = np.random.default_rng(20240229)
 _COEF = _RNG.integers(1, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PERM = _RNG.integers(1, 1 << 63, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_FINE_PERM = _RNG.integers(1, 1 << 63, FINE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 _SKETCH = "doc_id long, n_shingles long, sid binary, sig array<int>, sketch array<long>"
 _SKETCH_COLS = [f"k{i}" for i in range(TOKENS // 8)]
@@ -89,6 +88,12 @@ def _sid(s: np.ndarray) -> bytes:
     return int(a).to_bytes(8, "big") + int(b).to_bytes(8, "big")
 
 
+def _odd_sketch(s: np.ndarray) -> np.ndarray:
+    """``FINE`` bits, each flipped by the members that fall to it: two sets differ in as many members at least."""
+    at = (mix64(s ^ np.uint64(0x3C6EF372FE94F82B)) % np.uint64(FINE)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=FINE) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _minwise(s: np.ndarray, perm: np.ndarray = _PERM) -> np.ndarray:
     """The smallest 32-bit value of the set under each of some multiplicative orders."""
     best = np.full(len(perm), 0xFFFFFFFF, np.uint64)
@@ -133,7 +138,7 @@ def _fine_writer(k: int):
         for batch in batches:
             for part in chunks(batch):
                 sets = [s for s in shingle_sets(part.column("text"), k) if len(s)]
-                fine = [_minwise(s, _FINE_PERM).astype(np.uint8).view(np.int64) for s in sets]
+                fine = [_odd_sketch(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([_sid(s) for s in sets], pa.binary()), pa.array(fine, pa.list_(pa.int64()))],
                     names=["sid", "fine"])
@@ -170,10 +175,10 @@ def _alike(a: str, b: str, percent: int):
 
 
 def _finely_alike(a: str, b: str, percent: int):
-    """The same with the sharper sketch, where the classes have one."""
-    differ = F.aggregate(F.zip_with(f"{a}.fine", f"{b}.fine", lambda x, y: _unequal_bytes(x.bitwiseXOR(y))),
+    """The same with the parity sketch: exact, as similar sets differ in few members and so in few bits."""
+    differ = F.aggregate(F.zip_with(f"{a}.fine", f"{b}.fine", lambda x, y: F.bit_count(x.bitwiseXOR(y))),
                          F.lit(0), lambda t, x: t + x)
-    return _alike(a, b, percent) & (differ <= FINE - _least(FINE, percent))
+    return _alike(a, b, percent) & (differ * (100 + percent) <= (F.col(f"{a}.n") + F.col(f"{b}.n")) * (100 - percent))
 
 
 def _unequal_bytes(x):
