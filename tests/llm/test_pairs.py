@@ -224,3 +224,63 @@ def test_buckets_are_shuffled_without_text(spark):
     found = lines.where("doc_id < 3").select("line").collect()
     assert {(r.line, r.lead) for r in members.collect()} <= {(x.line, y.line) for x in found for y in found}
     assert members.count() > 0
+
+
+def test_parity_sketch_is_an_exact_bound():
+    """Sets differ in at least as many members as their sketches in bits, and in hardly more while few differ."""
+    from orderpulse.llm.chosen_path import FINE, _odd_sketch
+    rng = np.random.default_rng(5)
+    for size, apart in ((1, 1), (50, 6), (150, 33), (150, 60), (4000, 900)):
+        base = rng.integers(0, 1 << 63, size + apart, dtype=np.uint64)
+        x, y = _odd_sketch(base[:size]), _odd_sketch(base[apart:size + apart])
+        assert len(x) == FINE // 64
+        differ = sum(int(a ^ b).bit_count() if a ^ b >= 0 else (int(a ^ b) + (1 << 64)).bit_count()
+                     for a, b in zip(x.tolist(), y.tolist(), strict=True))
+        true = len(set(base[:size].tolist()) ^ set(base[apart:size + apart].tolist()))
+        assert differ <= true and (true > 70 or differ >= 0.9 * true)
+
+
+def test_last_comparisons_of_a_large_group_stay_few(spark, monkeypatch):
+    """Near copies around the threshold: sets below it are not confirmed one by one, and no link is lost."""
+    from orderpulse.llm import chosen_path
+    seen, written = {}, chosen_path.written
+
+    def counted(df, name, **options):
+        out = written(df, name, **options)
+        seen.setdefault(name, []).append(out.count())
+        return out
+    monkeypatch.setattr(chosen_path, "written", counted)
+    rng = np.random.default_rng(21)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+    rows = []
+    for i in range(90):  # 3 to 7 words of 200 changed: pairs at about 0.65 to 0.9
+        words = list(base)
+        for at in rng.choice(200, rng.integers(3, 8), replace=False):
+            words[at] = f"c{rng.integers(0, 99999)}"
+        rows.append((i, " ".join(words)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs_of(spark, rows), shingle=4).collect()}
+    assert got == brute_near(rows, 4, 80)
+    assert sum(seen["pairs"]) < 2 * sum(seen["links"]) + 2 * len(rows)
+
+
+def test_fine_parity_bounds_the_edit_distance(spark):
+    from orderpulse.llm.fuzzy_lines import FINE, _described, _fine_parity, _near
+    rng = np.random.default_rng(13)
+    rows = []
+    for size in (6, 10, 40, 90):
+        for _ in range(10):
+            base = [f"w{x}" for x in rng.integers(0, 3000, size)]
+            near = list(base)
+            for at in rng.choice(size, size // 5, replace=False):
+                near[at] = "" if rng.random() < 0.3 else f"c{rng.integers(0, 9999)}"
+            far = list(base)
+            for at in rng.choice(size, size // 5 + max(2, size // 6), replace=False):
+                far[at] = f"d{rng.integers(0, 9999)}"
+            rows += [" ".join(base), " ".join(w for w in near if w), " ".join(far)]
+    lines = _described(docs_of(spark, list(enumerate(rows)))).cache()
+    lines = lines.select("line", "doc_id").join(_fine_parity(lines), "line")
+    x, y = (lines.select(*[F.col(c).alias(f"{s}_{c}") for c in lines.columns]) for s in ("x", "y"))
+    ok = {(r.x_doc_id, r.y_doc_id): r.ok for r in x.join(y, F.col("x_doc_id") < F.col("y_doc_id"))
+          .select("x_doc_id", "y_doc_id", _near("x_", "y_", FINE).alias("ok")).collect()}
+    assert all(ok[i, i + 1] for i in range(0, len(rows), 3))
+    assert np.mean([ok[i, i + 2] for i in range(0, len(rows), 3)]) < 0.3
