@@ -285,3 +285,54 @@ def test_fine_parity_bounds_the_edit_distance(spark):
           .select("x_doc_id", "y_doc_id", _near("x_", "y_", FINE).alias("ok")).collect()}
     assert all(ok[i, i + 1] for i in range(0, len(rows), 3))
     assert np.mean([ok[i, i + 2] for i in range(0, len(rows), 3)]) < 0.3
+
+
+def test_common_word_pairs_are_counted_on_all_lines(spark, monkeypatch):
+    """No sample and no list of a given length decides which pairs come last, and no link is lost by it."""
+    from orderpulse.llm import fuzzy_lines
+    assert not {"SAMPLE", "COMMONEST", "_common_pairs"} & set(vars(fuzzy_lines))
+    seen, spread = [], fuzzy_lines._spread
+
+    def counted(open_, common, lines, docs):
+        seen.append({r.key for r in common.collect()})
+        return spread(open_, common, lines, docs)
+    monkeypatch.setattr(fuzzy_lines, "COMMON", 8)
+    monkeypatch.setattr(fuzzy_lines, "_spread", counted)
+    rng = np.random.default_rng(31)
+    slogans = [f"internationalisation{i} organisationally{i}" for i in range(3)]
+    lines = []
+    for i in range(48):
+        base = [f"v{x}" for x in rng.integers(0, 10**6, 11)]
+        at = int(rng.integers(0, 11))
+        near, far = list(base), list(base)
+        near[at:at + 1] = [f"c{i}"]
+        for j in rng.choice(11, 4, replace=False):
+            far[j] = f"d{i}x{j}"
+        lines += [f"{slogans[i % 3]} {' '.join(w)}" for w in (base, near, far)]
+    lines += [f"{slogans[i]} {slogans[i]} {slogans[i]}" for i in range(3)]  # hardly a pair that is not common
+    lines += [f"{slogans[i]} {slogans[i]} {slogans[i]} more" for i in range(3)]
+    lines = [lines[i] for i in rng.permutation(len(lines))]
+    split = [line.split() for line in lines]
+    group, first = groups_of(len(lines), [
+        (i, j) for i, j in combinations(range(len(lines)), 2)
+        if distance(split[i], split[j]) <= max(len(split[i]), len(split[j])) * 0.2 + 1e-9]), set()
+    want = {i: not (group[i] in first or first.add(group[i])) for i in range(len(lines))}
+    rows = [(i, line) for i, line in enumerate(lines)] + [(i, line) for i, line in enumerate(lines) if i % 9 == 0]
+    got = {r.doc_id: r.lines_kept == 1 for r in dedup_lines(docs_of(spark, rows)).collect()}
+    assert got == want
+    assert seen and all(len(keys) >= 3 for keys in seen)
+
+
+def test_buckets_are_dealt_out_once(spark, monkeypatch):
+    from orderpulse.llm import fuzzy_lines
+    a = " ".join(f"alpha{i}" for i in range(12))
+    lines = fuzzy_lines.written(fuzzy_lines._described(docs_of(spark, [(1, a), (2, a + " more")])), "lines")
+    plans = []
+
+    def ran(df, name, **options):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0])
+        return df
+    monkeypatch.setattr(fuzzy_lines, "written", ran)
+    fuzzy_lines._members(lines)
+    assert "ReusedExchange" in plans[0]
