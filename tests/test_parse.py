@@ -115,3 +115,18 @@ def test_keys_of_longer_decompositions(spark):
     for name, sku in skus.items():
         got = _one(spark, T.generated_sku, name)
         assert (got or "").upper() == sku, name
+
+
+def test_common_dates_are_split_once(spark):
+    """The plan of a parsed date holds one split for each of the two common shapes, and one for the others."""
+    from pyspark.sql import functions as F
+
+    from orderpulse.functions.dates import parse_date
+    rows = ["05/03/2024", "2024-03-05 14:05:06.25", "12.31.24", "2024-12-31T07:08", "31/02/2024", "", " ", "abc", None,
+            "5 March 2024 2:05 pm", "20240305", "march 2024", "05-03-69 1:02"]
+    want = ["2024-03-05 00:00:00", "2024-03-05 14:05:06.250000", "2024-12-31 00:00:00", "2024-12-31 07:08:00", None, None, None,
+            None, None, "2024-03-05 14:05:00", "2024-03-05 00:00:00", "2024-03-01 00:00:00", "1969-03-05 01:02:00"]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, t string").select("i", parse_date(F.col("t")).alias("d"))
+    assert [None if r.d is None else str(r.d) for r in df.orderBy("i").collect()] == want
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 3
