@@ -145,10 +145,14 @@ ALERT_COLUMNS = ["dataset_id", "client", "sku", "type", "insight", "action", "di
                  "recommended_action", "reliability", "suggested_deadline"]
 
 
+#: What the alert rules read of the facts.
+ALERT_FACTS = ["client", "sku", "order_id", "qty", "subtotal", "date", "ingest_seq"]
+
+
 def rico_alerts(tx: DataFrame, reference_date, delay: int = DEFAULT_DELAY_DAYS,
                 dataset_id: str | None = None) -> DataFrame:
     """PDV triggers once, the three rules, one union."""
-    tx = stored_once(tx, ["client", "sku", "order_id", "qty", "subtotal", "date", "ingest_seq"])
+    tx = stored_once(tx, ALERT_FACTS)
     trig = materialize(_triggers(tx))  # one small row per client, joined by each rule
     parts = [rupture_alerts(tx, reference_date, delay, trig), drop_alerts(tx, trig),
              outlier_alerts(tx, trig)]

@@ -103,13 +103,13 @@ def pro_products(spark, d):
 @query("pro_insights")
 def pro_insights(spark, d):
     """Texts of all alerts."""
-    return RP.pro_plans(tx_tpch(spark, d), TPCH_REF)["insights"]()
+    return RP.pro_plans(tx_tpch(spark, d), TPCH_REF, table="insights")["insights"]()
 
 
 @query("pro_alerts")
 def pro_alerts(spark, d):
     """Diagnosis, recommended action and triggers of all alerts."""
-    return RP.pro_plans(tx_tpch(spark, d), TPCH_REF)["alertas"]().select(
+    return RP.pro_plans(tx_tpch(spark, d), TPCH_REF, table="alertas")["alertas"]().select(
         "client", "sku", "type", "diagnosis", "recommended_action", "triggers", "reliability")
 
 
@@ -129,7 +129,7 @@ def panel_client_radar(spark, d):
 @query("panel_targets")
 def panel_targets(spark, d):
     """Prioritised targets with export labels."""
-    return RP.panel_plans(tx_tpch(spark, d), TPCH_REF)["alvos_priorizados"]()
+    return RP.panel_plans(tx_tpch(spark, d), TPCH_REF, table="alvos_priorizados")["alvos_priorizados"]()
 
 
 @query("panel_base")

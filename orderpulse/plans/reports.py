@@ -94,17 +94,20 @@ def client_order(clients: DataFrame) -> DataFrame:
     return numbered_in_order(clients, [F.desc_nulls_last("rfm_score"), F.asc_nulls_last("client")], "position")
 
 
-def pro_plans(tx: DataFrame, reference_date) -> dict[str, Callable[[], DataFrame]]:
-    """A function per table over the shared facts."""
-    tx = report_facts(tx)
+def pro_plans(tx: DataFrame, reference_date, table: str | None = None) -> dict[str, Callable[[], DataFrame]]:
+    """A function per table over the shared facts.
+
+    ``table`` names the one table that will be asked for: only what it reads is stored."""
+    tx = report_facts(tx, AL.ALERT_FACTS if table in ("insights", "alertas") else REPORT_FACTS)
     alerts = cache(lambda: AL.rico_alerts(tx, reference_date))
-    return {
+    plans = {
         "base": lambda: base_positions(tx).orderBy("position"),
         "clientes": lambda: client_order(M.customer_rfm(tx, reference_date)).orderBy("position"),
         "produtos": lambda: SU.potential_order(SU.client_sku_potential(tx)).orderBy("position"),
         "insights": lambda: insights_projection(alerts()),
         "alertas": alerts,
     }
+    return plans if table is None else {table: plans[table]}
 
 
 def pro_report(tx: DataFrame, reference_date) -> dict[str, DataFrame]:
@@ -112,15 +115,18 @@ def pro_report(tx: DataFrame, reference_date) -> dict[str, DataFrame]:
     return {name: plan() for name, plan in pro_plans(tx, reference_date).items()}
 
 
-def panel_plans(tx: DataFrame, reference_date, base_rows: int | None = None) -> dict[str, Callable[[], DataFrame]]:
-    """A function per table over the shared facts; ``base_rows`` caps the base table in arrival order."""
-    tx = report_facts(tx)
+def panel_plans(tx: DataFrame, reference_date, base_rows: int | None = None,
+                table: str | None = None) -> dict[str, Callable[[], DataFrame]]:
+    """A function per table over the shared facts; ``base_rows`` caps the base table in arrival order.
+
+    ``table`` names the one table that will be asked for: only what it reads is stored."""
+    tx = report_facts(tx, AL.ALERT_FACTS if table == "alvos_priorizados" else REPORT_FACTS)
     clients = cache(lambda: M.customer_rfm(tx, reference_date))
 
     def base() -> DataFrame:
         b = tx.orderBy("ingest_seq", "product", "qty", "subtotal")
         return b if base_rows is None else b.limit(base_rows)
-    return {
+    plans = {
         "painel": lambda: SU.panel_kpis(tx),
         "rfm_resumo": lambda: SU.rfm_summary(clients()),
         "radar_cliente": lambda: clients().select("client", "recency", "frequency", "monetary", "avg_ticket",
@@ -129,6 +135,7 @@ def panel_plans(tx: DataFrame, reference_date, base_rows: int | None = None) ->
         "alvos_priorizados": lambda: prioritised_targets(AL.rico_alerts(tx, reference_date)),
         "base_completa": base,
     }
+    return plans if table is None else {table: plans[table]}
 
 
 def panel_report(tx: DataFrame, reference_date, base_rows: int | None = None) -> dict[str, DataFrame]:

@@ -66,3 +66,27 @@ def test_legacy_alert_fallback_and_export_casts(spark):
     import pytest
     with pytest.raises(ValueError):
         export_table({"transactions": t}, "nope")
+
+
+def test_alert_tables_store_only_what_they_read(spark, monkeypatch):
+    from orderpulse.operators import alerts as AL
+    from orderpulse.plans import reports as RP
+    from orderpulse.sources.adapters import TPCH_REFERENCE_DATE, tpch
+    stored, facts = [], RP.report_facts
+
+    def seen(tx, columns=RP.REPORT_FACTS):
+        stored.append(list(columns))
+        return facts(tx, columns)
+    monkeypatch.setattr(RP, "report_facts", seen)
+    tx = tpch(spark, "/root/testdata/sf0.001")
+    one = RP.pro_plans(tx, TPCH_REFERENCE_DATE, table="insights")
+    target = RP.panel_plans(tx, TPCH_REFERENCE_DATE, table="alvos_priorizados")
+    assert list(one) == ["insights"] and list(target) == ["alvos_priorizados"]
+    assert stored == [AL.ALERT_FACTS, AL.ALERT_FACTS] and len(AL.ALERT_FACTS) < len(RP.REPORT_FACTS) / 2
+    every = RP.pro_plans(tx, TPCH_REFERENCE_DATE)
+    assert stored[-1] == RP.REPORT_FACTS
+    a, b = one["insights"](), every["insights"]()
+    assert a.count() == b.count() > 0 and a.exceptAll(b).isEmpty()
+    import pytest
+    with pytest.raises(ValueError):
+        RP.pro_plans(tx.where("false"), TPCH_REFERENCE_DATE, table="insights")
